@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weirlog.llm import line_dedup, mixing, sharding
+from weirlog.llm import jaccard, line_dedup, mixing, sharding
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 
 ORACLE_SQL = {
