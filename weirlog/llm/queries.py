@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from weirlog.llm import jaccard, line_dedup, mixing, sharding
+from weirlog.llm import decontaminate, jaccard, line_dedup, mixing, sharding
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
 }
