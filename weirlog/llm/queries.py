@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weirlog.llm import decontaminate, jaccard, line_dedup, mixing, sharding
+from weirlog.llm import decontaminate, jaccard, line_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontaminate.op8_decontamination,
