@@ -56,38 +56,48 @@ def features(stats: pd.DataFrame) -> np.ndarray:
     ])
 
 
+_SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
+
+
+def common_marks(hashes: WordHashes) -> np.ndarray:
+    """Marks of common words by the low 16 bits of their hashes: good enough for a feature."""
+    marks = np.zeros(1 << 16, bool)
+    marks[hashes.of([w.encode() for w in COMMON]) & np.uint64(0xFFFF)] = True
+    return marks
+
+
+def text_statistics(text: bytes, own: np.ndarray, common: np.ndarray) -> list[int]:
+    """BASE + MORE of a text with words; own: the hashes of its words."""
+    n, count = len(own), np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    repeated = 0
+    if n >= 3:
+        _, at, times = np.unique(shingles(own, 3), return_inverse=True, return_counts=True)
+        twice = times[at] > 1
+        hit = np.zeros(n, bool)
+        for k in range(3):
+            hit[k : n - 2 + k] |= twice
+        repeated = int(hit.sum())
+    chars = int(count.sum() - count[0x80:0xC0].sum() - count[9:14].sum() - count[32])
+    return [
+        n, chars, int(count[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, len(lines), int(count[65:91].sum()), int(count[48:58].sum()),
+        int(count[ord("|")]), int(count[ord("!")]), int(count[ord(".")]), int(common[own & np.uint64(0xFFFF)].sum()),
+    ]
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """docs(doc_id, key, text) to (doc_id, key, BASE + MORE)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = BASE + MORE
-    symbols = np.frombuffer(b"#*$%&|<>", np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        common = np.zeros(1 << 16, bool)  # by the low bits of the hash: a feature only
-        common[hashes.of([w.encode() for w in COMMON]) & np.uint64(0xFFFF)] = True
+        common = common_marks(hashes)
         for b in batches:
             out = []
             for text in b.column("text").cast(pa.binary()).to_pylist():
-                if not text or not (words := text.split()):
-                    out.append([0] * len(names))
-                    continue
-                n, count = len(words), np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-                lines = [x for x in text.split(b"\n") if x.strip()]
-                own = hashes.of(words)
-                repeated = 0
-                if n >= 3:
-                    _, at, times = np.unique(shingles(own, 3), return_inverse=True, return_counts=True)
-                    twice = times[at] > 1
-                    hit = np.zeros(n, bool)
-                    for k in range(3):
-                        hit[k : n - 2 + k] |= twice
-                    repeated = int(hit.sum())
-                chars = int(count.sum() - count[0x80:0xC0].sum() - count[9:14].sum() - count[32])
-                out.append([
-                    n, chars, int(count[symbols].sum()), len(lines) - len(set(lines)), repeated, len(lines), int(count[65:91].sum()), int(count[48:58].sum()),
-                    int(count[ord("|")]), int(count[ord("!")]), int(count[ord(".")]), int(common[own & np.uint64(0xFFFF)].sum()),
-                ])
+                words = text.split() if text else []
+                out.append(text_statistics(text, hashes.of(words), common) if words else [0] * len(names))
             table = np.array(out, np.int64).reshape(len(out), len(names))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *[pa.array(table[:, i].copy()) for i in range(len(names))]], ["doc_id", "key", *names])
 
