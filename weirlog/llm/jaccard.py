@@ -35,7 +35,7 @@ from weirlog.llm.words import WordHashes, lower_words, shingle_set
 
 SIZE, PERCENT = 5, 80
 #: Of the most frequent shingles so many are put last; a hint for the order, not a limit of the search.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Shingles that a task gathers before it passes them on, postings of one reduce group, shingles of a block of texts.
 FLUSH, GROUP, BLOCK = 2_000_000, 1_000_000, 120_000
 #: Occurrences that short lists must show, where the text is long enough.
@@ -59,6 +59,17 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def pack_bytes(values: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of each value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def unpack_bytes(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, key, n) of every row, and in rows of their own (tok, cnt) for shingles that repeat within a task."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -96,7 +107,10 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
 
 
 def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, percent: int) -> DataFrame:
-    """(tok, key, n, m): first shingles of every text that at least one more text has among its first; m texts have it."""
+    """(tok, key, n, m): first shingles of every text that at least one more text has among its first; m texts have it.
+
+    A shingle is known here by its group and 40 bits of its hash: shingles that share them only add texts to compare.
+    """
     marks = np.zeros(1 << 20, bool)
     marks[frequent & np.uint64((1 << 20) - 1)] = True
     low = np.uint64((1 << 20) - 1)
@@ -104,14 +118,14 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, p
 
     def pack(keys: list[int], sets: list[np.ndarray], ns: list[int]) -> Iterator[pa.RecordBatch]:
         toks, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-        part = ((toks >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+        part = ((toks >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         toks, owner, edges = toks[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
         keys_of, n_of, out = np.array(keys, np.int64), np.array(ns, np.int32), []
         for p in range(parts):
             if (a := edges[p]) < (b := edges[p + 1]):
                 own, counts = np.unique(owner[a:b], return_counts=True)
-                out.append((p, keys_of[own].tobytes(), n_of[own].tobytes(), counts.astype(np.int32).tobytes(), toks[a:b].tobytes()))
+                out.append((p, keys_of[own].tobytes(), n_of[own].tobytes(), counts.astype(np.int32).tobytes(), pack_bytes(toks[a:b], 5)))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["part", "keys", "ns", "counts", "toks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +155,8 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, p
 
     def lists(group: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-        counts, toks = join("counts", np.int32), join("toks", np.uint64)
+        counts, toks = join("counts", np.int32), unpack_bytes(b"".join(group.column("toks").to_pylist()), 5)
+        toks |= np.uint64(group.column("part")[0].as_py()) << np.uint64(40)
         key, n = np.repeat(join("keys", np.int64), counts), np.repeat(join("ns", np.int32), counts)
         order = np.argsort(toks, kind="stable")
         toks = toks[order]
@@ -158,18 +173,20 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, p
         _, at, m = np.unique(toks, return_inverse=True, return_counts=True)
         m = m[at] if len(toks) else np.zeros(0, np.int64)
         keep = m > 1
-        return pa.table([pa.array(toks[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep]), pa.array(m[keep].astype(np.int64))], ["tok", "key", "n", "m"])
+        return pa.table([pa.array(toks[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep]), pa.array(m[keep].astype(np.int32))], ["tok", "key", "n", "m"])
 
     packed = docs.select("key", "text").mapInArrow(run, "part int, keys binary, ns binary, counts binary, toks binary")
-    return packed.groupBy("part").applyInArrow(lists, "tok long, key long, n int, m long")
+    return packed.groupBy("part").applyInArrow(lists, "tok long, key long, n int, m int")
 
 
 def search(percent: int):
     """The T-occurrence search within a pair of blocks; returns links that connect its texts."""
 
     def run(group: pa.Table) -> pa.Table:
+        once = np.unique(group.column("key").to_numpy(), return_index=True)[1]  # a row that repeats both id and text
+        group = group.take(pa.array(once))
         keys, first = group.column("key").to_numpy(), group.column("first").to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("toks").to_pylist()]
+        sets = [unpack_bytes(x, 6) for x in group.column("toks").to_pylist()]
         within = bool((group.column("lo").to_numpy() == group.column("hi").to_numpy()).all())
         ns = np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((keys, ns))
@@ -221,43 +238,50 @@ def search(percent: int):
 def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(a, b): text hashes of links that connect all linked texts. docs(doc_id, key, text), seen: its cut profiles()."""
     spark = docs.sparkSession
-    often = seen.where("tok is not null").groupBy("tok").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "tok").limit(FREQUENT).select("tok").toPandas()
-    frequent = np.sort(often["tok"].to_numpy(np.int64).view(np.uint64)) if len(often) else np.zeros(1, np.uint64)
+    often = seen.where("tok is not null").groupBy("tok").agg(F.sum("cnt").alias("cnt"))
+    sizes = often.groupBy("cnt").count().orderBy(F.desc("cnt")).limit(10_000).collect()
+    taken, least = 0, 1 << 62
+    for cnt, rows in sizes:
+        if taken + rows > FREQUENT:
+            break
+        taken, least = taken + rows, cnt
+    found = often.where(F.col("cnt") >= least).select("tok").toPandas()["tok"].to_numpy(np.int64)  # FREQUENT at most
+    frequent = np.sort(found.view(np.uint64)) if len(found) else np.zeros(1, np.uint64)
     texts = seen.where("n > 0")
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-total * (105 - percent) // (100 * GROUP)))
-    lists = C.cut(prefix_lists(docs, frequent, parts, size, percent))
+    lists = C.written(prefix_lists(docs, frequent, parts, size, percent))
 
     active = lists.groupBy("key", "n").agg(F.count("*").alias("c"), F.max(F.struct("m", "tok")).alias("home")).where(F.col("c") >= surplus_of(F.col("n")))
     active = C.cut(active.select("key", "n", F.col("home.tok").alias("home")))
     split = active.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("s"))
     block = C.cut(active.join(split, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), "s")).alias("block")))
-    postings = C.cut(lists.join(block, "key").select("tok", "key", "n", "block"))
+    postings = C.written(lists.join(C.small_side(block), "key").select("tok", "key", "n", "block"))
     reach = postings.join(postings.select("tok", F.col("block").alias("other")).distinct(), "tok")
     reach = reach.groupBy("key", "n", "block", "other").agg(F.count("*").alias("c")).where(F.col("c") >= surplus_of(F.col("n")))
     meets = C.cut(reach.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("first")))
     pairs = meets.groupBy("lo", "hi").agg(F.count("*").alias("c"), F.count_distinct("first").alias("sides")).where("c > 1 and (lo = hi or sides = 2)").select("lo", "hi")
     meets = C.cut(meets.join(pairs, ["lo", "hi"]))
 
-    wanted = texts.groupBy("key").agg(F.min("doc_id").alias("_id")).join(meets.select("key").distinct(), "key").withColumnRenamed("key", "_key")
+    wanted = texts.groupBy("key").agg(F.min("doc_id").alias("_id")).join(meets, "key").withColumnRenamed("key", "_key")
     wanted = C.small_side(C.cut(wanted))
-    id_of = docs.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    met = docs.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("lo", "hi", "first", "key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            found = [shingle_set(hashes.of(lower_words(x)), size).tobytes() for x in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.binary())], ["key", "toks"])
+            found = [pack_bytes(shingle_set(hashes.of(lower_words(x)), size), 6) for x in _texts(b)]
+            yield pa.RecordBatch.from_arrays([*map(b.column, ("lo", "hi", "first", "key")), pa.array(found, pa.binary())], ["lo", "hi", "first", "key", "toks"])
 
-    full = C.cut(id_of.select("key", "text").mapInArrow(sets, "key long, toks binary").dropDuplicates(["key"]))
-    return C.cut(meets.join(full, "key").groupBy("lo", "hi").applyInArrow(search(percent), "a long, b long"))
+    full = met.mapInArrow(sets, "lo long, hi long, first boolean, key long, toks binary")
+    return C.cut(full.groupBy("lo", "hi").applyInArrow(search(percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, _key, n_shingles, component_id, _first) of every row; _key is the hash of its text, _first whether it is
     the (id, text) of its component that keep_first() keeps."""
     docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    seen = C.cut(profiles(docs, size))
+    seen = C.written(profiles(docs, size))
     roots = components(links(docs, seen, size, percent))
     rows = seen.where("n is not null").select("doc_id", "key", "n")
     rooted = rows.where("n > 0").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "key").alias("root"))
