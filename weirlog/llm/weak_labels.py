@@ -5,8 +5,8 @@ Two questions are asked of each document, whether its quality is poor and whethe
 3^labellers rows), and expectation-maximisation over the counted patterns estimates the share of positives and each
 labeller's accuracy on either class, as if labellers erred independently; annotators, where there are any, are one more
 labeller, whose accuracy is given (0.99) rather than estimated. A document's posterior follows from its pattern. The posteriors of a bounded sample (SAMPLE documents of the
-least hashes) train a linear scorer over hashed words and word beginnings: each partition of the sample runs its own steps
-from the common weights, and the weights are averaged. The scorer then reads every whole text; a document
+least hashes, annotated ones where there are any, as the others' posteriors miss what no heuristic knows) train a linear scorer over hashed words and word beginnings: log odds ratios of the features that differ
+significantly, counted in the partitions of the sample, then scaled. The scorer then reads every whole text; a document
 stays unless its posterior or its score says yes to a question.
 
 Defined results: a null or wordless text shows no sign of poor quality, and its score is the scorer's bias; several
@@ -27,9 +27,13 @@ from weirlog.llm import common as C
 from weirlog.llm.quality_rules import BASE, MORE, common_marks, text_statistics
 from weirlog.llm.words import WordHashes, lower_words
 
-SAMPLE, BITS, ROUNDS, PARTS, EM_STEPS = 20_000, 18, 8, 8, 200
-#: Leading bytes of a word that make a feature besides the word.
-HEAD = 6
+SAMPLE, BITS, PARTS, EM_STEPS = 20_000, 18, 8, 200
+#: Standard errors by which a feature's share must differ between the classes to get a weight.
+SIGNIFICANT = 4.0
+#: Scores from which the scorer alone answers yes.
+SURE = {"poor": 0.9, "toxic": 0.5}
+#: Leading bytes of a word that make features besides the word.
+HEADS = (6, 8)
 
 #: Insults of English, in two lists so that the labellers overlap but aren't the same.
 INSULTS_A = "idiot idiots moron morons stupid trash worthless loser losers fool fools dumb pig".split()
@@ -140,41 +144,66 @@ def evidence(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, key long, " + ", ".join(f"{c} long" for c in names))
 
 
-def slots(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashed features of a text: its lowered words and their beginnings."""
+def slots(text: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a text, its lowered words and their beginnings, and their values; the last one is the bias.
+
+    A feature weighs the logarithm of its count, and a text's values have length one.
+    """
     words = lower_words(text or b"")
-    own, heads = hashes.of(words), hashes.of([w[:HEAD] for w in words])
-    return np.unique(np.concatenate([own >> np.uint64(64 - BITS), (heads * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)]).astype(np.int32))
-
-
-def train(sample: DataFrame, questions: list[str], rounds: int = ROUNDS, rate: float = 0.5) -> np.ndarray:
-    """Weights (questions, 2^BITS + 1), the last being the bias; sample(slots, and a posterior per question), PARTS partitions."""
-    weights = np.zeros((len(questions), (1 << BITS) + 1), np.float32)
-
-    for _ in range(rounds):
-        given = sample.sparkSession.sparkContext.broadcast(weights)
-
-        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, n = given.value.copy(), 0  # noqa: B023
-            size = np.full_like(w, 1e-2)
-            for b in batches:
-                posts = np.column_stack([b.column(q).to_numpy() for q in questions])
-                for x, post in zip(b.column("slots").to_pylist(), posts, strict=True):
-                    at = np.append(np.frombuffer(x, np.int32), np.int32(1 << BITS))
-                    value = 1 / np.sqrt(len(at))
-                    for q in range(len(questions)):
-                        g = (1 / (1 + np.exp(-np.clip(w[q, at].sum() * value, -30, 30))) - post[q]) * value
-                        size[q, at] += g * g
-                        w[q, at] -= rate * g / np.sqrt(size[q, at])
-                    n += 1
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
-
-        found = sample.mapInArrow(steps, "w binary, n long").collect()  # PARTS rows of fixed size at most
-        if not found:
-            break
-        weights = np.average([np.frombuffer(r["w"], np.float32).reshape(weights.shape) for r in found], axis=0, weights=[r["n"] for r in found]).astype(np.float32)
-    return weights
+    parts = [hashes.of(words), *[hashes.of([w[:k] for w in words if len(w) > k]) + np.uint64(k) for k in HEADS]]
+    at, count = np.unique((np.concatenate(parts) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS), return_counts=True)
+    value = 1 + np.log(count)
+    value = value / np.sqrt((value**2).sum()) if len(value) else value
+    return np.append(at, 1 << BITS).astype(np.int32), np.append(value, 1.0).astype(np.float32)
+
+
+def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
+    """Weights (questions, 2^BITS + 1), the last being the bias; sample(slots, values, and a posterior per question).
+
+    A feature's weight is the logarithm of its odds ratio between the classes, as the posteriors weigh documents, if the
+    ratio is significant; a scale and a bias per question are then fitted to the sample's sums by Newton's method.
+    """
+    size = (1 << BITS) + 1
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros((len(questions), 2, size), np.float32), np.zeros((len(questions), 2))
+        for b in batches:
+            posts = np.column_stack([b.column(q).to_numpy() for q in questions])
+            for x, post in zip(b.column("slots").to_pylist(), posts, strict=True):
+                at = np.frombuffer(x, np.int32)
+                for q, p in enumerate(post):
+                    held[q, 1, at] += p
+                    held[q, 0, at] += 1 - p
+                    total[q] += 1 - p, p
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["held", "total"])
+
+    found = sample.mapInArrow(counts, "held binary, total binary").collect()  # PARTS rows of fixed size at most
+    if not found:
+        return np.zeros((len(questions), size), np.float32)
+    held = sum(np.frombuffer(r["held"], np.float32).reshape(len(questions), 2, size).astype(np.float64) for r in found)
+    total = sum(np.frombuffer(r["total"], np.float64).reshape(len(questions), 2, 1) for r in found)
+    share, pool = (held + 0.5) / (total + 1), (held.sum(axis=1) + 1) / (total.sum(axis=1) + 2)
+    rare = np.sqrt(pool * (1 - pool) * (1 / np.maximum(total, 1)).sum(axis=1)) + 1e-12
+    odds = np.log(share) - np.log(np.maximum(1 - share, 1e-6))
+    weights = np.where(np.abs(share[:, 1] - share[:, 0]) / rare > SIGNIFICANT, odds[:, 1] - odds[:, 0], 0.0)
+    weights[:, -1] = 0
+    given = sample.sparkSession.sparkContext.broadcast(weights)  # of fixed size
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.array([given.value[:, np.frombuffer(x, np.int32)] @ np.frombuffer(v, np.float32) for x, v in zip(b.column("slots").to_pylist(), b.column("values").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*[pa.array(out[:, q].copy()) for q in range(len(questions))], *map(b.column, questions)], [*[f"s{q}" for q in range(len(questions))], *questions])
+
+    shape = ", ".join([*[f"s{q} double" for q in range(len(questions))], *[f"`{q}` double" for q in questions]])
+    known = sample.mapInArrow(sums, shape).toPandas()  # SAMPLE rows at most
+    for q, name in enumerate(questions):
+        x, y, at = np.column_stack([known[f"s{q}"], np.ones(len(known))]), known[name].to_numpy(), np.array([0.1, -1.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+            at = at - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * at)
+        weights[q] *= at[0]
+        weights[q, -1] = at[1]
+    return weights.astype(np.float32)
 
 
 QUESTIONS = ["poor", "toxic"]
@@ -199,17 +228,20 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     seen = C.cut(seen.select("doc_id", "key", *QUESTIONS, F.coalesce("_poor", "_toxic").isNotNull().alias("annotated")))
 
     picked = seen.groupBy("key").agg(F.max("annotated").alias("a"), F.avg("poor").alias("poor"), F.avg("toxic").alias("toxic"), F.min("doc_id").alias("_id"))
-    picked = picked.orderBy(F.desc("a"), F.xxhash64("key")).limit(sample).select(F.col("key").alias("_key"), "_id", *QUESTIONS)
+    if seen.where("annotated").limit(1).count():
+        picked = picked.where("a")
+    picked = picked.orderBy(F.xxhash64("key")).limit(sample).select(F.col("key").alias("_key"), "_id", *QUESTIONS)
     picked = F.broadcast(C.cut(picked))  # sample rows at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            found = [slots(x, hashes).tobytes() for x in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.binary()), *[b.column(q) for q in QUESTIONS]], ["key", "slots", *QUESTIONS])
+            found = [slots(x, hashes) for x in b.column("text").cast(pa.binary()).to_pylist()]
+            packed = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *packed, *[b.column(q) for q in QUESTIONS]], ["key", "slots", "values", *QUESTIONS])
 
     chosen = docs.join(picked, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", *QUESTIONS)
-    chosen = chosen.mapInArrow(features, "key long, slots binary, poor double, toxic double")
+    chosen = chosen.mapInArrow(features, "key long, slots binary, values binary, poor double, toxic double")
     weights = train(C.cut(chosen.repartition(PARTS, "key").sortWithinPartitions("key")), QUESTIONS)
     given = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -219,14 +251,14 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
         for b in batches:
             out = np.empty((b.num_rows, len(QUESTIONS)))
             for i, x in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                at = np.append(slots(x, hashes), np.int32(1 << BITS))
-                out[i] = 1 / (1 + np.exp(-np.clip(w[:, at].sum(axis=1) / np.sqrt(len(at)), -30, 30)))
+                at, value = slots(x, hashes)
+                out[i] = 1 / (1 + np.exp(-np.clip(w[:, at] @ value, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *[pa.array(out[:, q].copy()) for q in range(len(QUESTIONS))]], ["doc_id", "key", "poor_score", "toxic_score"])
 
     scored = docs.mapInArrow(score, f"doc_id {kind}, key long, poor_score double, toxic_score double")
     known = seen.groupBy("doc_id", "key").agg(F.first("poor").alias("poor"), F.first("toxic").alias("toxic")).withColumnsRenamed({"doc_id": "_id", "key": "_k"})
     out = scored.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_k")))
-    yes = lambda q: F.greatest(q, f"{q}_score") >= 0.5
+    yes = lambda q: (F.col(q) >= 0.5) | (F.col(f"{q}_score") >= SURE[q])
     out = out.select("doc_id", F.col("key").alias("_key"), "poor", "toxic", "poor_score", "toxic_score", (~yes("poor") & ~yes("toxic")).alias("kept"))
     return out, {"poor": right_poor, "toxic": right_toxic}
 
