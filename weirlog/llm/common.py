@@ -16,7 +16,13 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of texts that a Python worker is handed at once.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; Arrow batches are bounded by bytes, as a few documents may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

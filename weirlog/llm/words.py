@@ -11,7 +11,7 @@ _M1, _M2, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.
 class WordHashes(dict):
     """Hash of a word, computed once per task while the vocabulary is below a bound."""
 
-    bound = 1_000_000
+    bound = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
