@@ -35,7 +35,7 @@ from weirlog.llm.words import WordHashes, lower_words, shingle_set
 
 SIZE, PERCENT = 5, 80
 #: Of the most frequent shingles so many are put last; a hint for the order, not a limit of the search.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 #: Shingles that a task gathers before it passes them on, postings of one reduce group, shingles of a block of texts.
 FLUSH, GROUP, BLOCK = 2_000_000, 1_000_000, 120_000
 #: Occurrences that short lists must show, where the text is long enough.
