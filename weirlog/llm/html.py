@@ -141,6 +141,12 @@ class Flow:
             self.put(line)
         self.gap = max(self.gap, gap)
 
+    def raw(self) -> None:
+        """Ends a line of preformatted text."""
+        line = "".join(self.text).rstrip()
+        self.text = []
+        self.put(line) if line else self.lines.append("")
+
     def put(self, line: str) -> None:
         if self.gap > 1 and self.lines and self.lines[-1]:
             self.lines.append("")
@@ -162,6 +168,8 @@ def layout(node: Node) -> list[str]:
         kid = next(kids, None)
         if kid is None:
             stack.pop()
+            if here.tag == "pre" and "".join(flow.text).strip():
+                flow.raw()
             if here.tag in BLOCK:
                 flow.flush(2 if here.tag in SPACED and (here.tag not in ("ul", "ol") or not flow.indent) else 1)
             if here.tag == "li":
@@ -172,7 +180,7 @@ def layout(node: Node) -> list[str]:
                 first, *rest = text.split("\n")
                 flow.text.append(first)
                 for line in rest:
-                    flow.lines.append(flow.indent + "".join(flow.text)) if flow.text and "".join(flow.text) else flow.put("")
+                    flow.raw()
                     flow.text = [line]
             else:
                 flow.text.append(text)
