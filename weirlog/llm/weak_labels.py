@@ -6,7 +6,7 @@ Two questions are asked of each document, whether its quality is poor and whethe
 labeller's accuracy on either class, as if labellers erred independently; annotators, where there are any, are one more
 labeller, whose accuracy is given (0.99) rather than estimated. A document's posterior follows from its pattern. The posteriors of a bounded sample (SAMPLE documents of the
 least hashes, annotated ones where there are any, as the others' posteriors miss what no heuristic knows) train a linear scorer over hashed words and word beginnings: log odds ratios of the features that differ
-significantly, counted in the partitions of the sample, then scaled. The scorer then reads every whole text; a document
+significantly, then scaled. The scorer then reads every whole text; a document
 stays unless its posterior or its score says yes to a question.
 
 Defined results: a null or wordless text shows no sign of poor quality, and its score is the scorer's bias; several
@@ -27,7 +27,7 @@ from weirlog.llm import common as C
 from weirlog.llm.quality_rules import BASE, MORE, common_marks, text_statistics
 from weirlog.llm.words import WordHashes, lower_words
 
-SAMPLE, BITS, PARTS, EM_STEPS = 20_000, 18, 8, 200
+SAMPLE, BITS, EM_STEPS = 20_000, 18, 200
 #: Standard errors by which a feature's share must differ between the classes to get a weight.
 SIGNIFICANT = 4.0
 #: Scores from which the scorer alone answers yes.
@@ -164,24 +164,14 @@ def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
     ratio is significant; a scale and a bias per question are then fitted to the sample's sums by Newton's method.
     """
     size = (1 << BITS) + 1
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = np.zeros((len(questions), 2, size), np.float32), np.zeros((len(questions), 2))
-        for b in batches:
-            posts = np.column_stack([b.column(q).to_numpy() for q in questions])
-            for x, post in zip(b.column("slots").to_pylist(), posts, strict=True):
-                at = np.frombuffer(x, np.int32)
-                for q, p in enumerate(post):
-                    held[q, 1, at] += p
-                    held[q, 0, at] += 1 - p
-                    total[q] += 1 - p, p
-        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["held", "total"])
-
-    found = sample.mapInArrow(counts, "held binary, total binary").collect()  # PARTS rows of fixed size at most
-    if not found:
+    sums = [F.sum(c).alias(f"{q}_{k}") for q in questions for k, c in ((0, 1 - F.col(q)), (1, F.col(q)))]
+    total = np.array(sample.agg(*sums).first(), dtype=float)
+    if np.isnan(total).any():
         return np.zeros((len(questions), size), np.float32)
-    held = sum(np.frombuffer(r["held"], np.float32).reshape(len(questions), 2, size).astype(np.float64) for r in found)
-    total = sum(np.frombuffer(r["total"], np.float64).reshape(len(questions), 2, 1) for r in found)
+    counted = sample.select(F.explode("slots").alias("slot"), *questions).groupBy("slot").agg(*sums).toPandas()  # a row per slot at most
+    held = np.zeros((len(questions), 2, size))
+    held.reshape(-1, size)[:, counted["slot"].to_numpy()] = counted.drop(columns="slot").to_numpy(float).T
+    total = total.reshape(len(questions), 2, 1)
     share, pool = (held + 0.5) / (total + 1), (held.sum(axis=1) + 1) / (total.sum(axis=1) + 2)
     rare = np.sqrt(pool * (1 - pool) * (1 / np.maximum(total, 1)).sum(axis=1)) + 1e-12
     odds = np.log(share) - np.log(np.maximum(1 - share, 1e-6))
@@ -189,13 +179,13 @@ def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
     weights[:, -1] = 0
     given = sample.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.array([given.value[:, np.frombuffer(x, np.int32)] @ np.frombuffer(v, np.float32) for x, v in zip(b.column("slots").to_pylist(), b.column("values").to_pylist(), strict=True)])
+            out = np.array([given.value[:, x] @ np.array(v) for x, v in zip(b.column("slots").to_pylist(), b.column("values").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*[pa.array(out[:, q].copy()) for q in range(len(questions))], *map(b.column, questions)], [*[f"s{q}" for q in range(len(questions))], *questions])
 
     shape = ", ".join([*[f"s{q} double" for q in range(len(questions))], *[f"`{q}` double" for q in questions]])
-    known = sample.mapInArrow(sums, shape).toPandas()  # SAMPLE rows at most
+    known = sample.mapInArrow(scores, shape).toPandas()  # SAMPLE rows at most
     for q, name in enumerate(questions):
         x, y, at = np.column_stack([known[f"s{q}"], np.ones(len(known))]), known[name].to_numpy(), np.array([0.1, -1.0])
         for _ in range(50):
@@ -237,12 +227,12 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
         hashes = WordHashes()
         for b in batches:
             found = [slots(x, hashes) for x in b.column("text").cast(pa.binary()).to_pylist()]
-            packed = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in range(2)]
+            packed = [pa.array([x[i] for x in found], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.float32()))]
             yield pa.RecordBatch.from_arrays([b.column("key"), *packed, *[b.column(q) for q in QUESTIONS]], ["key", "slots", "values", *QUESTIONS])
 
     chosen = docs.join(picked, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", *QUESTIONS)
-    chosen = chosen.mapInArrow(features, "key long, slots binary, values binary, poor double, toxic double")
-    weights = train(C.cut(chosen.repartition(PARTS, "key").sortWithinPartitions("key")), QUESTIONS)
+    chosen = chosen.mapInArrow(features, "key long, slots array<int>, values array<float>, poor double, toxic double")
+    weights = train(C.written(chosen), QUESTIONS)
     given = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
 
