@@ -5,6 +5,7 @@ import os
 import pytest
 
 from weirlog.model import Filter
+from weirlog.operators import filters
 from weirlog.plans import rules
 from weirlog.sources import json_log, store
 from weirlog.sources.tail import TailReader
@@ -39,6 +40,8 @@ def test_store(spark, tmp_path, logs):
     first = store.LogStore(spark, [f"{logs}/*.log*"], cache, tags)
     again = store.LogStore(spark, [f"{logs}/*.log*"], cache, tags)
     assert not first.from_cache and again.from_cache and again.rows().count() == first.rows().count() == 4
+    window = filters.apply(again.rows(), Filter(time_from=1776816000000000000, time_to=1776816050000000000))
+    assert window.count() == 3 and "PartitionFilters: [isnotnull(day" in window._jdf.queryExecution().toString()
     again.tag("1.2.3.4", "malicious")
     assert again.rows().where("pool = 'malicious'").count() == 3
     again.tag("1.2.3.4", "real")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,14 @@ def condition(flt: Filter) -> Column | None:
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
+def _date(ns: int) -> Column:
+    return F.lit(datetime.fromtimestamp(ns // 1_000_000_000, UTC).date())
+
+
 def apply(rows: DataFrame, flt: Filter) -> DataFrame:
+    """Rows that pass; where they come by day, a time window reads its days only."""
     found = condition(flt)
+    if "day" in rows.columns:
+        rows = rows.where(F.col("day") >= _date(flt.time_from)) if flt.time_from is not None else rows
+        rows = rows.where(F.col("day") <= _date(flt.time_to)) if flt.time_to is not None else rows
     return rows if found is None else rows.where(found)
