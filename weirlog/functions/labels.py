@@ -42,7 +42,7 @@ def day(ts: Column) -> Column:
 def is_static(uri: Column) -> Column:
     """By the extension of the last part of the path; a trailing slash doesn't count, a name that begins with its dot has none."""
     path = F.regexp_replace(F.regexp_replace(uri, r"[?#].*", ""), r"/+$", "")
-    return F.coalesce(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)).isin(lists.STATIC_EXTENSIONS), F.lit(False))
+    return F.coalesce(path.rlike(rf"(?i)[^/]\.({'|'.join(lists.STATIC_EXTENSIONS)})$"), F.lit(False))
 
 
 def is_bot(agent: Column, patterns: list[str] | None = None, generic: bool = True) -> Column:
@@ -87,11 +87,19 @@ def is_local(ip: Column, v6: bool = True) -> Column:
 
 
 def attack_reason(uri: Column, rules: lists.AttackRules | None = None) -> Column:
-    """The first substring of the list that the lower-cased URI has, else the first expression that finds something; or null."""
+    """The first substring of the list that the lower-cased URI has, else the first expression that finds something; or null.
+
+    One expression over all substrings passes most URIs by; only for the others is the list, a literal, gone through.
+    """
     rules = rules or lists.attack_rules()
     low = F.lower(uri)
-    tests = [(low.contains(p), r) for r, p in rules.substrings] + [(uri.rlike(p), r) for r, p in rules.regexes]
-    return F.coalesce(*[F.when(test, F.lit(f"attack_uri:{reason}")) for test, reason in tests]) if tests else F.lit(None).cast("string")
+    found = [F.when(uri.rlike(p), F.lit(f"attack_uri:{reason}")) for reason, p in rules.regexes]
+    if rules.substrings:
+        text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        listed = F.expr(f"array({', '.join(f'named_struct({text("p")}, {text(p)}, {text("r")}, {text("attack_uri:" + r)})' for r, p in rules.substrings)})")
+        first = F.get(F.filter(listed, lambda x: low.contains(x["p"])), F.lit(0))["r"]
+        found = [F.when(low.rlike("|".join(java(p) for _, p in rules.substrings)), first), *found]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 #: Rules for user agents, the first that matches wins; compatible with common parsers, not identical to any.
