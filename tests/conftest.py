@@ -17,6 +17,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-DATA = "/root/testdata/sf0.001"

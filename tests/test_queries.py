@@ -1,8 +1,7 @@
 import random
 
 import pytest
-from conftest import DATA
-from helpers import BASE, DAY, HOUR, rows, same
+from helpers import BASE, DATA, DAY, HOUR, rows, same
 
 from weirlog.model import DIMENSIONS, Filter, Kind, Query, view
 from weirlog.operators import aggregates, filters
