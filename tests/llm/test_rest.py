@@ -142,6 +142,17 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([(1, None, "x"), (1, "<p>a", "x")], "page_id long, html string, text string")).count() == 2
 
 
+def test_pages_with_an_open_head():
+    cases = {
+        "<head><title>T</title><p>Hello": "Hello", "<html><head><meta charset=utf-8>\n<style>p{}</style><script>x</script>\n<div>a<p>b</div>": "a\n\nb", "<head><link rel=x>\n plain <b>text</b>": "plain text",
+        "<head><title>T</title><table><tr><td>a<td>b</table>": "a  b", "<head>\n<body><p>x": "x", "<head><title>T</title></head><p>y": "y", "<head><head><title>T</title>z": "z",
+        "<head><noscript><p>no</p></noscript><template>no</template><header>top</header>": "top", "<p>a<head><title>T</title>b": "ab", "<head>&nbsp;</br>c": "c", "<head><title>T</title>\n": "",
+    }
+    for page, want in cases.items():
+        assert html.page_text(page)[1].replace("\xa0", "").strip() == want, page
+    assert html.page_text("<head><title>T</title><p>Hello")[0] == "T"
+
+
 def test_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))

@@ -1,8 +1,8 @@
 """HTML extraction: a tree with implied tags, visibility rules, and a layout of blocks, lists and aligned table cells.
 
 Each page is parsed by itself, so a table of pages is one pass without a shuffle. Elements that HTML closes without an end
-tag (p before a block, li, dt, dd, options, table parts) are closed here; stray end tags are passed over. Not shown: head,
-script, style, template and the like, hidden elements and those styled display:none or visibility:hidden.
+tag (p before a block, li, dt, dd, options, table parts, head before what can't be in it) are closed here; stray end tags are
+passed over. Not shown: head, script, style, template and the like, hidden elements and those styled display:none or visibility:hidden.
 Layout: white space collapses outside pre; blocks begin on a line of their own, and paragraphs, headings, lists, tables,
 quotes and pre have an empty line around them; list items have "- " or their number and indent what is below them; cells of
 a table are padded to the width of their column (colspan spans columns), with two spaces between.
@@ -35,8 +35,10 @@ CLOSES = {
     "li": ({"li", "p"}, {"ul", "ol", "menu", "table"}), "dt": ({"dt", "dd", "p"}, {"dl", "table"}), "dd": ({"dt", "dd", "p"}, {"dl", "table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "td": ({"td", "th", "p", "caption"}, {"table", "tr"}), "th": ({"td", "th", "p", "caption"}, {"table", "tr"}), "tr": ({"tr", "td", "th", "p", "caption"}, {"table"}),
-    **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")}, "body": ({"head"}, set()),
+    **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "p", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
 }
+#: Start tags that leave an open head open; any other one and text end it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: What these elements need around them.
 PARENT = {"td": "tr", "th": "tr", "tr": "table"}
 
@@ -75,9 +77,18 @@ def parse(page: str) -> tuple[Node, str]:
             opened[now.tag] -= 1
             now = now.parent
 
+    def end_head() -> None:
+        if opened.get("head"):
+            close(now.parent)  # nothing else is open within a head
+
+    def add(text: str) -> None:
+        if opened.get("head") and not SPACE.fullmatch(text):
+            end_head()
+        now.kids.append(text)
+
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
-            now.kids.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
@@ -85,6 +96,7 @@ def parse(page: str) -> tuple[Node, str]:
         tag = tag.lower()
         if m[1] or m[4]:
             if tag == "br":
+                end_head()
                 now.kids.append(Node("br"))
             elif opened.get(tag):
                 node = now
@@ -92,8 +104,10 @@ def parse(page: str) -> tuple[Node, str]:
                     node = node.parent
                 close(node.parent)
             continue
-        if tag in ("html", "body") and (tag == "html" or opened.get("body")):
+        if tag == "html" or tag in ("head", "body") and opened.get(tag):
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
             if any(opened.get(t) for t in ends):
@@ -124,7 +138,7 @@ def parse(page: str) -> tuple[Node, str]:
         else:
             open_tag(tag, attrs)
     if at < len(page):
-        now.kids.append(page[at:])
+        add(page[at:])
     return root, title
 
 
