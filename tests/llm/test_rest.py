@@ -153,6 +153,16 @@ def test_pages_with_an_open_head():
     assert html.page_text("<head><title>T</title><p>Hello")[0] == "T"
 
 
+def test_pages_hidden_by_attributes_only():
+    shown = ["title=\"Our hidden gems\"", "class='a hidden b'", "style='overflow: hidden !important'", "data-type=\"hidden-gems\"", "type=hidden", "data-style='display:none'", "title='style=\"display:none\"'", "data-hidden", "title=\"a > hidden",
+             "style='display:none;display:block'", "style='visibility:visible'", "style=\"background:url('x;display:none')\"", "style='content:\"display:none\"'"]
+    for attrs in shown:
+        assert html.page_text(f"<div {attrs}>seen<p>below</div>")[1].endswith("below"), attrs
+    for attrs in ("hidden", "HIDDEN=''", "class=x hidden/", "hidden=until-found", "style=display:none", "style='color:red; DISPLAY : None !important'", "style='visibility:hidden'", "style='display:none!important;display:block'", "style='display:none;display:nonsense'", "style='display:&#110;one'", "style='/*x*/display:/*;*/none'"):
+        assert html.page_text(f"<div {attrs}>no<p>no</div>yes")[1] == "yes", attrs
+    assert html.page_text("<table><tr><td data-colspan=2>a<td title='colspan=3'>b<tr><td>cc<td>d</table><ol data-start=7><li>x</ol>")[1] == "a   b\ncc  d\n\n1. x"
+
+
 def test_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))

@@ -44,19 +44,49 @@ PARENT = {"td": "tr", "th": "tr", "tr": "table"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-UNSEEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden""", re.I)
-NUMBER = {"colspan": re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I), "start": re.compile(r"""start\s*=\s*["']?(-?\d{1,9})""", re.I)}
+ATTR = re.compile(r"""(=?[^\s/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'][^\s]*)))?""")
+NUMBER = {"colspan": re.compile(r"\s*(\d{1,3})"), "start": re.compile(r"\s*(-?\d{1,9})")}
+NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+""")
+#: Words of valid values, as a browser passes over a declaration of any other.
+VALUES = {
+    "display": frozenset("""none contents block inline inline-block flow flow-root flex inline-flex grid inline-grid table inline-table table-row table-cell table-column table-caption table-row-group
+    table-header-group table-footer-group table-column-group list-item run-in ruby math inherit initial unset revert revert-layer""".split()),
+    "visibility": frozenset("visible hidden collapse inherit initial unset revert revert-layer".split()),
+}
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts, a value without its closing quote takes the rest."""
+    found: dict[str, str] = {}
+    for name, *values in ATTR.findall(raw):
+        found.setdefault(name.lower(), entities.unescape("".join(values)))
+    return found
+
+
+def styled_away(style: str) -> bool:
+    """Whether display:none or visibility:hidden is in force: the last valid declaration counts, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in DECLARATION.findall(NOTE.sub(" ", style.lower())):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        name, value, important = name.strip(), value.strip(), bool(mark)
+        if name in VALUES and value and VALUES[name].issuperset(value.split()) and important >= found.get(name, (False,))[0]:
+            found[name] = important, value
+    return found.get("display", (False, ""))[1] == "none" or found.get("visibility", (False, ""))[1] == "hidden"
 
 
 class Node:
     __slots__ = ("tag", "attrs", "kids", "parent", "shown")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
-        self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
-        self.shown = tag not in HIDDEN and not (attrs and UNSEEN.search(attrs))
+        self.tag, self.attrs, self.kids, self.parent = tag, attributes(attrs) if attrs else {}, [], parent
+        self.shown = tag not in HIDDEN and "hidden" not in self.attrs and not (tag == "input" and self.attrs.get("type", "").lower() == "hidden")
+        if self.shown and "style" in self.attrs:
+            self.shown = not styled_away(self.attrs["style"])
 
     def number(self, name: str, default: int) -> int:
-        found = NUMBER[name].search(self.attrs)
+        found = NUMBER[name].match(self.attrs.get(name, ""))
         return int(found[1]) if found else default
 
 
