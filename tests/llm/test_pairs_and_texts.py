@@ -106,6 +106,17 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(frame(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_of_fewer_lines(spark):
+    long, half, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25)), "\t" + " ".join(f"o{i}" for i in range(25))
+    docs = [
+        (1, f"a\n{long}\nb"), (2, long), (3, f"c\nd\n{long}\ne\n{long}"), (4, "short text"), (5, "short text"), (6, "short text\nmore"), (7, "short text\nmore"), (8, "x\nshort text\nmore\ny"),
+        (9, f"p\n{half}\n{other}\nq"), (10, f"r\n{half}\n{other}"), (11, f"{half}\nz"), (12, f"{half}\n{other}"), (13, " "), (14, " "), (15, None), (16, long[:-4] + "\nk"), (17, long[:-4] + "\nl"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
+    assert got == dict(docs) | {2: "", 3: "c\nd\ne", 5: "", 7: "", 10: "r", 12: ""}
+    assert [r["text"] for r in line_dedup.line_dedup(frame(spark, docs), passage=None).orderBy("doc_id").collect()] == brute.line_dedup(docs)
+
+
 def test_statistics(spark, odd):
     docs = odd + [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")

@@ -3,8 +3,10 @@
 Every run of three consecutive lines of a text is hashed (128 bits) unless all three are blank. A window that occurs
 again, in any document or further down in the same one, is found by one aggregation that keeps its first place in the
 order (doc_id, hash of the text, line). All later places are covered, covered lines are merged per document and removed.
+So that no passage of whole lines is too short for a window, one or two lines are a window too if they have PASSAGE words or
+are all of a text. The registered query leaves these out, as its SQL has windows of three lines only.
 
-Defined results: null stays null; a text of fewer than three lines has no window and stays whole; a text whose lines are
+Defined results: null stays null; with passage=None a text of fewer than three lines stays whole; a text whose lines are
 all covered becomes empty; rows that repeat both id and text are one document and share their result; a null id comes
 first in the order; input columns named as a result column are replaced by it.
 """
@@ -17,39 +19,60 @@ from pyspark.sql import functions as F
 from weirlog.llm import common as C
 
 SPAN = 3
+#: Fewer lines than SPAN are a window from this number of words on.
+PASSAGE = 50
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, _th, pos, h1, h2): a row per window with a word."""
-    hashed = docs.select("doc_id", "_th", F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(F.trim(F.translate(x, "\t\r\x0b\x0c", "    "))).alias("n"))).alias("_l"))
+def windows(docs: DataFrame, span: int = SPAN, passage: int | None = PASSAGE) -> DataFrame:
+    """(doc_id, _th, place, h1, h2): a row per window with a word; place is first line * span + lines - 1."""
+
+    def line(x: Column) -> Column:
+        words = [] if passage is None else [F.size(F.array_remove(F.split(x, r"[ \t\r\x0b\x0c]+"), "")).alias("words")]
+        return F.struct(F.xxhash64(x).alias("h"), F.length(F.trim(F.translate(x, "\t\r\x0b\x0c", "    "))).alias("n"), *words)
+
+    hashed = docs.select("doc_id", "_th", F.transform(lines_of(F.col("text")), line).alias("_l"))
     item = lambda i, k: F.element_at("_l", (i + (k + 1)).cast("int"))
 
-    def window(i: Column) -> Column:
-        parts = [item(i, k) for k in range(span)]
-        hashes = [p["h"] for p in parts]
-        return F.struct(i.cast("int").alias("pos"), F.xxhash64(*hashes).alias("h1"), F.xxhash64(F.lit(span), *reversed(hashes)).alias("h2"), F.greatest(*[p["n"] for p in parts]).alias("n"))
+    def runs(size: int) -> Column:
+        def window(i: Column) -> Column:
+            parts = [item(i, k) for k in range(size)]
+            hashes = [p["h"] for p in parts]
+            n = F.greatest(*[p["n"] for p in parts]) if size > 1 else parts[0]["n"]
+            return F.struct((i.cast("long") * span + (size - 1)).alias("place"), F.xxhash64(*hashes).alias("h1"), F.xxhash64(F.lit(size), *reversed(hashes)).alias("h2"), n.alias("n"))
+
+        starts = F.sequence(F.lit(0), F.size("_l") - size)
+        if size < span:
+            starts = F.filter(starts, lambda i: (F.size("_l") == size) | (sum((item(i, k)["words"] for k in range(size)), F.lit(0)) >= passage))
+        return F.when(F.size("_l") >= size, F.transform(starts, window))
+
+    if passage is None:
+        found = hashed.where(F.size("_l") >= span).select("doc_id", "_th", F.explode(runs(span)).alias("w"))
+    else:
+        found = hashed.select("doc_id", "_th", F.explode(F.flatten(F.filter(F.array(*[runs(k) for k in range(1, span + 1)]), lambda r: r.isNotNull()))).alias("w"))
+    return found.where("w.n > 0").select("doc_id", "_th", "w.place", "w.h1", "w.h2")
 
-    found = hashed.where(F.size("_l") >= span).select("doc_id", "_th", F.explode(F.transform(F.sequence(F.lit(0), F.size("_l") - span), window)).alias("w"))
-    return found.where("w.n > 0").select("doc_id", "_th", "w.pos", "w.h1", "w.h2")
 
+def later_places(docs: DataFrame, span: int = SPAN, passage: int | None = PASSAGE) -> DataFrame:
+    """(doc_id, _th, starts): places of the windows that repeat an earlier one."""
+    found = windows(docs, span, passage)
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "_th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.join(C.small_side(C.cut(first)), ["h1", "h2"]).where(~F.struct("doc_id", "_th", "place").eqNullSafe(F.col("first")))
+    return again.groupBy("doc_id", "_th").agg(F.collect_set("place").alias("starts"))
 
-def later_places(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, _th, starts): first lines of the windows that repeat an earlier one."""
-    found = windows(docs, span)
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "_th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = found.join(C.small_side(C.cut(first)), ["h1", "h2"]).where(~F.struct("doc_id", "_th", "pos").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "_th").agg(F.collect_set("pos").alias("starts"))
 
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, passage: int | None = PASSAGE) -> DataFrame:
+    """All columns of docs, with the text freed of repeated windows, n_lines and n_removed.
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """All columns of docs, with the text freed of repeated windows, n_lines and n_removed."""
+    passage: words from which fewer than span lines are a window; None for windows of span lines only.
+    """
     keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_th"))
-    covered = later_places(keyed.select("doc_id", "text", "_th"), span)
-    covered = covered.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (span - 1))))).alias("_covered"))
+    covered = later_places(keyed.select("doc_id", "text", "_th"), span, passage)
+    lines = lambda p: F.sequence(F.floor(p / span).cast("int"), (F.floor(p / span) + p % span).cast("int"))
+    covered = covered.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.array_distinct(F.flatten(F.transform("starts", lines))).alias("_covered"))
     joined = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
     joined = joined.withColumn("_lines", F.when(F.col("_covered").isNotNull(), lines_of(F.col("text"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
@@ -60,7 +83,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"), passage=None)
 
 
 ORACLE = r"""
