@@ -107,6 +107,25 @@ def test_chats(spark):
     assert {r["thread"] for r in chat.format_chats(chain).collect()} == {0} and chat.format_chats(docs.limit(0)).count() == 0
 
 
+def test_chats_that_quote_parts(spark):
+    texts = [
+        "First para.\n\nSecond para.\n\nThird para.", "One line\nanother line\nlast line", "filler", "> First para.\n>\n> Second para.\nparagraphs", "filler", "> another   LINE\na line",
+        ">> Third para.\nlevel two only", ">\n>> last line\nblank at level one", "same words", "same words", "> same words\nthe latest", "> One line\n> First para.\n>\n> filler\nthe longest",
+        "> level two only\n>> same words\nlowest level", "> not said later", "not said later", "One line\n \t\ntail", "> tail\nblank with tab", "> First para.\n> \n> Second para.\n>\n> Third para.\nall of it", "> lone", "lone\n> lone",
+    ]
+    want = {3: 0, 5: 1, 6: 0, 7: 1, 10: 9, 11: 0, 12: 6, 16: 15, 17: 0}
+    docs = spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    assert {r["pos"]: r["parent_turn"] for r in chat.format_chats(docs).collect() if r["linked"]} == want
+    # Who said it last, within blocks of places and over them, for a passage that all say and quote.
+    rnd = random.Random(5)
+    quoted, said = ({(rnd.choice([1, None]), rnd.randrange(60), rnd.randrange(3)) for _ in range(90)} for _ in range(2))
+    df = [spark.createDataFrame([(c, p, h, h, 1) for c, p, h in x], "conv long, pos long, h1 long, h2 long, n int") for x in (quoted, said)]
+    last = {(c, p, h): max((q for d, q, k in said if d == c and k == h and q < p), default=None) for c, p, h in quoted}
+    for block in (7, 1000):
+        got = [(r["conv"], r["pos"], r["link"]) for r in chat.latest_before(df[0], df[1].drop("n"), block).collect()]
+        assert sorted(map(str, got)) == sorted(str((c, p, x)) for (c, p, _), x in last.items() if x is not None)
+
+
 def test_pages(spark):
     cases = {
         "<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>": "a     bbb\ncccc  d", "<ul><li>x<li>y<ol start=3><li>p<li>q</ol></ul>z": "- x\n- y\n  3. p\n  4. q\n\nz",
