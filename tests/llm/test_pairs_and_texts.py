@@ -130,6 +130,16 @@ def test_statistics(spark, odd):
     assert quality_rules.keep_good(frame(spark, []).limit(0), labels).count() == 0
 
 
+def test_quality_with_labels_of_one_class(spark, odd):
+    docs = odd + [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for quality in (0, 1):
+        labels = spark.createDataFrame([(i, quality) for i in range(200)], "doc_id long, quality int")
+        for threshold in (0.5, 0.9):
+            got = quality_rules.judge(frame(spark, docs), labels, threshold=threshold).collect()
+            assert all(r["kept"] != r["base_failed"] and r["score"] == 0.5 for r in got) and any(r["kept"] for r in got)
+    assert quality_rules.keep_good(frame(spark, docs), labels.withColumn("quality", F.lit(0))).count() == sum(r["kept"] for r in got)
+
+
 def test_tokens(spark, odd):
     pieces = token_counts.vocabulary()
     docs = odd + [(500, "café 中文字 \U0001f600x the the thereafter")]

@@ -109,9 +109,11 @@ def base_failed():
 
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Trees:
-    """Fits the trees to at most `sample` labelled documents that pass the base rule."""
+    """Fits the trees to at most `sample` labelled documents that pass the base rule; there are none if these are of one class."""
     labels = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
     known = stats.where(~base_failed()).join(labels, F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id", "key"), "doc_id").limit(sample).toPandas()
+    if known["quality"].nunique() < 2:
+        known = known[:0]  # one class tells nothing of the other: a score of 0.5
     return boosting.fit(features(known), known["quality"].to_numpy(np.float64), np.array(list(FEATURES.values())))
 
 
@@ -126,7 +128,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.Series(trees.score(features(part)))
 
     out = stats.withColumn("score", score(F.struct(*BASE, *MORE))).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).withColumnRenamed("key", "_key")
+    passed = F.col("score") >= threshold if len(trees.roots) else F.lit(True)
+    return out.withColumn("kept", ~F.col("base_failed") & passed).withColumnRenamed("key", "_key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
