@@ -46,7 +46,7 @@ def test_mixing(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(["w"] * rnd.randrange(0, 60)) if rnd.random() > 0.05 else None, rnd.choice(["a"] * 9 + ["b", "c", "d", None]), "x", 1) for i in range(600)] + [(None, "q r", "c", "x", 1)] * 3 + [(1, "w", "e", "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, taken long")
-    got = mixing.copies(docs, carry=True).collect()
+    got = mixing.copies(docs).collect()
     sizes = {s: sum(len((r[1] or "").split()) for r in rows if r[2] == s) for s in {r[2] for r in rows}}
     order = sorted((s for s in sizes if s is not None)) + [None]
     want = fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
@@ -62,6 +62,25 @@ def test_mixing(spark):
     assert mixing.copies(docs.limit(0)).count() == 0 and mixing.copies(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).where("taken <> 0").count() == 0
 
 
+def place_one_by_one(places, ends, owners, shards):
+    """Shard of each place, in order: to its arc's shard while that has room; the others, arc by arc, to the next that has."""
+    arcs = [int(np.searchsorted(ends, x)) % len(ends) for x in places]
+    room, want, over = sharding.bounds(len(places), shards), [None] * len(places), []
+    for i in sorted(range(len(places)), key=lambda i: (arcs[i], places[i])):
+        if room[owners[arcs[i]]]:
+            room[owners[arcs[i]]] -= 1
+            want[i] = owners[arcs[i]]
+        else:
+            over.append(i)
+    for i in over:
+        at = arcs[i]
+        while not room[owners[at]]:
+            at = (at + 1) % len(owners)
+        room[owners[at]] -= 1
+        want[i] = owners[at]
+    return want
+
+
 def test_sharding(spark):
     rnd = random.Random(6)
     rows = [(rnd.choice([7, i]), f"text {i % 5}" if i % 11 else None, "mine") for i in range(503)] + [(None, "t", "mine")] * 3
@@ -69,26 +88,30 @@ def test_sharding(spark):
     got = sharding.assign(docs, shards=5, points=8).collect()
     by = [[r["slot"] for r in got if r["shard"] == s] for s in range(5)]
     assert all(sorted(x) == list(range(len(x))) for x in by) and max(map(len, by)) - min(map(len, by)) <= 1 and sum(map(len, by)) == len(rows)
-    assert all(r["text_crc32"] == zlib.crc32((r["_row"]["text"] or "").encode()) and r["size"] == len((r["_row"]["text"] or "").encode()) + 16 for r in got)
-    # One row after the other: to its arc's shard while that has room; the others, arc by arc, to the next that has.
-    ends, owners = sharding.ring(5, 8)
-    counts = np.bincount([int(x) for x in np.searchsorted(ends, np.array(rnd.sample(range(1 << 62), 200))) % len(ends)], minlength=len(ends)).tolist()
-    room, want, over = sharding.bounds(sum(counts), 5), [[] for _ in counts], []
-    for arc, n in enumerate(counts):
-        for _ in range(n):
-            if room[owners[arc]]:
-                room[owners[arc]] -= 1
-                want[arc].append(owners[arc])
-            else:
-                over.append(arc)
-    for arc in over:
-        at = arc
-        while not room[owners[at]]:
-            at = (at + 1) % len(owners)
-        room[owners[at]] -= 1
-        want[arc].append(owners[at])
-    assert [[s for a, b, s, _ in p for _ in range(b - a)] for p in sharding.walk(counts, owners, 5)] == want
-    assert sharding.shard(docs).columns == ["doc_id", "text", "shard", "slot"] and sharding.assign(docs.limit(0)).count() == 0
+    texts = lambda of: sorted((zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for t in of)
+    assert sorted((r["text_crc32"], r["size"]) for r in got) == texts(r[1] for r in rows)
+    placed = sharding.shard(docs, shards=5, points=8)
+    assert placed.columns == ["doc_id", "text", "shard", "slot"]
+    back = placed.collect()  # repeated rows come back as often as they are there
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in back))) == sorted(map(str, ((r[0], r[1]) for r in rows)))
+    assert sorted((r["shard"], r["slot"]) for r in back) == sorted((r["shard"], r["slot"]) for r in got)
+    assert sharding.assign(docs.limit(0)).count() == 0 and sharding.shard(docs.limit(0)).count() == 0
+
+
+def test_sharding_from_document_to_shard(spark):
+    ids = random.Random(8).sample(range(10**9), 400)
+    for shards, points in ((5, 8), (40, 64)):
+        docs = spark.createDataFrame([(i, "t", {"a": i}) for i in ids], "doc_id long, text string, more map<string,int>")
+        at = {r["doc_id"]: r["at"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) & 9223372036854775807 as at").collect()}
+        want = place_one_by_one([at[i] for i in ids], *sharding.ring(shards, points), shards)
+        assert {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=shards, points=points).collect()} == dict(zip(ids, want, strict=True))
+
+
+def test_sharding_moves_few(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'t' as text").cache()
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.assign(docs, shards=n).select("doc_id", "shard").collect()} for n in (40, 41))
+    moved = [k for k in before if before[k] != after[k]]
+    assert len(moved) < 0.08 * 20_000 and sum(after[k] == 40 for k in moved) > 0.3 * len(moved)
 
 
 def test_chats(spark):

@@ -50,13 +50,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
     return sources.select("source", "source_size", F.when(above, ceiling).otherwise(level).alias("target"))
 
 
-def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, carry: bool = True) -> DataFrame:
-    """A row per document with size, source_size, target, copies and taken; carry keeps the document's columns as `_row`."""
-    out = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), C.n_words(F.col(text)).alias("size"),
-        (C.row_hash(docs) if carry else F.lit(0).cast("long")).alias("_tie"), *([F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")] if carry else []),
-    )
-    rows, groups = C.ranked(out, "source", [F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.col("_tie")], ["size"], wide=carry)
+def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """A row per document with source, size, source_size, target, copies and taken, and KEY, the hashes of all its columns."""
+    out = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(source).cast("string").alias("source"), C.n_words(F.col(text)).alias("size"), *C.row_keys(docs))
+    rows, groups = C.ranked(out, "source", [F.col("size").desc(), F.col("doc_id").asc_nulls_first(), *[F.col(k).asc() for k in C.KEY]], ["size"])
     rate = targets(groups.select("source", F.col("_sum_size").alias("source_size")))
     rate = C.small_side(C.cut(rate.withColumnRenamed("source", "_source")))
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -64,19 +61,20 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
     return (
         rows.join(rate, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", r)
         .withColumn("copies", at(F.col("_rank") + 1) - at(F.col("_rank")))
-        .withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_rate", "_rank", "_tie")
+        .withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_rate", "_rank")
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it, with the columns of docs."""
-    taken = copies(docs, **options).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return taken.select("_row.*")
+    rows = C.cut(copies(docs, key=key, **options).select("doc_id", *C.KEY, "copies"))
+    found = rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")  # CAP at most
+    return C.rejoin(docs, found, key, C.repeats(rows)).drop("_copy")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
-    return copies(docs, carry=False).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return copies(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 ORACLE = rf"""

@@ -13,10 +13,8 @@ table gives no rows; the result's columns replace input columns of their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +25,24 @@ SHARDS, POINTS = 40, 64
 PIECES = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
 
 
-def ring(shards: int = SHARDS, points: int = POINTS) -> tuple[np.ndarray, list[int]]:
+def ring(shards: int = SHARDS, points: int = POINTS) -> tuple[list[int], list[int]]:
     """Sorted ends of the arcs, in 0 .. 2^63, and the shard that owns each."""
     ends = sorted((int.from_bytes(hashlib.sha256(f"{s}/{p}".encode()).digest()[:8], "big") >> 1, s) for s in range(shards) for p in range(points))
-    return np.array([e for e, _ in ends], dtype=np.int64), [s for _, s in ends]
+    return [e for e, _ in ends], [s for _, s in ends]
+
+
+def cells(spark: SparkSession, ends: list[int]) -> tuple[DataFrame, int]:
+    """(_cell, _ends, _first): the ring in 2^bits equal cells with the ends in each and the arc of its beginning; and 63 - bits.
+
+    A place's arc is its cell's first one plus the ends of the cell that lie before it, so an equi-join and a short
+    array find it. The table has no more rows than twice the arcs and is broadcast.
+    """
+    shift = 63 - len(ends).bit_length()
+    rows = []
+    for cell in range(1 << (63 - shift)):
+        first, last = bisect_left(ends, cell << shift), bisect_left(ends, (cell + 1) << shift)
+        rows.append((cell, ends[first:last], first))
+    return spark.createDataFrame(rows, "_cell long, _ends array<long>, _first int"), shift
 
 
 def bounds(total: int, shards: int) -> list[int]:
@@ -59,22 +71,18 @@ def walk(counts: list[int], owners: list[int], shards: int) -> list[list[tuple[i
     return pieces
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, key: str = "doc_id", text: str = "text", carry: bool = True) -> DataFrame:
-    """A row per document with size, text_crc32, law, shard, slot and grown_shard; carry keeps the document's columns as `_row`."""
+def assign(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document with size, text_crc32, law, shard, slot, grown_shard, and KEY, the hashes of all its columns."""
     ends, owners = ring(shards, points)
-
-    @F.pandas_udf("int")
-    def arc_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for at in parts:
-            yield pd.Series((np.searchsorted(ends, at.to_numpy()) % len(ends)).astype(np.int32))
-
+    table, shift = cells(docs.sparkSession, ends)
     rows = docs.select(
-        F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 63) - 1)).alias("_at_ring"),
-        (C.row_hash(docs) if carry else F.xxhash64(key, text)).alias("_tie"), *([F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")] if carry else []),
-    ).withColumn("_arc", arc_of("_at_ring"))
-    rows, groups = C.ranked(rows, "_arc", [F.col(c).asc() for c in ("_at_ring", "doc_id", "_tie")], wide=carry)
+        F.col(f"`{key}`").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.col(f"`{key}`")).bitwiseAND(F.lit((1 << 63) - 1)).alias("_at_ring"), *C.row_keys(docs),
+    )
+    rows = rows.withColumn("_cell", F.shiftright("_at_ring", shift)).join(F.broadcast(table), "_cell")  # bounded by the ring
+    arc = (F.col("_first") + F.size(F.filter("_ends", lambda e: e < F.col("_at_ring")))) % len(ends)
+    rows = rows.withColumn("_arc", arc.cast("int")).drop("_cell", "_ends", "_first")
+    rows, groups = C.ranked(rows, "_arc", [F.col(c).asc() for c in ("_at_ring", "doc_id", *C.KEY)])
     counts = [0] * len(owners)
     for arc, n in groups.select("_arc", "_n").collect():  # no more rows than the ring has arcs
         counts[arc] = n
@@ -84,15 +92,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, key: str
     rows = rows.withColumn("_piece", F.filter("_pieces", lambda p: (p["from"] <= F.col("_rank")) & (F.col("_rank") < p["to"]))[0])
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_piece.shard").alias("shard"),
-        (F.col("_piece.slot") + F.col("_rank") - F.col("_piece.from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["_row"] if carry else []),
+        (F.col("_piece.slot") + F.col("_rank") - F.col("_piece.from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *C.KEY,
     )
 
 
-def shard(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their shard and slot, ready to be written by shard."""
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return assign(docs, **options).select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "shard", "slot")
+def shard(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The documents with their shard and slot, ready to be written by shard. Places are found on narrow rows."""
+    found = C.cut(assign(docs, key=key, **options).select("doc_id", *C.KEY, "shard", "slot"))
+    return C.rejoin(docs, found, key, C.repeats(found))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(C.table(spark, sf_dir, "documents"), carry=False)
+    return assign(C.table(spark, sf_dir, "documents").select("doc_id", "text")).drop(*C.KEY)
