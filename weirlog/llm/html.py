@@ -2,19 +2,24 @@
 
 Each page is parsed by itself, so a table of pages is one pass without a shuffle. Elements that HTML closes without an end
 tag (p before a block, li, dt, dd, options, table parts, head before what can't be in it) are closed here; stray end tags are
-passed over. Not shown: head, script, style, template and the like, hidden elements and those styled display:none or visibility:hidden.
+passed over. Not shown: head, script, style, template and the like, closed dialogs, what in an svg isn't text, elements that
+are hidden or styled display:none with all below them, and text whose nearest element that says so is visibility:hidden.
 Layout: white space collapses outside pre; blocks begin on a line of their own, and paragraphs, headings, lists, tables,
-quotes and pre have an empty line around them; list items have "- " or their number and indent what is below them; cells of
-a table are padded to the width of their column (colspan spans columns), with two spaces between.
-
-Defined results: null or empty html gives an empty text and title; text without tags is laid out as it is; an unclosed
-comment or raw element hides the rest of the page; repeated rows each have a row; result columns replace input columns.
+quotes and pre have an empty line around them, as have two br in a row; list items have "- " or their number and indent what
+is below them; cells of a table stand in a grid (colspan, rowspan) and are padded to the width of their column, with two
+spaces between. A cell of more than WIDE characters doesn't widen its column, it moves the rest of its line.
+
+Time and the text's size are in proportion to the page: tags are read forwards only, open elements are found by their depth,
+no function calls itself, and padding has limits (PADDED and so on). Defined results: null or empty html gives an empty text and
+title; text without tags is laid out as it is; an unclosed comment, raw element or tag hides the rest of the page; control
+characters 0 and 1 are left out; repeated rows each have a row; result columns replace input columns.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +30,11 @@ from weirlog.llm import common as C
 
 # Elements of HTML by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noframes noembed".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noframes noembed desc metadata defs symbol".split())
 RAW = frozenset("script style noscript iframe template noframes noembed title textarea".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr details".split())
-BLOCK = SPACED | frozenset("html body div section article aside nav main header footer form address li dt dd figcaption center summary legend caption tr td th thead tbody tfoot option optgroup select textarea hgroup search menu dir".split())
+PRE = frozenset("pre listing textarea".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre listing figure fieldset hr details".split())
+BLOCK = SPACED | frozenset("html body div section article aside nav main header footer form address li dt dd figcaption center summary legend caption tr td th thead tbody tfoot option optgroup select textarea hgroup search menu dir dialog".split())
 #: A start tag closes these open elements, unless one of the second set is in between.
 CLOSES = {
     **{t: ({"p"}, {"table", "td", "th", "button", "li", "dd", "dt", "div", "blockquote", "section", "article"}) for t in BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "li", "dt", "dd", "option", "optgroup", "caption", "select"}},
@@ -42,10 +48,17 @@ IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript
 #: What these elements need around them.
 PARENT = {"td": "tr", "th": "tr", "tr": "table"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-ATTR = re.compile(r"""(=?[^\s/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'][^\s]*)))?""")
-NUMBER = {"colspan": re.compile(r"\s*(\d{1,3})"), "start": re.compile(r"\s*(-?\d{1,9})")}
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+#: What is left of a tag, if it is written as most are; else its attributes are read one by one.
+PLAIN_TAG = re.compile(r"""((?:\s++[^\s"'<>/=]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+)\s*+/?>""")
+ATTR = re.compile(r"""[\s/]*+(?:(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
+#: Attributes that matter here.
+MATTERS = re.compile(r"hidden|style|span|start|value|type|open", re.I)
+NUMBER = re.compile(r"\s*(-?\d{1,9})")
+#: Characters up to which a cell widens its column, a line is padded and lists indent; tables in tables that are aligned.
+#: (Deeper tables show their cells one below the other. Nothing is lost; without these a small page could make gigabytes.)
+WIDE, PADDED, INDENTED, DEEP = 200, 2000, 80, 32
 NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+""")
 #: Words of valid values, as a browser passes over a declaration of any other.
@@ -57,15 +70,16 @@ VALUES = {
 
 
 def attributes(raw: str) -> dict[str, str]:
-    """Values by lower-case name; the first of a name counts, a value without its closing quote takes the rest."""
+    """Values by lower-case name; the first of a name counts, a quote that never closes is a sign of its value."""
     found: dict[str, str] = {}
     for name, *values in ATTR.findall(raw):
-        found.setdefault(name.lower(), entities.unescape("".join(values)))
+        if name:
+            found.setdefault(name.lower(), entities.unescape("".join(values)))
     return found
 
 
-def styled_away(style: str) -> bool:
-    """Whether display:none or visibility:hidden is in force: the last valid declaration counts, important ones before others."""
+def styles(style: str) -> dict[str, str]:
+    """display and visibility, where declared: the last valid declaration counts, important ones before others."""
     found: dict[str, tuple[bool, str]] = {}
     for part in DECLARATION.findall(NOTE.sub(" ", style.lower())):
         name, _, value = part.partition(":")
@@ -73,225 +87,380 @@ def styled_away(style: str) -> bool:
         name, value, important = name.strip(), value.strip(), bool(mark)
         if name in VALUES and value and VALUES[name].issuperset(value.split()) and important >= found.get(name, (False,))[0]:
             found[name] = important, value
-    return found.get("display", (False, ""))[1] == "none" or found.get("visibility", (False, ""))[1] == "hidden"
+    return {name: value for name, (_, value) in found.items()}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "shown")
-
-    def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
-        self.tag, self.attrs, self.kids, self.parent = tag, attributes(attrs) if attrs else {}, [], parent
-        self.shown = tag not in HIDDEN and "hidden" not in self.attrs and not (tag == "input" and self.attrs.get("type", "").lower() == "hidden")
-        if self.shown and "style" in self.attrs:
-            self.shown = not styled_away(self.attrs["style"])
+    """An element: shown is false if it has no box, visible is None where its parent's visibility holds."""
+
+    __slots__ = ("tag", "attrs", "kids", "shown", "visible")
+
+    def __init__(self, tag: str, raw: str = ""):
+        self.tag, self.kids = tag, []
+        self.attrs = attributes(raw) if raw and MATTERS.search(raw) else {}
+        self.shown, self.visible = tag not in HIDDEN and (tag != "dialog" or "open" in self.attrs), None
+        if self.attrs:
+            said = styles(self.attrs["style"]) if "style" in self.attrs else {}
+            self.shown = self.shown and ("hidden" not in self.attrs or "display" in said) and said.get("display") != "none"
+            if tag == "input" and self.attrs.get("type", "").lower() == "hidden":
+                self.shown = False
+            if said.get("visibility") in ("visible", "hidden", "collapse"):
+                self.visible = said["visibility"] == "visible"
 
     def number(self, name: str, default: int) -> int:
-        found = NUMBER[name].match(self.attrs.get(name, ""))
+        found = NUMBER.match(self.attrs.get(name, ""))
         return int(found[1]) if found else default
 
 
+def rest_of_tag(page: str, at: int) -> tuple[str, int]:
+    """Attributes of a tag, from behind its name, and the place behind its end; -1 where the page ends first."""
+    found = PLAIN_TAG.match(page, at)
+    if found:
+        return found[1], found.end()
+    begin, end = at, len(page)
+    while at < end:
+        if page[at] == ">":
+            return page[begin:at], at + 1
+        at = max(ATTR.match(page, at).end(), at + (page[at] in "\"'"))
+    return "", -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes), ("close", tag, "") and ("raw", tag, text), in order."""
+    begin = at = 0
+    end = len(page)
+    while (at := page.find("<", at)) >= 0:
+        name = NAME.match(page, at + 1)
+        if not name and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1  # a sign like any other
+            continue
+        if at > begin:
+            yield "text", page[begin:at], ""
+        if not name:
+            if page.startswith("<!--", at):
+                to = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else page.find("-->", at + 4) + 3
+                at = to if to > at else -1
+            else:
+                at = page.find(">", at) + 1 or -1
+            if at < 0:
+                return
+            begin = at
+            continue
+        tag = name[2].lower()
+        raw, at = rest_of_tag(page, name.end())
+        if at < 0:
+            return
+        begin = at
+        if name[1]:
+            yield "close", tag, ""
+            continue
+        yield "open", tag, raw
+        if tag in RAW:
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            yield "raw", tag, page[at : found.start() if found else end]
+            _, at = rest_of_tag(page, found.end()) if found else ("", -1)
+            if at < 0:
+                return
+            begin = at
+    if begin < end:
+        yield "text", page[begin:], ""
+
+
 def parse(page: str) -> tuple[Node, str]:
     """The tree of a page (texts are kids as strings) and its title."""
-    root = now = Node("html")
-    title, at, opened = "", 0, {}
+    root = Node("html")
+    stack, title = [root], ""
+    depths: dict[str, list[int]] = {}  # of the open elements, by tag
+
+    def open_tag(tag: str, raw: str = "") -> None:
+        node = Node(tag, raw)
+        stack[-1].kids.append(node)
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append(node)
 
-    def open_tag(tag: str, attrs: str) -> None:
-        nonlocal now
-        now = Node(tag, attrs, now)
-        now.parent.kids.append(now)
-        opened[tag] = opened.get(tag, 0) + 1
+    def close(depth: int) -> None:
+        """Closes all that is open from a depth on."""
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
 
-    def close(to: Node) -> None:
-        nonlocal now
-        while now is not to:
-            opened[now.tag] -= 1
-            now = now.parent
+    def innermost(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
     def end_head() -> None:
-        if opened.get("head"):
-            close(now.parent)  # nothing else is open within a head
-
-    def add(text: str) -> None:
-        if opened.get("head") and not SPACE.fullmatch(text):
-            end_head()
-        now.kids.append(text)
-
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            if tag == "br":
+        if depths.get("head"):
+            close(depths["head"][-1])
+
+    page = page.replace("\0", "").replace("\1", "")
+    for kind, tag, more in tokens(page):
+        if kind == "text":
+            if depths.get("head") and not SPACE.fullmatch(tag):
                 end_head()
-                now.kids.append(Node("br"))
-            elif opened.get(tag):
-                node = now
-                while node.tag != tag:
-                    node = node.parent
-                close(node.parent)
-            continue
-        if tag == "html" or tag in ("head", "body") and opened.get(tag):
-            continue
-        if tag not in IN_HEAD:
-            end_head()
-        if tag in CLOSES:
-            ends, stops = CLOSES[tag]
-            if any(opened.get(t) for t in ends):
-                node, found = now, None
-                while node is not root and node.tag not in stops:
-                    if node.tag in ends:
-                        found = node
-                    node = node.parent
-                if found is not None:
-                    close(found.parent)
-        if tag in PARENT and now.tag not in ("tr", "table", "thead", "tbody", "tfoot") and not opened.get("table"):
-            open_tag("table", "")
-        if PARENT.get(tag) == "tr" and now.tag in ("table", "thead", "tbody", "tfoot"):
-            open_tag("tr", "")
-        attrs = m[3] or m[6] or ""
-        if tag in VOID:
-            now.kids.append(Node(tag, attrs, now))
-        elif tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-            text = page[at : end.start() if end else len(page)]
-            at = end.end() if end else len(page)
+            stack[-1].kids.append(tag)
+        elif kind == "raw":
             if tag == "title":
-                title = title or SPACE.sub(" ", entities.unescape(text)).strip()
+                title = title or ("" if depths.get("svg") else SPACE.sub(" ", entities.unescape(more)).strip())
             elif tag == "textarea":
-                open_tag(tag, attrs)
-                now.kids.append(text)
-                close(now.parent)
-        else:
-            open_tag(tag, attrs)
-    if at < len(page):
-        add(page[at:])
+                open_tag(tag)
+                stack[-1].kids.append(more)
+                close(len(stack) - 1)
+        elif kind == "close":
+            if tag == "br":
+                end_head()
+                stack[-1].kids.append(Node("br"))
+            elif depths.get(tag):
+                close(depths[tag][-1])
+        elif tag != "html" and not (tag in ("head", "body") and depths.get(tag)):
+            if tag not in IN_HEAD:
+                end_head()
+            if tag in CLOSES:
+                ends, stops = CLOSES[tag]
+                above = innermost(stops)
+                found = [d[bisect_right(d, above)] for d in (depths.get(t) for t in ends) if d and d[-1] > above]
+                if found:
+                    close(min(found))
+            if tag in PARENT and stack[-1].tag not in ("tr", "table", "thead", "tbody", "tfoot") and not depths.get("table"):
+                open_tag("table")
+            if PARENT.get(tag) == "tr" and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+                open_tag("tr")
+            if tag in VOID:
+                stack[-1].kids.append(Node(tag, more))
+            elif tag not in RAW:
+                open_tag(tag, more)
     return root, title
 
 
+#: Blanks and tabs of preformatted text, while a line is made.
+KEPT, BACK = str.maketrans(" \t", "\0\1"), str.maketrans("\0\1", " \t")
+
+
 class Flow:
     """Lines in the making: pending text, and whether a line or an empty line must come before the next text."""
 
     def __init__(self):
-        self.lines, self.text, self.gap, self.marks, self.indent = [], [], 0, [], ""
+        self.lines, self.text, self.gap, self.marks, self.indent, self.broken = [], [], 0, [], "", False
 
-    def flush(self, gap: int) -> None:
-        line = SPACE.sub(" ", "".join(self.text)).strip(" ") if self.text else ""
+    def line(self) -> str:
+        found = SPACE.sub(" ", "".join(self.text)).strip(" ").translate(BACK).rstrip() if self.text else ""
         self.text = []
-        if line:
+        return found
+
+    def flush(self, gap: int) -> None:
+        """Ends a line if there is one."""
+        if line := self.line():
             self.put(line)
-        self.gap = max(self.gap, gap)
+        self.gap, self.broken = max(self.gap, gap), False
 
-    def raw(self) -> None:
-        """Ends a line of preformatted text."""
-        line = "".join(self.text).rstrip()
-        self.text = []
-        self.put(line) if line else self.lines.append("")
+    def end_line(self, pre: bool) -> None:
+        """Ends a line, also an empty one of preformatted text; elsewhere a second br in a row makes an empty line."""
+        if line := self.line():
+            self.put(line)
+            self.gap, self.broken = max(self.gap, 1), True
+        elif pre:
+            self.put("")
+        else:
+            self.gap, self.broken = max(self.gap, 2 if self.broken else 1), True
 
     def put(self, line: str) -> None:
         if self.gap > 1 and self.lines and self.lines[-1]:
             self.lines.append("")
         lead = self.indent
-        if self.marks:
+        if self.marks and line:
             mark = "".join(self.marks)
-            lead = self.indent[: len(self.indent) - len(mark)] + mark
+            lead = self.indent[: max(0, len(self.indent) - len(mark))] + mark
             self.marks = []
-        self.lines.append(lead + line)
+        self.lines.append(lead + line if line else "")
         self.gap = 0
 
+    def put_all(self, lines: list, deep: bool) -> None:
+        """Lines of a table, which may hold lists of lines; they are taken as they are where nothing is to be put before them."""
+        if deep or not (self.indent or self.marks):
+            if lines:
+                if self.gap > 1 and self.lines and self.lines[-1]:
+                    self.lines.append("")
+                self.lines.append(lines)
+                self.gap = 0
+        else:
+            for line in flat(lines):
+                self.put(line)
+
+
+def flat(lines: list) -> list[str]:
+    """Lines of lists within lists."""
+    out, todo = [], [iter(lines)]
+    while todo:
+        for x in todo[-1]:
+            if not isinstance(x, str):
+                todo.append(iter(x))
+                break
+            out.append(x)
+        else:
+            todo.pop()
+    return out
+
 
-def layout(node: Node) -> list[str]:
-    """Lines of what a node shows; kids are walked with a stack of their iterators, cells and tables are flows of their own."""
-    flow = Flow()
-    stack: list[tuple[Node, Iterator, object]] = [(node, iter(node.kids), None)]
+def layout(node: Node, visible: bool, tables: dict[int, list], deep: bool = False) -> list:
+    """Lines (and lists of lines) of what a node shows, tables in it being laid out already; kids are walked with a stack of their iterators."""
+    flow, within_list = Flow(), ("ul", "ol")
+    gap_of = lambda tag: 2 if tag in SPACED and (tag not in within_list or not flow.indent) else 1
+    stack = [(node, iter(node.kids), None, visible, node.tag in PRE, node.tag == "svg")]
+    counters: list = []  # of the open lists
     while stack:
-        here, kids, undo = stack[-1]
+        here, kids, undo, visible, pre, drawn = stack[-1]
         kid = next(kids, None)
         if kid is None:
             stack.pop()
-            if here.tag == "pre" and "".join(flow.text).strip():
-                flow.raw()
             if here.tag in BLOCK:
-                flow.flush(2 if here.tag in SPACED and (here.tag not in ("ul", "ol") or not flow.indent) else 1)
+                flow.flush(gap_of(here.tag))
             if here.tag == "li":
                 flow.marks, flow.indent = [], undo
+            elif here.tag in within_list:
+                counters.pop()
         elif isinstance(kid, str):
+            if not visible or drawn:
+                continue
             text = entities.unescape(kid) if "&" in kid else kid
-            if any(h.tag == "pre" for h, _, _ in stack[-3:]):
-                first, *rest = text.split("\n")
-                flow.text.append(first)
-                for line in rest:
-                    flow.raw()
-                    flow.text = [line]
-            else:
+            if not pre:
                 flow.text.append(text)
+                continue
+            first, *rest = text.replace("\r\n", "\n").translate(KEPT).split("\n")
+            if rest and not first and kid is here.kids[0] and here.tag in PRE:
+                first, *rest = rest  # a line end right behind the tag doesn't count
+            flow.text.append(first)
+            for line in rest:
+                flow.end_line(True)
+                flow.text = [line]
         elif not kid.shown:
             continue
         elif kid.tag == "br":
-            flow.flush(1)
+            if visible:
+                flow.end_line(pre)
         elif kid.tag == "table":
             flow.flush(2)
-            for line in table(kid):
-                flow.put(line)
+            flow.put_all(tables.pop(id(kid)), deep)
             flow.gap = 2
         else:
             undo = None
             if kid.tag in BLOCK:
-                flow.flush(2 if kid.tag in SPACED and (kid.tag not in ("ul", "ol") or not flow.indent) else 1)
-            if kid.tag in ("ol", "ul"):
-                undo = [kid.number("start", 1) if kid.tag == "ol" else None]
-            if kid.tag == "li":
-                mark, counter = "- ", next((u for h, _, u in reversed(stack) if h.tag in ("ol", "ul")), None)
-                if counter and counter[0] is not None:
-                    mark, counter[0] = f"{counter[0]}. ", counter[0] + 1
+                flow.flush(gap_of(kid.tag))
+            if kid.tag in within_list:
+                counters.append(kid.number("start", 1) if kid.tag == "ol" else None)
+            elif kid.tag == "li":
+                mark = "- "
+                if counters and counters[-1] is not None:
+                    number = kid.number("value", counters[-1])
+                    mark, counters[-1] = f"{number}. ", number + 1
                 undo = flow.indent
-                flow.marks, flow.indent = [*flow.marks, mark], flow.indent + " " * len(mark)
-            stack.append((kid, iter(kid.kids), undo))
+                flow.marks.append(mark)
+                flow.indent = (flow.indent + " " * len(mark))[:INDENTED]
+            seen = visible if kid.visible is None else kid.visible
+            stack.append((kid, iter(kid.kids), undo, seen, pre or kid.tag in PRE, kid.tag == "svg" or (drawn and kid.tag not in ("text", "foreignobject"))))
     flow.flush(0)
     return flow.lines
 
 
-def table(node: Node) -> list[str]:
-    """Rows of a table, each cell padded to its column."""
-    rows, above, todo = [], [], [*reversed(node.kids)]
+def grid(rows: list[list[tuple[list, int, int]]]) -> list[list[tuple[int, int, list]]]:
+    """rows of cells (lines, colspan, rowspan) to rows of (first column, last column + 1, lines)."""
+    taken: list[tuple[int, int, int]] = []  # columns from, to, and the row where they are free again
+    out = []
+    for y, row in enumerate(rows):
+        taken = [t for t in taken if t[2] > y]
+        placed, x, k = [], 0, 0
+        for lines, across, down in row:
+            while k < len(taken) and taken[k][0] < x + across:
+                if taken[k][1] > x:
+                    x = taken[k][1]
+                k += 1
+            placed.append((x, x + across, lines, y + down if down else len(rows)))
+            x += across
+        out.append([p[:3] for p in placed])
+        joined: list[tuple[int, int, int]] = []
+        for t in sorted([*taken, *[(a, b, until) for a, b, _, until in placed if until > y + 1]]):
+            if joined and joined[-1][1] == t[0] and joined[-1][2] == t[2]:
+                joined[-1] = (joined[-1][0], t[1], t[2])
+            else:
+                joined.append(t)
+        taken = joined
+    return out
+
+
+def table(node: Node, visible: bool, tables: dict[int, list], deep: bool) -> list:
+    """Lines of a table, each cell padded to its columns; what stands in a table but in no cell comes before it."""
+    rows, above, todo = [], [], [(k, visible) for k in reversed(node.kids)]
+
+    def loose(text: str, seen: bool) -> None:
+        if seen and (text := SPACE.sub(" ", entities.unescape(text)).strip()):
+            above.append(text)
+
     while todo:
-        kid = todo.pop()
-        if isinstance(kid, str) or not kid.shown:
-            above += [SPACE.sub(" ", entities.unescape(kid)).strip()] if isinstance(kid, str) and kid.strip() else []
-        elif kid.tag in ("thead", "tbody", "tfoot"):
-            todo.extend(reversed(kid.kids))
+        kid, seen = todo.pop()
+        if isinstance(kid, str):
+            loose(kid, seen)
+            continue
+        if not kid.shown:
+            continue
+        seen = seen if kid.visible is None else kid.visible
+        if kid.tag in ("thead", "tbody", "tfoot"):
+            todo.extend((k, seen) for k in reversed(kid.kids))
         elif kid.tag == "tr":
-            cells = [c for c in kid.kids if not isinstance(c, str) and c.shown]
-            rows.append([(layout(c), max(1, c.number("colspan", 1))) for c in cells])
-            above += [SPACE.sub(" ", entities.unescape(c)).strip() for c in kid.kids if isinstance(c, str) and c.strip()]
+            cells = []
+            for c in kid.kids:
+                if isinstance(c, str):
+                    loose(c, seen)
+                elif c.shown:
+                    own = seen if c.visible is None else c.visible
+                    cells.append((layout(c, own, tables, deep), min(max(1, c.number("colspan", 1)), 1000), min(max(0, c.number("rowspan", 1)), 65534)))
+            rows.append(cells)
         else:
-            above += layout(kid)
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines), 0) if lines else width.get(at, 0)
-            at += span
+            above.append(tables.pop(id(kid)) if kid.tag == "table" else layout(kid, seen, tables, deep))
+    if deep or all(len(row) < 2 for row in rows) and not any(down != 1 for row in rows for _, _, down in row):  # one column needs no padding
+        found = [x for x in above + [lines for row in rows for lines, _, _ in row] if x]
+        return found[0] if len(found) == 1 and not isinstance(found[0], str) else found
+    placed = grid([[(flat(lines), across, down) for lines, across, down in row] for row in rows])
+    starts = sorted({a for row in placed for a, _, _ in row})  # columns in which no cell begins have no width
+    width, wider = [0] * len(starts), []
+    for row in placed:
+        for a, b, lines in row:
+            first, last = bisect_left(starts, a), bisect_left(starts, b)
+            size = max((len(x) for x in lines if len(x) <= WIDE), default=0)
+            if last - first == 1:
+                width[first] = max(width[first], size)
+            else:
+                wider.append((last - first, first, last, size))
+    for n, first, last, size in sorted(wider):
+        if n * 2 - 2 < size and (short := size - sum(width[first:last]) - 2 * (n - 1)) > 0:
+            width[last - 1] += short
+    left = [0]
+    for w in width:
+        left.append(left[-1] + w + 2)
     out = above
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, size = [], 0
+            for a, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    to = left[bisect_left(starts, a)]
+                    pad = max(to - size if max(to, len(lines[k])) <= PADDED else 0, 2 if size else 0)
+                    line += [" " * pad, lines[k]]
+                    size += pad + len(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
 def page_text(page: str | None) -> tuple[str, str]:
     """Title and visible text of a page."""
     root, title = parse(page or "")
-    return title, "\n".join(layout(root)).strip("\n")
+    found, todo = [], [(root, True, 0)]
+    while todo:  # tables in the order of the page, so a table in another comes behind it
+        node, visible, level = todo.pop()
+        visible = visible if node.visible is None else node.visible
+        if node.tag == "table":
+            found.append((node, visible, level >= DEEP))
+            level += 1
+        todo.extend((k, visible, level) for k in reversed(node.kids) if not isinstance(k, str) and k.shown)
+    tables: dict[int, list] = {}
+    for node, visible, deep in reversed(found):
+        tables[id(node)] = table(node, visible, tables, deep)
+    return title, "\n".join(flat(layout(root, True, tables))).strip("\n")
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
