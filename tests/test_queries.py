@@ -10,7 +10,7 @@ from weirlog.plans.execute import execute, pool_of
 from weirlog.plans.report import render
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.SQL if n.startswith(("cls_", "filter_", "timeline", "class", "flag", "runner", "topn_uri", "rows_ts", "panels", "geo", "apply_tag_bot"))])
+@pytest.mark.parametrize("name", [n for n in catalog.SQL if n.startswith(("cls_", "filter_", "timeline", "class", "flag", "runner", "topn_uri", "rows_ts", "panels", "geo", "apply_tag_bot", "matches", "latest", "attack_rules", "bots_all", "local_v6", "json"))])
 def test_against_sql(spark, name):
     same(catalog.QUERIES[name](spark, DATA), catalog.SQL[name], DATA)
 

@@ -12,31 +12,28 @@ def many(ip, uri, n, step=1, more=None):
 
 
 def test_root_only(spark):
+    a, b, c, d, e, f, g, h = (f"203.0.113.{i}" for i in range(1, 9))
     events = [
-        *many("1.1.1.1", "/", 4), *many("2.2.2.2", "/", 4), ("2.2.2.2", "/style.css", 5), *many("3.3.3.3", "/", 4), ("3.3.3.3", "/about", 5), *many("4.4.4.4", "/", 3),
-        ("5.5.5.5", "/", 0), ("5.5.5.5", "/", 3 * DAY), *many("6.6.6.6", "/", 3, DAY), ("6.6.6.6", "/script.js", 5), ("7.7.7.7", "/", 0), ("7.7.7.7", "/", DAY), ("7.7.7.7", "/favicon.ico", 1), ("7.7.7.7", "/robots.txt", 1),
-        ("8.8.8.9", "/", 0), ("8.8.8.9", "/", DAY), ("8.8.8.9", "/favicon.ico", 1), ("8.8.8.9", "/img/hero.png", 1),
+        *many(a, "/", 7), *many(b, "/", 5), (b, "/theme.css", 9), *many(c, "/", 6), (c, "/contact", 9), *many(d, "/", 3),
+        (e, "/", HOUR), (e, "/", 40 * HOUR), *many(f, "/", 5, DAY), (f, "/menu.mjs", 9), *many(g, "/", 2, 30 * HOUR), (g, "/robots.txt", 2), (g, "/favicon.ico", 3), (h, "/", 0), (h, "/", 2 * DAY), (h, "/robots.txt", 1), (h, "/logo.svg", 1),
     ]
-    out = rules.RootOnly().run(rows(spark, events)).collect()
-    assert {r["ip"] for r in out} == {"1.1.1.1", "5.5.5.5", "7.7.7.7"}
-    assert {r["ip"]: r["reason"] for r in out}["5.5.5.5"] == "2 / hit(s) across 2 UTC day(s); no static"
+    out = {r["ip"]: r["reason"] for r in rules.RootOnly().run(rows(spark, events)).collect()}
+    assert set(out) == {a, e, g} and out[e] == "2 / hit(s) across 2 UTC day(s); no static" and out[a] == "7 / hit(s) in a single UTC day; no static"
 
 
 def test_probe_only(spark):
-    advice = "/.well-known/traffic-advice"
-    events = [
-        ("1.1.1.1", advice, 0), ("2.2.2.2", "/ip", 0), ("3.3.3.3", advice, 0), ("3.3.3.3", "/ip", 1), ("4.4.4.4", "/ip", 0), ("4.4.4.4", "/about", 1), ("5.5.5.5", "/ip", 0), ("5.5.5.5", "/style.css", 1),
-        ("6.6.6.6", "/", 0), ("6.6.6.6", "/about", 1), ("7.7.7.7", advice, 0), ("7.7.7.7", advice, 1),
-    ]
+    soft, hard = "/sitemap.xml", "/sftp-config.json"
+    a, b, c, d, e, f = (f"198.51.100.{i}" for i in range(1, 7))
+    events = [(a, soft, 0), (b, hard, 0), (b, hard, 4), (c, hard, 0), (c, soft, 1), (d, soft, 0), (d, "/shop", 1), (e, hard, 0), (e, "/theme.css", 1), (f, "/shop", 0)]
     got = found(rules.ProbeOnly().run(rows(spark, events)))
-    assert got == {"1.1.1.1": "bot", "2.2.2.2": "malicious", "3.3.3.3": "malicious", "7.7.7.7": "bot"}
+    assert got == {a: "bot", b: "malicious", c: "malicious"}
     # Once the tags are applied, only a run that claims them finds them again.
     tagged = rows(spark, events, [(ip, tag) for ip, tag in got.items()])
     assert found(rules.ProbeOnly().run(tagged)) == {}
     assert found(rules.ProbeOnly().run(tagged, spark.createDataFrame([(ip,) for ip in got], "ip string"))) == got
-    globs = rules.ProbeOnly([("/ip", "malicious"), ("/dl/*.uf2", "bot")])
-    events = [("1.1.1.1", "/dl/a.uf2", 0), ("2.2.2.2", "/dl/a.uf2", 0), ("2.2.2.2", "/about", 0), ("3.3.3.3", "/ip", 0), ("3.3.3.3", "/dl/b.uf2", 0), ("4.4.4.4", "/dl/readme.txt", 0)]
-    assert found(globs.run(rows(spark, events))) == {"1.1.1.1": "bot", "3.3.3.3": "malicious"}
+    globs = rules.ProbeOnly([("/cam/snap?.jpg", "malicious"), ("/fw/*.bin", "bot")])
+    events = [(a, "/fw/v2.bin", 0), (b, "/fw/v2.bin", 0), (b, "/shop", 0), (c, "/cam/snap1.jpg", 0), (c, "/fw/v3.bin", 0), (d, "/fw/notes.txt", 0), (e, "/cam/snap12.jpg", 0)]
+    assert found(globs.run(rows(spark, events))) == {a: "bot", c: "malicious"}
 
 
 def test_other_rules(spark):
@@ -71,3 +68,14 @@ def test_override_history(spark):
     assert flags([("1.1.1.1", "bot")]) == [("dynamic", 1, 0), ("static", 1, 0)]
     assert flags([("1.1.1.1", "bot"), ("1.1.1.1", "malicious")]) == [("malicious", 1, 0)] * 2  # the flags stay the bot's
     assert flags([("1.1.1.1", "malicious"), ("1.1.1.1", "local")]) == [("dynamic", 0, 1), ("static", 0, 1)]
+
+
+def test_order_of_candidates(spark):
+    head = {"method": "HEAD"}
+    events = many("4.0.0.1", "/a", 5, 1, head) + many("4.0.0.2", "/a", 9, 1, head) + many("4.0.0.3", "/a", 5, 1, head)
+    assert [r["ip"] for r in rules.HeadOnly().listed(rows(spark, events)).collect()] == ["4.0.0.2", "4.0.0.1", "4.0.0.3"]
+    steady, loose = [i * 90 * 10**9 for i in range(12)], [0, 80, 190, 270, 380, 460, 570, 650, 760, 840]
+    events = [("4.0.1.1", "/a", s * 10**9) for s in loose] + [("4.0.1.2", "/a", s) for s in steady]
+    assert [r["ip"] for r in rules.Cadence().listed(rows(spark, events)).collect()] == ["4.0.1.2", "4.0.1.1"]
+    events = many("4.0.2.1", "/", 6) + many("4.0.2.2", "/", 3, DAY) + many("4.0.2.3", "/", 8)
+    assert [r["ip"] for r in rules.RootOnly().listed(rows(spark, events)).collect()] == ["4.0.2.2", "4.0.2.3", "4.0.2.1"]

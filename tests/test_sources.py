@@ -109,6 +109,45 @@ def test_tail_reader(tmp_path):
     assert TailReader({"path": path, "fromstart": "false"}).initialOffset()["byte"] == 2
 
 
+def test_tail_restart(spark, tmp_path):
+    """Stopped and started again with a small step: each line once, also behind more than a step."""
+    path, out, cp = str(tmp_path / "r.log"), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run(first, last):
+        with open(path, "a") as f:
+            f.write("".join(line(uri=f"/{i}") + "\n" for i in range(first, last)))
+        flagged = live.FlaggedSet(spark, str(tmp_path / "flagged"))
+        query = live.follow(live.tail(spark, path, from_start=True, max_bytes=700), out, flagged, cp)
+        query.processAllAvailable()
+        query.stop()
+
+    run(0, 20)
+    run(20, 45)
+    run(45, 45)
+    assert sorted(int(r["uri"][1:]) for r in spark.read.parquet(out).collect()) == list(range(45))
+    r = TailReader({"path": path, "maxbytes": "80"})
+    first = r.latestOffset()  # of a restart: no step, and never back
+    assert first["byte"] == os.path.getsize(path) and len(r.partitions({"inode": first["inode"], "byte": 0}, first)) == 45
+
+
+def test_equal_names_in_folders(spark, tmp_path):
+    for d in ("b", "a"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.log").write_text("".join(line(uri=f"/{d}{i}") + "\n" for i in range(3)))
+    assert [r["uri"] for r in json_log.read(spark, [f"{tmp_path}/*/x.log"]).orderBy("seq").collect()] == ["/a0", "/a1", "/a2", "/b0", "/b1", "/b2"]
+
+
+def test_remote_cache(spark, tmp_path, logs):
+    """Paths with a scheme go through Spark's file system."""
+    cache, seen = f"file://{tmp_path}/cache", []
+    first = store.LogStore(spark, [f"file://{logs}/*.log*"], cache, progress=lambda *a: seen.append(a))
+    again = store.LogStore(spark, [f"file://{logs}/*.log*"], cache)
+    assert not first.from_cache and again.from_cache and again.rows().count() == 4 and seen[0][0] == "load"
+    scanned = again.rows().where("pool = 'dynamic'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(pool" in scanned
+    assert len(store.clear(cache, everything=True)) == 1 and not store.clear(cache, everything=True)
+
+
 def test_follow(spark, tmp_path):
     path, seen = str(tmp_path / "live.log"), []
     open(path, "w").write(line(ip="5.5.5.5", uri="/x") + "\n" + line(ip="5.5.5.5", uri="/wp-login.php") + "\n" + line(ip="5.5.5.5", uri="/a.css") + "\n")

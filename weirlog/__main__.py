@@ -22,6 +22,8 @@ def main(args: list[str] | None = None) -> int:
     report.add_argument("--attack-pattern", action="append", default=[])
     report.add_argument("--bot-list")
     report.add_argument("--bot-pattern", action="append", default=[])
+    report.add_argument("--probe-list", help="a JSON list of uri and tag for the probe rule")
+    report.add_argument("--days", type=float, default=0, help="only the last so many days")
     clear = commands.add_parser("clear-cache", help="remove the cache of some logs, or all of it")
     clear.add_argument("logs", nargs="*")
     clear.add_argument("--cache", required=True)
@@ -39,17 +41,23 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from weirlog.functions import lists
+    from weirlog.operators.filters import last_days
     from weirlog.plans.report import render
+    from weirlog.plans.rules import ProbeOnly, default_rules
     from weirlog.sources.tags import TagSet
 
     spark = SparkSession.builder.appName("weirlog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     rules = lists.attack_rules(lists.pattern_file(got.attack_list) if got.attack_list else None, got.attack_pattern)
     bots = lists.bot_patterns(lists.pattern_file(got.bot_list) if got.bot_list else None, got.bot_pattern)
-    logs = store.LogStore(spark, got.logs, got.cache, TagSet(got.tags), rules=rules, bots=bots)
+    say = lambda phase, done, total: print(f"{phase} {done}/{total}", file=sys.stderr)
+    logs = store.LogStore(spark, got.logs, got.cache, TagSet(got.tags), say, rules=rules, bots=bots)
     if got.classify:
-        for outcome in logs.run_rules():
+        chosen = default_rules()
+        if got.probe_list:
+            chosen = [ProbeOnly(lists.probe_file(got.probe_list)) if isinstance(r, ProbeOnly) else r for r in chosen]
+        for outcome in logs.run_rules(chosen):
             print(outcome, file=sys.stderr)
-    page = render(logs.rows(), got.logs, top=got.top, static=not got.no_static)
+    page = render(last_days(logs.rows(), got.days), got.logs, top=got.top, static=not got.no_static)
     print(page) if got.out == "-" else Path(got.out).write_text(page, encoding="utf-8")
     return 0
 

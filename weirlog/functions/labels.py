@@ -21,6 +21,24 @@ def java(pattern: str) -> str:
     return re.sub(r"([^\w\s/-])", r"\\\1", pattern)
 
 
+def any_word(words: list[str]) -> str:
+    """A regular expression that finds any of the words, common beginnings shared: a text's place tries a few letters, not all words."""
+    root: dict = {}
+    for word in filter(None, words):
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        if "" in node:  # what is longer has this one in it
+            return ""
+        parts = [java(c) + text(below) for c, below in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return text(root)
+
+
 def status_class(status: Column) -> Column:
     return F.when(status >= 500, "5xx").when(status >= 400, "4xx").when(status >= 300, "3xx").when(status >= 200, "2xx").when(status >= 100, "1xx").otherwise("other")
 
@@ -48,7 +66,7 @@ def is_static(uri: Column) -> Column:
 def is_bot(agent: Column, patterns: list[str] | None = None, generic: bool = True) -> Column:
     """No user agent is a bot's; else any pattern, and any word by which bots name themselves."""
     words = (lists.bot_patterns() if patterns is None else patterns) + (lists.BOT_TOKENS if generic else [])
-    found = F.lower(agent).rlike("|".join(map(java, words))) if words else F.lit(False)
+    found = F.lower(agent).rlike(any_word(words)) if words else F.lit(False)
     return (F.coalesce(agent, F.lit("")) == "") | found
 
 
@@ -98,7 +116,7 @@ def attack_reason(uri: Column, rules: lists.AttackRules | None = None) -> Column
         text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
         listed = F.expr(f"array({', '.join(f'named_struct({text("p")}, {text(p)}, {text("r")}, {text("attack_uri:" + r)})' for r, p in rules.substrings)})")
         first = F.get(F.filter(listed, lambda x: low.contains(x["p"])), F.lit(0))["r"]
-        found = [F.when(low.rlike("|".join(java(p) for _, p in rules.substrings)), first), *found]
+        found = [F.when(low.rlike(any_word([p for _, p in rules.substrings])), first), *found]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 

@@ -6,42 +6,299 @@ from dataclasses import dataclass
 from pathlib import Path
 
 # User agents of crawlers, matched anywhere in the lower-cased user agent.
-CRAWLERS = (
-    "Chef Client|Abonti|SISTRIX|DotBot|Speedy Spider|Sosospider|BPImageWalker|DoCoMo|GSLFbot|YodaoBot|AddThis|Purebot|CCBot|findlinks|ichiro|Linguee Bot|Gigabot|BacklinkCrawler|distilator|"
-    "Aboundex|UnwindFetchor|SBIder|TestNutch|DomainCrawler|NextGenSearchBot|SEOENGWorldBot|Cityreview|PagePeeker|JS-Kit|ScreenerBot|ShowyouBot|SolomonoBot|Domnutch|MaxPoint|NCBot|TosCrawler|"
-    "Updownerbot|OpenWebSpider|WordPress|PEAR|ZumBot|YisouSpider|W3C|vcheck|PercolateCrawler|NING|gvfs|CatchBot|Combine|A6-Indexer|Altresium|Comodo|crawler4j|Cricket|EC2LinkFinder|envolk|"
-    "GeoHasher|HTMLParser|MLBot|Jaxified|LinkWalker|nutch|PostRank|keybase-proofs|CommonCrawler|X-CAD-SE|Safeassign|Nmap|sqlmap|Jorgee|PxBroker|Seekport|adscanner|AfD-Verbotsverfahren_JETZT!|"
-    "DuckDuckGo-favicons-Bot|bingbot|PetalBot|Discordbot|ZoominfoBot|Googlebot|AhrefsBot|SemrushBot|Adsbot|BLEXBot|NetcraftSurveyAgent|Netcraft Web Server Survey|masscan|MJ12bot|Pandalytics|"
-    "YandexBot|Nimbostratus-Bot|SeznamBot|AppleBot"
-).split("|")
-MORE_BOTS = (
-    "Googlebot|bingbot|AdsBot-Google|APIs-Google|Mediapartners-Google|Storebot-Google|Google-InspectionTool|Google-Extended|GoogleOther|AhrefsBot|SemrushBot|MJ12bot|Baiduspider|YandexBot|"
-    "YandexImages|DuckDuckBot|facebookexternalhit|meta-externalagent|meta-externalfetcher|Twitterbot|LinkedInBot|Applebot|Pinterest|SkypeUriPreview|TelegramBot|Discordbot|Slackbot|WhatsApp|"
-    "PetalBot|Bytespider|DataForSeoBot|SeznamBot|Qwantify|archive.org_bot|ia_archiver|CCBot|ClaudeBot|anthropic-ai|GPTBot|ChatGPT-User|OAI-SearchBot|PerplexityBot|cohere-ai|Amazonbot|YouBot|"
-    "Diffbot|ImagesiftBot|Timpibot|Omgilibot|Bytedance|headless|python-requests|curl/|wget/|Go-http-client|okhttp|axios|node-fetch|libwww-perl|Java/|Scrapy|Apache-HttpClient|"
-    "Jakarta Commons-HttpClient|masscan|nmap|zgrab|Nuclei|SecurityScanner"
-).split("|")
-BOT_TOKENS = "bot|crawl|spider|slurp|check_http|monitoring|pingdom|uptime".split("|")
+CRAWLERS = """
+Chef Client
+Abonti
+SISTRIX
+DotBot
+Speedy Spider
+Sosospider
+BPImageWalker
+DoCoMo
+GSLFbot
+YodaoBot
+AddThis
+Purebot
+CCBot
+findlinks
+ichiro
+Linguee Bot
+Gigabot
+BacklinkCrawler
+distilator
+Aboundex
+UnwindFetchor
+SBIder
+TestNutch
+DomainCrawler
+NextGenSearchBot
+SEOENGWorldBot
+Cityreview
+PagePeeker
+JS-Kit
+ScreenerBot
+ShowyouBot
+SolomonoBot
+Domnutch
+MaxPoint
+NCBot
+TosCrawler
+Updownerbot
+OpenWebSpider
+WordPress
+PEAR
+ZumBot
+YisouSpider
+W3C
+vcheck
+PercolateCrawler
+NING
+gvfs
+CatchBot
+Combine
+A6-Indexer
+Altresium
+Comodo
+crawler4j
+Cricket
+EC2LinkFinder
+envolk
+GeoHasher
+HTMLParser
+MLBot
+Jaxified
+LinkWalker
+nutch
+PostRank
+keybase-proofs
+CommonCrawler
+X-CAD-SE
+Safeassign
+Nmap
+sqlmap
+Jorgee
+PxBroker
+Seekport
+adscanner
+AfD-Verbotsverfahren_JETZT!
+DuckDuckGo-favicons-Bot
+bingbot
+PetalBot
+Discordbot
+ZoominfoBot
+Googlebot
+AhrefsBot
+SemrushBot
+Adsbot
+BLEXBot
+NetcraftSurveyAgent
+Netcraft Web Server Survey
+masscan
+MJ12bot
+Pandalytics
+YandexBot
+Nimbostratus-Bot
+SeznamBot
+AppleBot
+""".strip().splitlines()
+MORE_BOTS = """
+Googlebot
+bingbot
+AdsBot-Google
+APIs-Google
+Mediapartners-Google
+Storebot-Google
+Google-InspectionTool
+Google-Extended
+GoogleOther
+AhrefsBot
+SemrushBot
+MJ12bot
+Baiduspider
+YandexBot
+YandexImages
+DuckDuckBot
+facebookexternalhit
+meta-externalagent
+meta-externalfetcher
+Twitterbot
+LinkedInBot
+Applebot
+Pinterest
+SkypeUriPreview
+TelegramBot
+Discordbot
+Slackbot
+WhatsApp
+PetalBot
+Bytespider
+DataForSeoBot
+SeznamBot
+Qwantify
+archive.org_bot
+ia_archiver
+CCBot
+ClaudeBot
+anthropic-ai
+GPTBot
+ChatGPT-User
+OAI-SearchBot
+PerplexityBot
+cohere-ai
+Amazonbot
+YouBot
+Diffbot
+ImagesiftBot
+Timpibot
+Omgilibot
+Bytedance
+headless
+python-requests
+curl/
+wget/
+Go-http-client
+okhttp
+axios
+node-fetch
+libwww-perl
+Java/
+Scrapy
+Apache-HttpClient
+Jakarta Commons-HttpClient
+masscan
+nmap
+zgrab
+Nuclei
+SecurityScanner
+""".strip().splitlines()
+BOT_TOKENS = """
+bot
+crawl
+spider
+slurp
+check_http
+monitoring
+pingdom
+uptime
+""".strip().splitlines()
 
 # File name extensions of static content.
-STATIC_EXTENSIONS = (
-    "js mjs css map scss less jpg jpeg png gif webp avif svg ico cur bmp tiff woff woff2 ttf otf eot mp4 webm mov ogv m4v mp3 wav m4a ogg flac aac opus pdf webmanifest appcache txt"
-).split()
+STATIC_EXTENSIONS = """
+js
+mjs
+css
+map
+scss
+less
+jpg
+jpeg
+png
+gif
+webp
+avif
+svg
+ico
+cur
+bmp
+tiff
+woff
+woff2
+ttf
+otf
+eot
+mp4
+webm
+mov
+ogv
+m4v
+mp3
+wav
+m4a
+ogg
+flac
+aac
+opus
+pdf
+webmanifest
+appcache
+txt
+""".strip().splitlines()
 
 # reason=substring of the lower-cased URI, in order; "re:" marks a regular expression on the URI as it is.
 ATTACKS = r"""
-wordpress=wp-login.php wordpress=wp-admin/ wordpress=wp-content/ wordpress=wp-includes/ wordpress=xmlrpc.php wordpress=wp-config wordpress=wlwmanifest.xml
-env-file=/.env git-dir=/.git/ aws-creds=/.aws/ ssh-dir=/.ssh/ docker-cfg=/.docker/ config-file=/config.json config-file=/config.php config-file=/config.yml config-file=/settings.php
-phpmyadmin=/phpmyadmin phpmyadmin=/pma/ phpmyadmin=/myadmin phpmyadmin=/dbadmin adminer=/adminer adminer=adminer.php cpanel=/cpanel plesk=/plesk
-server-info=server-status server-info=server-info server-info=/info.php server-info=/phpinfo actuator=/actuator/env actuator=/actuator/heapdump actuator=/actuator/mappings
-webshell=/shell.php webshell=/c99.php webshell=/r57.php webshell=/alfa.php webshell=/cmd.php webshell=/wso.php webshell=/up.php
-router=/boaform router=/hnap1 router=/setup.cgi router=/GponForm router=/goform/ router=/admin/formLogin
-exchange=/owa/ exchange=/ecp/ exchange=/autodiscover exchange=/ews/exchange.asmx cloud-metadata=/latest/meta-data cloud-metadata=/metadata/identity cloud-metadata=/computeMetadata/
-backup=/backup.zip backup=/backup.sql backup=/backup.tar backup=/dump.sql backup=/database.sql backup=/db.sql solr=/solr/ jenkins=/jenkins/
-joomla=/administrator/index.php drupal=/user/register magento=/downloader
-re:env-file-any=/\.env($|\.|/) re:dotfile=/\.[a-z_]+/config re:traversal=(\.\.|%2e%2e)(/|\\\\|%2f|%5c)
-probe=/robots.txt.bak probe=/.htaccess probe=/.htpasswd probe=/wordpress/ probe=/old/ probe=/test/ probe=/bak/
-""".split()
+wordpress=wp-login.php
+wordpress=wp-admin/
+wordpress=wp-content/
+wordpress=wp-includes/
+wordpress=xmlrpc.php
+wordpress=wp-config
+wordpress=wlwmanifest.xml
+env-file=/.env
+git-dir=/.git/
+aws-creds=/.aws/
+ssh-dir=/.ssh/
+docker-cfg=/.docker/
+config-file=/config.json
+config-file=/config.php
+config-file=/config.yml
+config-file=/settings.php
+phpmyadmin=/phpmyadmin
+phpmyadmin=/pma/
+phpmyadmin=/myadmin
+phpmyadmin=/dbadmin
+adminer=/adminer
+adminer=adminer.php
+cpanel=/cpanel
+plesk=/plesk
+server-info=server-status
+server-info=server-info
+server-info=/info.php
+server-info=/phpinfo
+actuator=/actuator/env
+actuator=/actuator/heapdump
+actuator=/actuator/mappings
+webshell=/shell.php
+webshell=/c99.php
+webshell=/r57.php
+webshell=/alfa.php
+webshell=/cmd.php
+webshell=/wso.php
+webshell=/up.php
+router=/boaform
+router=/hnap1
+router=/setup.cgi
+router=/GponForm
+router=/goform/
+router=/admin/formLogin
+exchange=/owa/
+exchange=/ecp/
+exchange=/autodiscover
+exchange=/ews/exchange.asmx
+cloud-metadata=/latest/meta-data
+cloud-metadata=/metadata/identity
+cloud-metadata=/computeMetadata/
+backup=/backup.zip
+backup=/backup.sql
+backup=/backup.tar
+backup=/dump.sql
+backup=/database.sql
+backup=/db.sql
+solr=/solr/
+jenkins=/jenkins/
+joomla=/administrator/index.php
+drupal=/user/register
+magento=/downloader
+re:env-file-any=/\.env($|\.|/)
+re:dotfile=/\.[a-z_]+/config
+re:traversal=(\.\.|%2e%2e)(/|\\\\|%2f|%5c)
+probe=/robots.txt.bak
+probe=/.htaccess
+probe=/.htpasswd
+probe=/wordpress/
+probe=/old/
+probe=/test/
+probe=/bak/
+""".strip().splitlines()
 SCRIPT_EXTENSION = ("script-extension", r"(?i)\.(php|phtml|php5|php7|asp|aspx|jsp|cgi)(\?|/|$)")
 
 # Probes of the probe-only rule and their tags, static URIs that browsers fetch on their own.

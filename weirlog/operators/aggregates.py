@@ -91,6 +91,22 @@ def overlay(main: DataFrame, pins: dict[str, DataFrame]) -> DataFrame:
     return main
 
 
+#: Timelines that may be laid over another one at a time.
+PINS = 5
+
+
+def pinned(rows: DataFrame, pins: dict[str, tuple[str, Filter]], flt: Filter, width: int) -> dict[str, DataFrame]:
+    """Timelines of pins, each a view and a filter, over the time of the current filter; a pin's own times don't count."""
+    from dataclasses import replace
+
+    from weirlog.operators.filters import matches_view
+
+    if len(pins) > PINS:
+        raise ValueError(f"no more than {PINS} pins")
+    within = {n: (v, replace(f, time_from=flt.time_from, time_to=flt.time_to)) for n, (v, f) in pins.items()}
+    return {n: timeline_of(rows.where(matches_view(v, f)), width) for n, (v, f) in within.items()}
+
+
 ROW_ORDERS = {f"{k}_{d}": (c, d) for k, c in (("ts", "ts"), ("duration", "duration_ns"), ("status", "status")) for d in ("asc", "desc")}
 ROW_COLUMNS = ["ts", "status", "status_class", "method", "host", "uri", "ip", "proto", "user_agent", "referer", "country", "city", "browser", "os", "device", "duration_ns", "size", "is_bot", "is_local", "is_static", "malicious_reason"]
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.functions.labels import any_of, like_pattern
-from weirlog.model import BOOLEANS, NUMBERS, Filter, column_of, truth
+from weirlog.model import BOOLEANS, NUMBERS, Filter, column_of, truth, view
 
 
 def _values(dimension: str, values: list[str]) -> list:
@@ -55,3 +55,18 @@ def apply(rows: DataFrame, flt: Filter) -> DataFrame:
         rows = rows.where(F.col("day") >= _date(flt.time_from)) if flt.time_from is not None else rows
         rows = rows.where(F.col("day") <= _date(flt.time_to)) if flt.time_to is not None else rows
     return rows if found is None else rows.where(found)
+
+
+def last_days(rows: DataFrame, days: float) -> DataFrame:
+    """Rows of the last so many days before the newest one; zero days are no limit. The newest time is one row, joined."""
+    if days <= 0:
+        return rows
+    since = rows.agg((F.max("ts") - F.lit(round(days * 86_400 * 1_000_000_000))).alias("_since"))
+    return rows.join(F.broadcast(since), F.col("ts") >= F.col("_since")).drop("_since")
+
+
+def matches_view(name: str, flt: Filter) -> Column:
+    """Whether a row, also one of a live batch, is shown by a view under a filter: the view's pool, its filter, the defaults."""
+    pool, extra = view(name)
+    found = condition(flt.merge(extra).with_defaults(pool))
+    return (F.col("pool") == pool) & (F.lit(True) if found is None else found)

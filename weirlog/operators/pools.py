@@ -3,6 +3,7 @@
 The first request of an address for an attack URI flags the address. That row has the reason attack_uri:X; rows of the
 address that arrive later have ip_flag:attack_uri:X; earlier ones, and all rows of addresses flagged by behaviour, have
 the address's reason. One aggregation by address finds all of this, and one join brings it back to the rows.
+As all of it concerns one address at a time, rows stored with their pools need this again for tagged addresses only.
 """
 
 from __future__ import annotations
@@ -68,3 +69,12 @@ def assign(rows: DataFrame, history: DataFrame | None = None, **thresholds) -> D
     out = rows.withColumn("malicious_reason", reason).withColumns({"is_bot": bot, "is_local": local})
     pool = F.when(F.col("malicious_reason") != "", "malicious").when(F.col("is_static") == 1, "static").otherwise("dynamic")
     return out.withColumn("pool", pool).drop("first_seq", "uri_reason", "reason", "tag", "flag_tag")
+
+
+def override(stored: DataFrame, history: DataFrame | None, **thresholds) -> DataFrame:
+    """Rows stored as assign() made them without tags, as they are with a history of tags."""
+    if history is None:
+        return stored
+    tagged = history.select("ip").distinct()
+    again = assign(stored.join(tagged, "ip", "left_semi").drop("pool", "malicious_reason"), history, **thresholds)
+    return stored.join(tagged, "ip", "left_anti").unionByName(again)

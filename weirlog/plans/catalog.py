@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirlog.functions import labels
+from weirlog.functions import labels, lists
 from weirlog.model import DIMENSIONS, Filter, Kind, Query
 from weirlog.operators import aggregates, filters, pools
 from weirlog.plans import dashboard, rules, sample
 from weirlog.plans.execute import execute, pool_of
+from weirlog.sources import json_log
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -37,7 +38,7 @@ def query(name: str, q: Query, sql: str) -> None:
 
 # Rows and labels.
 register("normalize_events", lambda s, d: sample.events(s, d), "SELECT seq, ts, status, method, host, uri, ip, proto, user_agent, referer, duration_ns, size, bytes_read FROM raw")
-register("stored_rows", on(lambda r: r.select(*STORED.split(", "))), f"SELECT {STORED} FROM requests")
+register("stored_rows", lambda s, d: sample.derive(s, d).select(*STORED.split(", ")), f"SELECT {STORED} FROM requests")
 for _name, _cols in {"is_static_uri": "uri, is_static", "is_bot_ua": "user_agent, is_bot AS flag", "is_local_ip": "ip, is_local", "attack_reason": "uri, attack", "parse_ua": "user_agent, browser, os, device"}.items():
     _plain = [c.split(" AS ") for c in _cols.split(", ")]
     register(
@@ -147,6 +148,16 @@ for (_name, _sql), _rule in zip(RULE_SQL.items(), rules.default_rules(), strict=
     register(f"cls_{_name}", on(lambda r, rule=_rule: rule.run(r)), _sql)
 
 
+# Runs that claim what was tagged before: every fifth address is a bot by tag and counts all the same.
+_FIFTH = "CAST(split_part(ip, '.', 4) AS INTEGER) % 5 = 0"
+_TAGGED = sample.requests_sql(f"SELECT DISTINCT ip, 'bot' AS tag, 0 AS n FROM raw WHERE {_FIFTH}")
+for (_name, _sql), _rule in zip(RULE_SQL.items(), rules.default_rules(), strict=True):
+    register(
+        f"cls_{_name}_claimed", lambda s, d, rule=_rule: rule.run(sample.requests(s, d, _history(s, d, ["bot"])), _history(s, d, ["bot"]).select("ip")),
+        _sql.replace("is_bot = 0", f"(is_bot = 0 OR {_FIFTH})"), _TAGGED,
+    )
+
+
 def _runner_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of no-static-ever against tags of its own, of another rule and of an operator."""
     rows = sample.requests(spark, sf_dir)
@@ -184,9 +195,19 @@ register(
     f"WITH line AS ({_LINE.format(n=_D, w='')}), bots AS ({_LINE.format(n=_D, w=' AND is_bot = 1')}), st AS ({_LINE.format(n=_D, w='').replace(chr(39) + 'dynamic' + chr(39), chr(39) + 'static' + chr(39))}) "
     "SELECT line.*, coalesce(bots.hits, 0) AS hits_bots, coalesce(st.hits, 0) AS hits_static FROM line LEFT JOIN bots USING (bucket_start) LEFT JOIN st USING (bucket_start)",
 )
+_PINS = {"bots": ("bots", Filter(time_from=1)), "images": ("static", Filter(include={"status": ["200"]})), "bad": ("malicious", Filter())}
+_PIN_SQL = {"bots": "pool = 'dynamic' AND is_bot = 1 AND is_local = 0", "images": "pool = 'static' AND status = 200 AND is_bot = 0 AND is_local = 0", "bad": "pool = 'malicious'"}
+register(
+    "timeline_pins", on(lambda r: aggregates.overlay(aggregates.timeline_of(filters.apply(pool_of(r, "dynamic"), Filter(time_to=DAY9)), _D), aggregates.pinned(r, _PINS, Filter(time_to=DAY9), _D))),
+    f"WITH line AS ({_LINE.format(n=_D, w=f' AND ts < {DAY9}')}), counts AS (SELECT (ts // {_D}) * {_D} AS bucket_start, "
+    + ", ".join(f"count(*) FILTER ({w}) AS hits_{n}" for n, w in _PIN_SQL.items()) + f" FROM requests WHERE ts < {DAY9} GROUP BY 1) "
+    "SELECT line.*, " + ", ".join(f"coalesce(hits_{n}, 0) AS hits_{n}" for n in _PIN_SQL) + " FROM line LEFT JOIN counts USING (bucket_start)",
+)
+for _view, _sql in (("local", "pool = 'dynamic' AND is_local = 1 AND is_bot = 0"), ("bots", "pool = 'dynamic' AND is_bot = 1 AND is_local = 0"), ("static", "pool = 'static' AND is_bot = 0 AND is_local = 0"), ("malicious", "pool = 'malicious'")):
+    register(f"matches_view_{_view}", on(lambda r, v=_view: r.select("seq", filters.matches_view(v, Filter(exclude={"method": ["HEAD"]})).alias("shown"))), f"SELECT seq, {_sql} AND method <> 'HEAD' AS shown FROM requests")
 register("share_of_total", on(lambda r: aggregates.shares(execute(r, Query(kind=Kind.TOPN)).select("key", "hits"))), f"SELECT key, hits, 100.0::DOUBLE * hits / sum(hits) OVER () AS share, 100.0::DOUBLE * hits / max(hits) OVER () AS bar FROM ({_top('uri')})")
 register("severity_per_ip", on(lambda r: r.groupBy("ip").agg(F.max(F.when(F.col("pool") == "malicious", 2).when(F.col("is_bot") == 1, 1).otherwise(0)).alias("severity"))), "SELECT ip, max(CASE WHEN pool = 'malicious' THEN 2 WHEN is_bot = 1 THEN 1 ELSE 0 END) AS severity FROM requests GROUP BY ip")
-register("latest_range", on(lambda r: r.join(F.broadcast(r.agg((F.max("ts") - 7 * _D).alias("since"))), F.col("ts") >= F.col("since")).groupBy("pool").agg(F.count("*").alias("hits"))), f"SELECT pool, count(*) AS hits FROM requests WHERE ts >= (SELECT max(ts) FROM requests) - {7 * _D} GROUP BY pool")
+register("latest_range", on(lambda r: filters.last_days(r, 7).groupBy("pool").agg(F.count("*").alias("hits"))), f"SELECT pool, count(*) AS hits FROM requests WHERE ts >= (SELECT max(ts) FROM requests) - {7 * _D} GROUP BY pool")
 register("gap_seconds", on(lambda r: r.where("pool = 'dynamic'").select("seq", "ip", ((F.col("ts") - F.lag("ts").over(Window.partitionBy("ip").orderBy("ts", "seq"))) / F.lit(1e9)).alias("gap")).where("gap is not null")), "SELECT * FROM (SELECT seq, ip, (ts - lag(ts) OVER (PARTITION BY ip ORDER BY ts, seq)) / 1e9 AS gap FROM requests WHERE pool = 'dynamic') WHERE gap IS NOT NULL")
 for _set, _pool in (("dynamic", "dynamic"), ("malicious", "malicious"), ("static", "static")):
     _parts = []
@@ -194,3 +215,73 @@ for _set, _pool in (("dynamic", "dynamic"), ("malicious", "malicious"), ("static
         _where = {"not_found": "status = 404", "server_error": "status_class = '5xx'"}.get(_panel.name, "")
         _parts.append(f"SELECT '{_panel.name}' AS panel, * FROM ({_top(DIMENSIONS[_panel.group_by], _pool, _where, 'max(duration_ns)' if _panel.order_by else 'hits')})")
     register(f"panels_{_set}", on(lambda r, s=_set: dashboard.panels_in_one(pool_of(r, s), s)), " UNION ALL ".join(_parts))
+
+# Labels over the whole of their lists: texts are made from the events' numbers, the lists are restated in SQL.
+
+
+def _quoted(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _pick(values: list[str], by: str = "event_id") -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(by) % len(values) + 1).cast("int"))
+
+
+def _picked(values: list[str], by: str = "event_id") -> str:
+    return f"({_quoted(values)})[{by} % {len(values)} + 1]"
+
+
+_ATTACKS = lists.attack_rules()
+_URIS = [p for _, p in _ATTACKS.substrings] + ["/.env", "/.ENV/x", "/.environment", "/.vim_rc/config", "/a/../b", "/a/%2e%2e%5c", "/x.php", "/x.PHP?a", "/x.aspx/", "/x.phps", "/x.cgi#", "/index.html", "/api/v1", ""]
+
+
+def _attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, shape = _pick(_URIS), F.floor(F.col("event_id") / 7) % 3
+    uri = F.when(shape == 0, F.concat(F.lit("/a"), p)).when(shape == 1, F.upper(p)).otherwise(F.concat(p, F.lit("?q=1")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(uri.alias("uri"))
+    return rows.groupBy("uri").agg(F.count("*").alias("n")).select("uri", "n", labels.attack_reason(F.col("uri")).alias("attack"), labels.is_static(F.col("uri")).cast("int").alias("is_static"))
+
+
+_WHEN = " ".join([f"WHEN contains(lower(uri), '{p}') THEN 'attack_uri:{r}'" for r, p in _ATTACKS.substrings] + [f"WHEN regexp_matches(uri, '{p}') THEN 'attack_uri:{r}'" for r, p in _ATTACKS.regexes])
+register("attack_rules_all", _attacks, (
+    f"WITH p AS (SELECT {_picked(_URIS)} AS p, event_id // 7 % 3 AS shape FROM events), u AS (SELECT CASE shape WHEN 0 THEN '/a' || p WHEN 1 THEN upper(p) ELSE p || '?q=1' END AS uri FROM p) "
+    f"SELECT uri, count(*) AS n, CASE {_WHEN} END AS attack, CAST(regexp_matches(rtrim(split_part(split_part(uri, '?', 1), '#', 1), '/'), '(?i)[^/]\\.({'|'.join(lists.STATIC_EXTENSIONS)})$') AS INTEGER) AS is_static FROM u GROUP BY uri"
+))
+_NAMES = [*lists.CRAWLERS, *lists.MORE_BOTS, *lists.BOT_TOKENS, "Chrome/120.0 Safari/537.36", "Firefox/121.0", "Version/17.1 Safari/605.1.15", "wge", "Cra"]
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agent = F.concat(F.when(F.col("event_id") % 2 == 0, "Mozilla/5.0 (").otherwise(""), _pick(_NAMES), F.lit(")"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(F.col("event_id") % 97 == 0, "").otherwise(agent).alias("user_agent"))
+    return rows.groupBy("user_agent").agg(F.count("*").alias("n")).select("user_agent", "n", labels.is_bot(F.col("user_agent")).alias("is_bot"))
+
+
+register("bots_all", _agents, (
+    f"WITH a AS (SELECT CASE WHEN event_id % 97 = 0 THEN '' ELSE CASE WHEN event_id % 2 = 0 THEN 'Mozilla/5.0 (' ELSE '' END || {_picked(_NAMES)} || ')' END AS user_agent FROM events) "
+    f"SELECT user_agent, count(*) AS n, user_agent = '' OR len(list_filter({_quoted([w.lower() for w in [*lists.CRAWLERS, *lists.MORE_BOTS, *lists.BOT_TOKENS]])}, lambda w: contains(lower(user_agent), w))) > 0 AS is_bot FROM a GROUP BY user_agent"
+))
+_V6 = {"fe80::1:": 1, "fd12:3456::": 1, "fc00:0:0::": 1, "2606:4700::": 0, "::ffff:10.0.0.": 1, "::ffff:8.8.8.": 0, "2001:db8::": 0, "ff02::": 0, "172.20.1.": 1, "172.32.1.": 0, "100.64.9.": 1, "not an ip:": 0}
+register(
+    "local_v6", lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.concat(_pick([*_V6]), (F.col("event_id") % 250).cast("string")).alias("ip")).groupBy("ip").agg(F.count("*").alias("n")).select("ip", "n", labels.is_local(F.col("ip")).cast("int").alias("is_local")),
+    f"SELECT {_picked([*_V6])} || event_id % 250 AS ip, count(*) AS n, ([{', '.join(map(str, _V6.values()))}])[any_value(event_id % {len(_V6)}) + 1] AS is_local FROM events GROUP BY ip",
+)
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log lines of several shapes, and read from these."""
+    k, at = F.col("event_id"), F.col("event_id") % 6
+    request = F.struct(
+        F.lit("9.9.9.9").alias("remote_ip"), F.when(at == 1, "").otherwise(F.concat(F.lit("10.1.1."), k % 200)).alias("client_ip"), F.when(at == 2, "").otherwise("GET").alias("method"), F.lit("h").alias("host"), F.concat(F.lit("/"), k).alias("uri"),
+        F.create_map(F.when(at == 3, "user-agent").otherwise("User-Agent"), F.array(F.concat(F.lit("agent"), k % 7)), F.lit("Referrer"), F.array(F.lit("r"))).alias("headers"),
+    )
+    line = F.to_json(F.struct((k * 60 + 0.25).alias("ts"), (k % 600).alias("status"), k.alias("size"), (k / 8).alias("duration"), request.alias("request")))
+    line = F.when(at == 4, F.concat(F.lit("{broken"), line)).when(at == 5, F.regexp_replace(line, '"size":', '"level":"info","extra":')).otherwise(line)
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias("seq"), line.alias("value"))
+    parsed = lines.select(F.from_json("value", json_log.SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "seq")
+    return json_log.normalize(parsed.select("r.*", "seq")).drop("proto", "bytes_read")
+
+
+register("json_lines", _json_lines, (
+    "SELECT event_id AS seq, event_id * 60 * 1000000000 + 250000000 AS ts, CAST(event_id % 600 AS INTEGER) AS status, 'GET' AS method, 'h' AS host, '/' || event_id AS uri, CASE WHEN event_id % 6 = 1 THEN '9.9.9.9' ELSE '10.1.1.' || event_id % 200 END AS ip, "
+    "'agent' || event_id % 7 AS user_agent, 'r' AS referer, CAST(trunc(event_id / 8 * 1e9) AS BIGINT) AS duration_ns, CASE WHEN event_id % 6 = 5 THEN 0 ELSE event_id END AS size FROM events WHERE event_id % 6 NOT IN (2, 4)"
+))

@@ -6,7 +6,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirlog.model import DIMENSIONS, Filter, Kind, Query, column_of
@@ -55,8 +55,8 @@ def panel_page(rows: DataFrame, pool: str, name: str, flt: Filter | None = None,
 
 
 def panels_in_one(found: DataFrame, pool: str, top: int = 10) -> DataFrame:
-    """All panels of a filtered pool in one pass: each row is listed once per panel that it counts for, after one
-    aggregation by all panels' columns and visitor has made rows few; ranks are taken per panel."""
+    """All panels of a filtered pool in one pass: each row is listed once per panel that it counts for, and counted by
+    (panel, value). The first rows are taken within parts of a panel, then within panels, so no panel is one task."""
     specs = PANELS[pool]
     entries = []
     for p in specs:
@@ -69,13 +69,12 @@ def panels_in_one(found: DataFrame, pool: str, top: int = 10) -> DataFrame:
         F.max("duration_ns").alias("_max"), F.avg("duration_ns").alias("_avg"),
     )
     order = F.when(F.col("panel") == "slow", F.col("_max")).otherwise(F.col("hits"))
-    # Per panel a bounded heap of the best, merged across tasks: no panel's groups are sorted in one task.
-    entry = F.struct((-order).alias("o"), "key", "hits", "visitors", "bytes", (F.col("_max") / 1e6).cast("long").alias("max_ms"), (F.col("_avg") / 1e6).cast("long").alias("avg_ms"))
-    salted = sums.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(64)))
-    best = lambda c: F.slice(F.sort_array(F.collect_list(c)), 1, top)
-    parts = salted.groupBy("panel", "_salt").agg(best(entry).alias("best"))
-    merged = parts.groupBy("panel").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, top).alias("best"))
-    return merged.select("panel", F.explode("best").alias("b")).select("panel", "b.key", "b.hits", "b.visitors", "b.bytes", "b.max_ms", "b.avg_ms")
+    ranks = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order.desc(), F.col("key").asc()))
+    # Spark keeps no more than `top` rows of a part before it shuffles.
+    parts = sums.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("_rank", ranks("panel", "_salt")).where(F.col("_rank") <= top)
+    best = parts.withColumn("_rank", ranks("panel")).where(F.col("_rank") <= top)
+    ms = lambda c: (F.col(c) / 1e6).cast("long")
+    return best.select("panel", "key", "hits", "visitors", "bytes", ms("_max").alias("max_ms"), ms("_avg").alias("avg_ms"))
 
 
 def dashboard(rows: DataFrame, pool: str = "dynamic", flt: Filter | None = None, top: int = 10, bucket: int = 0, now: int | None = None, workers: int = 8) -> dict:

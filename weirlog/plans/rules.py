@@ -15,12 +15,26 @@ from pyspark.sql import functions as F
 from weirlog.functions import labels, lists
 
 
+#: Nanoseconds of the parts in which gaps of an address are found.
+PERIOD = 300_000_000_000
+
+
 class Rule(Protocol):
     name: str
 
     def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame: ...
 
 
+class Found:
+    """found() gives (ip, tag, reason, by); run() leaves `by` out, listed() puts the candidates in its order, then by address."""
+
+    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+        return self.found(rows, claimed).drop("by")
+
+    def listed(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+        return self.found(rows, claimed).orderBy("by", "ip").drop("by")
+
+
 def eligible(rows: DataFrame, claimed: DataFrame | None) -> DataFrame:
     """Rows with `own`, whether their address is claimed; real traffic and claimed addresses' only."""
     if claimed is None:
@@ -37,26 +51,27 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _bots(found: DataFrame, reason: Column) -> DataFrame:
-    return found.select("ip", F.lit("bot").alias("tag"), reason.alias("reason"))
+def _bots(found: DataFrame, reason: Column, *by: Column) -> DataFrame:
+    return found.select("ip", F.lit("bot").alias("tag"), reason.alias("reason"), F.struct(*by).alias("by"))
 
 
 @dataclass
-class ProbeOnly:
+class ProbeOnly(Found):
     """An address that fetched nothing but probes; a request counts once, whichever patterns it matches."""
 
     probes: list[tuple[str, str]] = field(default_factory=lambda: list(lists.PROBES))
     name: str = "probe-only-uri"
 
-    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    def found(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
         rows = eligible(rows, claimed)
         counts = F.when(F.col("pool") == "malicious", F.col("own")).otherwise(real(F.col("own")))
         severe = labels.any_of([F.col("uri").rlike(labels.glob_regex(u, cross=False)) if labels.is_glob(u) else F.col("uri") == u for u, tag in self.probes if tag == "malicious"])
         rows = rows.where(counts).withColumn("probe", labels.matches_probe(F.col("uri"), self.probes))
-        # An address that fetched anything else is out: its URIs are gathered only where all are probes.
+        # An address that fetched anything else is out; URIs of the others are distinct probes, as many as patterns match.
         found = rows.groupBy("ip", "uri").agg(F.count("*").alias("n"), F.first("probe").alias("probe"), F.first(severe).alias("severe"))
-        found = found.groupBy("ip").agg(F.bool_and("probe").alias("all"), F.sum("n").alias("n"), F.max(F.col("severe").cast("int")).alias("severe"), F.sort_array(F.collect_set(F.when(F.col("probe"), F.col("uri")))).alias("uris"))
-        return found.where("all").select("ip", F.when(F.col("severe") == 1, "malicious").otherwise("bot").alias("tag"), _text(F.col("n"), " probe hit(s): ", F.array_join("uris", ", ")).alias("reason"))
+        out = found.groupBy("ip").agg(F.bool_and("probe").alias("all")).where("all").select("ip")
+        found = found.join(out, "ip", "left_semi").groupBy("ip").agg(F.sum("n").alias("n"), F.max(F.col("severe").cast("int")).alias("severe"), F.sort_array(F.collect_set("uri")).alias("uris"))
+        return found.select("ip", F.when(F.col("severe") == 1, "malicious").otherwise("bot").alias("tag"), _text(F.col("n"), " probe hit(s): ", F.array_join("uris", ", ")).alias("reason"), F.struct(-F.col("n")).alias("by"))
 
 
 def _without_static(found: DataFrame, rows: DataFrame, ignored: list[str]) -> DataFrame:
@@ -65,13 +80,13 @@ def _without_static(found: DataFrame, rows: DataFrame, ignored: list[str]) -> Da
 
 
 @dataclass
-class RootOnly:
+class RootOnly(Found):
     daily: int = 4
     days: int = 2
     ignored: list[str] = field(default_factory=lambda: list(lists.IGNORED_STATIC))
     name: str = "root-only-burst"
 
-    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    def found(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
         rows = eligible(rows, claimed)
         dynamic = rows.where(F.col("pool") == "dynamic")
         by_day = dynamic.where((F.col("uri") == "/") & real(F.col("own"))).groupBy("ip", labels.day(F.col("ts")).alias("day")).agg(F.count("*").alias("hits"))
@@ -79,25 +94,32 @@ class RootOnly:
         found = found.join(dynamic.where((F.col("is_local") == 0) & (F.col("uri") != "/")).select("ip"), "ip", "left_anti")
         found = _without_static(found, rows, self.ignored)
         reason = F.when(F.col("days") >= 2, _text(F.col("total"), " / hit(s) across ", F.col("days"), " UTC day(s); no static")).otherwise(_text(F.col("most"), " / hit(s) in a single UTC day; no static"))
-        return _bots(found, reason)
+        return _bots(found, reason, -F.col("days"), -F.col("most"))
 
 
 @dataclass
-class Cadence:
+class Cadence(Found):
     intervals: int = 7
     mean: float = 60.0
     variation: float = 0.25
     name: str = "cadence-polling"
 
-    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    def found(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
         own = eligible(rows, claimed).where((F.col("pool") == "dynamic") & real(F.col("own")))
-        gap = (F.col("ts") - F.lag("ts").over(Window.partitionBy("ip").orderBy("ts"))) / F.lit(1e9)
-        found = own.select("ip", gap.alias("gap")).groupBy("ip").agg(F.count("*").alias("hits"), F.count("gap").alias("n"), F.avg("gap").alias("mean"), F.avg(F.col("gap") * F.col("gap")).alias("square"))
+        # Gaps within five minutes of an address, then those between: an address of many rows is many small groups.
+        own = own.select("ip", "ts", labels.bucket(F.col("ts"), PERIOD).alias("period"))
+        gap = lambda to, since: (to - since) / F.lit(1e9)
+        within = own.withColumn("gap", gap(F.col("ts"), F.lag("ts").over(Window.partitionBy("ip", "period").orderBy("ts"))))
+        square = lambda c: F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0))
+        parts = within.groupBy("ip", "period").agg(F.count("*").alias("hits"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("gap").alias("n"), F.coalesce(F.sum("gap"), F.lit(0.0)).alias("sum"), square("gap").alias("square"))
+        parts = parts.withColumn("gap", gap(F.col("first"), F.lag("last").over(Window.partitionBy("ip").orderBy("period"))))
+        found = parts.groupBy("ip").agg(F.sum("hits").alias("hits"), (F.sum("n") + F.count("gap")).alias("n"), (F.sum("sum") + F.coalesce(F.sum("gap"), F.lit(0.0))).alias("sum"), (F.sum("square") + square("gap")).alias("square"))
+        found = found.where("n > 0").withColumns({"mean": F.col("sum") / F.col("n"), "square": F.col("square") / F.col("n")})
         found = found.withColumn("variance", F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
         steady = F.col("variance") < F.lit(self.variation * self.variation) * F.col("mean") * F.col("mean")
         found = found.where((F.col("n") >= self.intervals) & (F.col("mean") >= self.mean) & steady)
         percent = F.bround(F.sqrt("variance") / F.col("mean") * 100, 0).cast("long")
-        return _bots(found, _text(F.col("hits"), " hits, mean interval ", labels.human_duration(F.col("mean")), ", CV ", percent, "%"))
+        return _bots(found, _text(F.col("hits"), " hits, mean interval ", labels.human_duration(F.col("mean")), ", CV ", percent, "%"), F.col("variance") / (F.col("mean") * F.col("mean")))
 
 
 def _all_of(rows: DataFrame, claimed: DataFrame | None, column: str, value: str, least: int) -> DataFrame:
@@ -106,33 +128,33 @@ def _all_of(rows: DataFrame, claimed: DataFrame | None, column: str, value: str,
 
 
 @dataclass
-class HeadOnly:
+class HeadOnly(Found):
     least: int = 4
     name: str = "head-only"
 
-    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
-        return _bots(_all_of(rows, claimed, "method", "HEAD", self.least), _text(F.col("hits"), " HEAD requests; no other methods"))
+    def found(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+        return _bots(_all_of(rows, claimed, "method", "HEAD", self.least), _text(F.col("hits"), " HEAD requests; no other methods"), -F.col("hits"))
 
 
 @dataclass
-class Http10Only:
+class Http10Only(Found):
     least: int = 4
     name: str = "http10-only"
 
-    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
-        return _bots(_all_of(rows, claimed, "proto", "HTTP/1.0", self.least), _text(F.col("hits"), " requests, all HTTP/1.0"))
+    def found(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+        return _bots(_all_of(rows, claimed, "proto", "HTTP/1.0", self.least), _text(F.col("hits"), " requests, all HTTP/1.0"), -F.col("hits"))
 
 
 @dataclass
-class NoStatic:
+class NoStatic(Found):
     least: int = 6
     ignored: list[str] = field(default_factory=lambda: list(lists.IGNORED_STATIC))
     name: str = "no-static-ever"
 
-    def run(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    def found(self, rows: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
         rows = eligible(rows, claimed)
         found = rows.where((F.col("pool") == "dynamic") & real(F.col("own"))).groupBy("ip").agg(F.count("*").alias("hits")).where(F.col("hits") >= self.least)
-        return _bots(_without_static(found, rows, self.ignored), _text(F.col("hits"), " dynamic hit(s); no static"))
+        return _bots(_without_static(found, rows, self.ignored), _text(F.col("hits"), " dynamic hit(s); no static"), -F.col("hits"))
 
 
 def default_rules() -> list[Rule]:

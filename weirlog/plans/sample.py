@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirlog.operators import pools
+from weirlog.sources import files
 
 BOT_AGENT = "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)"
 CHROME = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
@@ -35,8 +36,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled events with their pools, from the events: what a load does."""
+    return pools.assign(pools.label(events(spark, sf_dir), v6=False))
+
+
 def requests(spark: SparkSession, sf_dir: str, history: DataFrame | None = None) -> DataFrame:
-    return pools.assign(pools.label(events(spark, sf_dir), v6=False), history)
+    """The same, stored by pool the first time an application asks for it; tags come on top."""
+    key = files.fingerprint(files.Files(spark), [f"{sf_dir}/events.parquet"])
+    at = f"{files.shared_dir(spark)}/requests-{spark.sparkContext.applicationId}-{key}"
+    files.once(spark, at, lambda: derive(spark, sf_dir), ["pool"])
+    return pools.override(spark.read.parquet(f"{at}/rows"), history)
 
 
 #: The same in SQL: `requests`, with the tags of a history(ip, tag, n) that is empty unless given.

@@ -1,19 +1,19 @@
 """Access logs as JSON lines, plain or gzip, to normalised events in the order of arrival.
 
-Arrival is the order of files by name, then of lines. seq is made in the scan: rank of the file, then start of the split
-and place in it, packed into one number; only its order within an address is ever used, so nothing is sorted globally.
+Arrival is the order of files by name, then of lines. seq numbers lines in this order: each split's lines are numbered in
+the scan, and the lines before a split are counted; nothing is sorted globally.
 """
 
 from __future__ import annotations
 
 import glob
-import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirlog.functions.labels import seconds_to_ns
+from weirlog.sources.files import Files, has_scheme
 
 _STRING = T.StringType()
 REQUEST = T.StructType([
@@ -26,11 +26,11 @@ SCHEMA = T.StructType([
 ])
 
 
-def expand(patterns: list[str]) -> list[str]:
-    """Files of paths and globs, each once, in their order; a pattern that finds nothing is an error."""
+def expand(patterns: list[str], spark: SparkSession | None = None) -> list[str]:
+    """Files of paths and globs, each once, in their order; a pattern that finds nothing is an error. Those with a scheme are asked of Spark's file system."""
     found: dict[str, None] = {}
     for p in patterns:
-        matches = [p] if "://" in p else sorted(glob.glob(p))
+        matches = Files(spark or SparkSession.builder.getOrCreate()).glob(p) if has_scheme(p) else sorted(glob.glob(p))
         if not matches:
             raise FileNotFoundError(f"no file matches {p!r}")
         found |= dict.fromkeys(matches)
@@ -59,29 +59,21 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
-def arrival(paths: list[str]) -> Column:
-    """(rank of the file << 43) + start of the split in MB << 33 ... in one number: file, then split, then line."""
-    ranks = {os.path.basename(p): i for i, p in enumerate(sorted(paths, key=os.path.basename))}
-    rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("_metadata.file_name"))
-    return F.struct(rank.alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
-
-
 def read(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """Events of all files with seq; lines of any length, broken lines are passed over.
 
-    seq orders as (file, split, line) does: a split's first rank is the count of lines before it, from one small count
-    per split, which is the only thing that is gathered.
+    seq orders as (file, split, line) does: a split's first number is the count of lines before it, from one small row
+    per split, which is all that is shuffled. Files are ordered by name, those of one name by path.
     """
-    from pyspark.sql import Window
-
-    paths = expand(patterns)
-    raw = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    raw = raw.withColumn("_a", arrival(paths))
-    split = raw.groupBy(F.col("_a.file").alias("_f"), F.col("_a.at").alias("_s")).agg(F.count("request").alias("n"), F.min("_a.line").alias("_first"), F.max("_a.line").alias("_last"))
-    files = split.groupBy("_f").agg(F.sum(F.col("_last") - F.col("_first") + 1).alias("n"))
+    raw = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(expand(patterns, spark))
+    raw = raw.withColumn("_line", F.monotonically_increasing_id())
+    place = {"_name": F.col("_metadata.file_name"), "_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    raw = raw.withColumns(place)
+    split = raw.groupBy(*place).agg(F.count("request").alias("requests"), F.min("_line").alias("first"), F.max("_line").alias("last"))
+    split = split.withColumn("n", F.col("last") - F.col("first") + 1)
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("_f", before(Window.orderBy("_f")).alias("_of_files"))  # a row per file
-    split = split.withColumn("n", F.col("_last") - F.col("_first") + 1).select("_f", "_s", "_first", before(Window.partitionBy("_f").orderBy("_s")).alias("_of_file"))
-    starts = split.join(files, "_f").select("_f", "_s", "_first", (F.col("_of_files") + F.col("_of_file")).alias("_start"))
-    raw = raw.join(F.broadcast(starts) if len(paths) < 10_000 else starts, (F.col("_a.file") == F.col("_f")) & (F.col("_a.at") == F.col("_s")))
-    return normalize(raw.withColumn("seq", F.col("_start") + F.col("_a.line") - F.col("_first")).drop("_a", "_f", "_s", "_first", "_start"))
+    files = split.groupBy("_name", "_path").agg(F.sum("n").alias("n")).select(F.col("_path").alias("_file"), before(Window.orderBy("_name", "_path")).alias("of_files"))  # a row per file
+    split = split.withColumn("of_file", before(Window.partitionBy("_path").orderBy("_block")))
+    starts = split.join(files, F.col("_path") == F.col("_file")).select(F.col("_path").alias("_of_path"), F.col("_block").alias("_of_block"), (F.col("of_files") + F.col("of_file") - F.col("first")).alias("_start"))
+    raw = raw.join(starts, (F.col("_path") == F.col("_of_path")) & (F.col("_block") == F.col("_of_block")))
+    return normalize(raw.withColumn("seq", F.col("_start") + F.col("_line")))

@@ -6,20 +6,23 @@ import hashlib
 import json
 import os
 import shutil
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlog.operators import pools
 from weirlog.plans import rules as rule_plans
+from weirlog.progress import Progress
 from weirlog.sources import json_log
+from weirlog.sources.files import Files, has_scheme, once
 from weirlog.sources.tags import TagSet
 
 
-def cache_key(paths: list[str]) -> str:
-    """Of absolute paths, sizes and times of change."""
-    facts = sorted((os.path.abspath(p), os.stat(p).st_size, os.stat(p).st_mtime_ns) for p in paths)
+def cache_key(paths: list[str], spark: SparkSession | None = None) -> str:
+    """Of absolute paths, sizes and times of change; paths with a scheme are asked of Spark's file system."""
+    there = Files(spark or SparkSession.builder.getOrCreate()) if any(map(has_scheme, paths)) else None
+    facts = sorted(there.facts(p)[0] if has_scheme(p) else (os.path.abspath(p), os.stat(p).st_size, os.stat(p).st_mtime_ns) for p in paths)
     return hashlib.sha256("".join(f"{p}\0{s}\0{t}\n" for p, s, t in facts).encode()).hexdigest()[:24]
 
 
@@ -27,6 +30,13 @@ def clear(root: str, paths: list[str] | None = None, everything: bool = False) -
     """Removes the cache of some inputs or all; asking for both is an error, for neither does nothing."""
     if paths and everything:
         raise ValueError("give paths or everything, not both")
+    if has_scheme(root):
+        there = Files(SparkSession.builder.getOrCreate())
+        names = there.names(root) if everything else [cache_key(json_log.expand(paths))] if paths else []
+        gone = [n for n in names if there.exists(f"{root}/{n}")]
+        for n in gone:
+            there.remove(f"{root}/{n}")
+        return gone
     names = os.listdir(root) if everything and os.path.isdir(root) else [cache_key(json_log.expand(paths))] if paths else []
     gone = [n for n in names if os.path.isdir(os.path.join(root, n))]
     for n in gone:
@@ -37,32 +47,31 @@ def clear(root: str, paths: list[str] | None = None, everything: bool = False) -
 class LogStore:
     """Logs, tags and rules behind one object; rows() is always the log plus the tags as they are now."""
 
-    def __init__(self, spark: SparkSession, patterns: list[str], cache: str | None = None, tags: TagSet | None = None, **labels):
+    def __init__(self, spark: SparkSession, patterns: list[str], cache: str | None = None, tags: TagSet | None = None, progress: Callable[[str, int, int], None] | None = None, **labels):
         self.spark, self.tags = spark, tags or TagSet()
-        self.paths = json_log.expand(patterns)
+        self.paths = json_log.expand(patterns, spark)
+        self.progress = Progress(progress) if progress else lambda *_: None
         self.from_cache = False
-        self.labelled = self._open(cache, labels)
+        self.progress("load", 0, 1)
+        self.stored = self._open(cache, labels)
+        self.progress("load", 1, 1)
 
     def _open(self, cache: str | None, labels: dict) -> DataFrame:
-        fresh = lambda: pools.label(json_log.read(self.spark, self.paths), **labels)
+        """Rows with their pools as they are without tags; in a cache by pool and day, so queries read their pool and days only."""
+        derive = lambda: pools.assign(pools.label(json_log.read(self.spark, self.paths), **labels))
         if cache is None:
-            return fresh()
-        at = os.path.join(cache, cache_key(self.paths))
-        manifest = os.path.join(at, "manifest.json")
-        self.from_cache = os.path.exists(manifest)
-        if not self.from_cache:
-            # Written beside and renamed: an interrupted load leaves nothing that is taken for a cache.
-            beside = os.path.join(cache, f".{uuid.uuid4().hex}")
-            rows = fresh().withColumn("day", F.timestamp_seconds(F.floor(F.col("ts") / 1_000_000_000)).cast("date"))
-            rows.repartitionByRange("day", "ts").sortWithinPartitions("day", "ts").write.partitionBy("day").parquet(f"{beside}/rows")
-            with open(f"{beside}/manifest.json", "w", encoding="utf-8") as f:
-                json.dump({"paths": self.paths, "complete": True}, f)
-            shutil.rmtree(at, ignore_errors=True)
-            os.replace(beside, at)
+            return derive()
+
+        def by_day() -> DataFrame:
+            rows = derive().withColumn("day", F.timestamp_seconds(F.floor(F.col("ts") / 1_000_000_000)).cast("date"))
+            return rows.repartitionByRange("day", "ts").sortWithinPartitions("pool", "day", "ts")
+
+        at = f"{cache.rstrip('/')}/{cache_key(self.paths, self.spark)}"
+        self.from_cache = once(self.spark, at, by_day, ["pool", "day"], json.dumps({"paths": self.paths, "complete": True}))
         return self.spark.read.parquet(f"{at}/rows")
 
     def rows(self) -> DataFrame:
-        return pools.assign(self.labelled, self.tags.history_frame(self.spark))
+        return pools.override(self.stored, self.tags.history_frame(self.spark))
 
     def tag(self, ip: str, tag: str) -> None:
         self.tags.put(ip, tag)
@@ -95,10 +104,12 @@ class LogStore:
 
     def run_rules(self, chosen: list[rule_plans.Rule] | None = None) -> list[dict]:
         """One after the other by priority; a rule that fails leaves its error and the rest run."""
-        out = []
-        for rule in chosen or rule_plans.default_rules():
+        out, chosen = [], chosen or rule_plans.default_rules()
+        for k, rule in enumerate(chosen):
+            self.progress(rule.name, k, len(chosen))
             try:
                 out.append(self.run_rule(rule))
             except Exception as e:  # noqa: BLE001
                 out.append({"name": rule.name, "error": str(e)})
+        self.progress("rules", len(chosen), len(chosen))
         return out

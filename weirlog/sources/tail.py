@@ -1,7 +1,9 @@
 """A growing log file as a stream: Spark's file source sees new files only, this one sees bytes that are appended.
 
 The offset is the file's inode and the byte behind the last whole line, so a restart goes on where it stopped, and a batch
-load can hand over the byte where it ended. A file that shrank or was replaced is read from its start.
+load can hand over the byte where it ended. A file that shrank or was replaced is read from its start. Spark doesn't tell a
+reader that it restarts from which offset, so its first batch then goes up to the end of the file; later ones take maxBytes
+at most. Any batch is read in spans of maxBytes, each a task, so none is too large for one.
 """
 
 from __future__ import annotations
@@ -34,6 +36,17 @@ def whole_lines_end(path: str, start: int, end: int) -> int:
     return start
 
 
+def first_line_end(path: str, start: int, end: int) -> int:
+    """Byte behind the first line end from `start` on; 0 if there is none before `end`."""
+    with open(path, "rb") as f:
+        f.seek(start)
+        for at in range(start, end, 65_536):
+            found = f.read(min(65_536, end - at)).find(b"\n")
+            if found >= 0:
+                return at + found + 1
+    return 0
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.from_start = options["path"], options.get("fromstart", "true").lower() == "true"
@@ -54,18 +67,30 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         inode, size = self._stat()
-        at = self.now or {"inode": inode, "byte": 0}
+        if self.now is None:  # a restart: only Spark knows how far it had come
+            self.now = {"inode": inode, "byte": whole_lines_end(self.path, 0, size) if size else 0}
+            return dict(self.now)
+        at = self.now
         start = at["byte"] if at["inode"] in (inode, 0) and size >= at["byte"] else 0
-        end = min(size, start + self.most)
-        self.now = {"inode": inode, "byte": whole_lines_end(self.path, start, end) if end > start else start}
-        if end < size and self.now["byte"] == start:  # a line longer than a step: take it whole
-            self.now["byte"] = whole_lines_end(self.path, start, size)
+        self.now = {"inode": inode, "byte": self._step(start, size)}
         return dict(self.now)
 
+    def _step(self, start: int, size: int) -> int:
+        """The end of the whole lines within maxBytes; of one line at least, if it is there as a whole."""
+        end = min(size, start + self.most)
+        found = whole_lines_end(self.path, start, end) if end > start else start
+        return found if found > start or end == size else first_line_end(self.path, end, size) or start
+
     def partitions(self, start: dict, end: dict) -> list[Span]:
         self.now = dict(end)
         same = start["inode"] in (end["inode"], 0) and start["byte"] <= end["byte"]
-        return [Span(self.path, start["byte"] if same else 0, end["byte"])]
+        at, spans = start["byte"] if same else 0, []
+        while at < end["byte"]:
+            to = self._step(at, end["byte"]) if os.path.exists(self.path) else end["byte"]
+            to = to if to > at else end["byte"]
+            spans.append(Span(self.path, at, to))
+            at = to
+        return spans or [Span(self.path, at, at)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         if partition.end <= partition.start:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from weirlog.operators import pools
+from weirlog.progress import Progress  # noqa: F401
 from weirlog.sources import json_log
 from weirlog.sources.tail import TailSource
 
@@ -78,16 +78,3 @@ def follow(events: DataFrame, sink: str, flagged: FlaggedSet, checkpoint: str, c
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-class Progress:
-    """Lets the first, the last and changed phases through, and else one report per interval."""
-
-    def __init__(self, report: Callable[[str, int, int], None], interval: float = 0.5):
-        self.report, self.interval, self.phase, self.at = report, interval, None, 0.0
-
-    def __call__(self, phase: str, done: int, total: int) -> None:
-        now = time.monotonic()
-        if phase != self.phase or (total >= 0 and done >= total) or now - self.at >= self.interval:
-            self.phase, self.at = phase, now
-            self.report(phase, done, total)
