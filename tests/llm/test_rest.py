@@ -240,13 +240,75 @@ def test_em():
     assert ((post[at.ravel()] > 0.5) == truth).mean() > 0.88
 
 
+def by_row(votes, steps, share=0.2):
+    """EM document by document in plain Python, abstentions of one-sided labellers being the other vote: posterior, share, accuracies."""
+    n = len(votes[0])
+    right = [[0.8, 0.8] for _ in range(n)]
+    for _ in range(steps):
+        post = []
+        for v in votes:
+            yes, no = share, 1 - share
+            for (r0, r1), x in zip(right, v, strict=True):
+                if x >= 0:
+                    yes, no = yes * (r1 if x else 1 - r1), no * (1 - r0 if x else r0)
+            post.append(yes / (yes + no))
+        share = sum(post) / len(post)
+        for j in range(n):
+            hit1, miss1 = (sum(p for p, v in zip(post, votes, strict=True) if v[j] == x) for x in (1, 0))
+            hit0, miss0 = (sum(1 - p for p, v in zip(post, votes, strict=True) if v[j] == x) for x in (0, 1))
+            right[j] = [(hit0 + 4) / (hit0 + miss0 + 5), (hit1 + 4) / (hit1 + miss1 + 5)]
+    return post, share, right
+
+
+def test_em_row_by_row():
+    rnd = random.Random(3)
+    votes = []
+    for _ in range(400):
+        y = rnd.random() < 0.3
+        votes.append(tuple(-1 if rnd.random() < 0.2 else int(y if rnd.random() < r else not y) for r in (0.9, 0.8, 0.75)))
+    patterns, at, counts = np.unique(np.array(votes), axis=0, return_inverse=True, return_counts=True)
+    post, share, right = weak_labels.em(patterns, counts, steps=40)
+    want = by_row(votes, 40)
+    # Both forms differ by a step at the most: posteriors come before accuracies.
+    assert np.abs(post[at.ravel()] - want[0]).max() < 1e-3 and abs(share - want[1]) < 1e-3 and np.abs(right.T - np.array(want[2])).max() < 1e-3
+
+
+def test_em_of_labellers_that_never_vote_no():
+    rng = np.random.default_rng(7)
+    n, share = 200_000, 0.2
+    truth = rng.random(n) < share
+    recall, precision = np.array([0.6, 0.5, 0.45, 0.7]), np.array([0.88, 0.55, 0.33, 0.8])
+    false = recall * share * (1 - precision) / precision / (1 - share)
+    votes = np.where(rng.random((n, 4)) < np.where(truth[:, None], recall, false), 1, -1)
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, found, right = weak_labels.em(patterns, counts)
+    assert abs(found - share) < 0.03 and np.abs(right[1] - recall).max() < 0.06 and np.abs(1 - right[0] - false).max() < 0.03
+    yes = np.where(patterns == 1, recall, 1 - recall).prod(axis=1) * share
+    no = np.where(patterns == 1, false, 1 - false).prod(axis=1) * (1 - share)
+    assert np.abs(post - yes / (yes + no)).max() < 0.12  # of the true posterior of each pattern
+    assert truth[post[at.ravel()] > 0.5].mean() > 0.8
+
+
+def test_logistic():
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(3000, 6)), np.array([2.0, -1, 0, 0.5, 0, 3])
+    y = 1 / (1 + np.exp(-(x @ w - 0.5)))
+    rows, cols = (a.ravel() for a in np.meshgrid(np.arange(3000), np.arange(6), indexing="ij"))
+    found, bias = weak_labels.logistic(rows, cols, x.ravel(), y, np.ones(3000), 6)
+    p = 1 / (1 + np.exp(-(x @ found + bias)))
+    assert np.abs(p - y).max() < 0.05
+    half = np.arange(3000) < 1500  # rows without weight don't matter
+    again, _ = weak_labels.logistic(rows, cols, x.ravel(), np.where(half, y, 1 - y), half.astype(float), 6)
+    assert np.abs(again - found).max() < 0.3
+
+
 def test_classifier(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     known, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     docs = docs.unionByName(spark.createDataFrame([(None, None, "en", "s", 0), (10**9, "", "en", "s", 0)], docs.schema)).withColumnRenamed("n_chars", "poor")
-    out, _ = weak_labels.classify(docs, known)
-    assert out.count() == docs.count()
+    out, accuracy = weak_labels.classify(docs, known)
+    assert out.count() == docs.count() and set(accuracy["toxic"]) == {*weak_labels.toxic_votes(), weak_labels.ANNOTATORS}
     got = out.join(held, "doc_id").select("kept", "quality", held["toxic"].alias("bad")).collect()
     clean, poor = [r["kept"] for r in got if r["quality"] and not r["bad"]], [r["kept"] for r in got if not r["quality"]]
     assert np.mean(clean) > 0.95 and np.mean(poor) < 0.3
