@@ -45,6 +45,26 @@ def test_jaccard(spark, odd):
     assert jaccard.jaccard_components(frame(spark, []).limit(0)).count() == 0
 
 
+def test_jaccard_in_small_blocks(spark, monkeypatch):
+    """Groups of near copies over many blocks, some of whose texts only link across blocks, with frequent shingles and without."""
+    rnd, texts = random.Random(11), []
+    for g in range(3):
+        base = [f"b{g}x{k}" for k in range(60)]
+        texts += [near(rnd, base, rnd.randrange(0, 6)) for _ in range(40)]
+        chain = list(base)
+        for step in range(12):  # each links with the one before it only
+            chain[5 * step % 60] = f"chain{g}s{step}"
+            texts.append(" ".join(chain))
+    texts += [" ".join([f"b{i % 3}x{k}" for k in range(25)] + [f"u{i}x{k}" for k in range(25)]) for i in range(30)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    want = sorted((d, *x) for (d, _), x in zip(docs, brute.components(docs), strict=True))
+    for block, frequent in ((300, 50), (300, 1 << 18), (5000, 50)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, docs)).collect())
+        assert got == want, (block, frequent)
+
+
 def test_keep_first(spark, odd):
     docs = frame(spark, odd)
     kept = jaccard.keep_first(docs)

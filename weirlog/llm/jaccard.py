@@ -6,16 +6,22 @@ either one, so of a global order of all shingles they share at least l(n) among
 1. A pass over the texts counts each set and the shingles that repeat within a task; the most frequent of those, a fixed
    number, come last in the global order, all others follow in the order of their hashes. (Any order gives the same links.)
 2. Only those first shingles are shuffled, packed by documents. A shingle that one text alone has leaves here; a text with
-   fewer than l(n) shingles left can't have a partner and leaves too.
+   fewer than l(n) shingles left can't have a partner and leaves too. Postings of the frequent shingles are dealt by text
+   instead of by shingle; any other shingle has no more postings than all shingles divided by that fixed number.
 3. Texts that are left go to blocks: by the shingle of their longest list, split by size so that no block exceeds a fixed
-   number of shingles. Two blocks meet only in texts that share l(n) shingles with the other block.
-4. In a pair of blocks each text is a query: its inverted lists are divided into short ones, which are merged, and the long
-   ones that a result may miss, which are probed by binary search until the overlap is reached or out of reach. (The k-way
+   number of shingles. Each block is searched by itself, together with one text of its shingle that all its blocks share,
+   so that a large group of near copies is connected here, over as many blocks as it has.
+4. Blocks whose texts are mostly connected with each other have nothing to compare. Only texts that aren't connected with
+   most of their block go to the other blocks that share l(n) shingles with them, and between blocks that mostly hold
+   different components those texts of one that share as many with the other. Such texts of a block come in parts of a fixed
+   number of shingles, and each part meets the block.
+5. In a search each text is a query: its inverted lists are divided into short ones, which are merged, and the long ones
+   that a result may miss, which are probed by binary search until the overlap is reached or out of reach. (The k-way
    merge is numpy's run-merging sort of the concatenated lists rather than a Python heap.) Texts that links have already
    connected aren't compared again, and only links that connect leave: no pairs of a group are listed.
-5. The links' components follow by alternating stars.
+6. The links' components follow by alternating stars.
 
-Texts are known by the 64-bit hash of the text, so exact copies are one text throughout. Defined results: a null text or
+Texts are known by the 64-bit hash of the text, so exact copies are one text throughout, shingles by 64-bit hashes too. Defined results: a null text or
 one without words has an empty set and is alone, its component is its own id; a text of fewer than five words is one
 shingle; repeated rows and ids each get a row; a null id is passed over as a component's least id unless it's the only one.
 """
@@ -37,7 +43,7 @@ SIZE, PERCENT = 5, 80
 #: Of the most frequent shingles so many are put last; a hint for the order, not a limit of the search.
 FREQUENT = 1 << 18
 #: Shingles that a task gathers before it passes them on, postings of one reduce group, shingles of a block of texts.
-FLUSH, GROUP, BLOCK = 2_000_000, 1_000_000, 120_000
+FLUSH, GROUP, BLOCK = 1_000_000, 500_000, 120_000
 #: Occurrences that short lists must show, where the text is long enough.
 SHORT = 4
 
@@ -106,31 +112,47 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, key long, n int, tok long, cnt int")
 
 
-def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, percent: int) -> DataFrame:
-    """(tok, key, n, m): first shingles of every text that at least one more text has among its first; m texts have it.
+#: Marks the number of a frequent shingle among these.
+OFTEN = np.uint64(1 << 62)
 
-    A shingle is known here by its group and 40 bits of its hash: shingles that share them only add texts to compare.
+
+def prefix_lists(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, parts: int, size: int, percent: int) -> DataFrame:
+    """(tok, key, n, m): first shingles of every text that at least one more text has among its first; about m texts have it.
+
+    A shingle is known here by its group and 40 bits of its hash (shingles that share them only add texts to compare), a
+    frequent one by its number. Groups from `parts` on hold frequent shingles, dealt by text.
     """
     marks = np.zeros(1 << 20, bool)
     marks[frequent & np.uint64((1 << 20) - 1)] = True
     low = np.uint64((1 << 20) - 1)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, marks))  # FREQUENT hashes at most
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, marks, times))  # FREQUENT hashes and counts at most
 
-    def pack(keys: list[int], sets: list[np.ndarray], ns: list[int]) -> Iterator[pa.RecordBatch]:
+    def pack(keys: list[int], sets: list[np.ndarray], ns: list[int], late: bool) -> Iterator[pa.RecordBatch]:
         toks, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-        part = ((toks >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        toks, owner, edges = toks[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
         keys_of, n_of, out = np.array(keys, np.int64), np.array(ns, np.int32), []
+        part = (keys_of.view(np.uint64) % np.uint64(parts))[owner] if late else (toks >> np.uint64(40)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        toks, owner, edges = toks[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         for p in range(parts):
             if (a := edges[p]) < (b := edges[p + 1]):
                 own, counts = np.unique(owner[a:b], return_counts=True)
-                out.append((p, keys_of[own].tobytes(), n_of[own].tobytes(), counts.astype(np.int32).tobytes(), pack_bytes(toks[a:b], 5)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["part", "keys", "ns", "counts", "toks"])
+                out.append((p + parts * late, keys_of[own].tobytes(), n_of[own].tobytes(), counts.astype(np.int32).tobytes(), pack_bytes(toks[a:b], 5)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["part", "keys", "ns", "counts", "toks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, keys, sets, ns, many = WordHashes(), set(), [], [], [], 0
-        often, marked = shared.value
+        hashes, seen, held, many = WordHashes(), set(), ([], [], [], []), 0
+        often, marked, _ = shared.value
+        none = np.zeros(0, np.uint64)
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            keys, early, late, ns = held
+            if keys:
+                yield from pack(keys, early, ns, False)
+                yield from pack(keys, late, ns, True)
+            for x in held:
+                x.clear()
+
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), _texts(b), strict=True):
                 if key in seen or not (n := len(s := shingle_set(hashes.of(lower_words(text or b"")), size))):
@@ -138,31 +160,31 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, p
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(key)
-                late = marked[s & low]
+                first, late, number = n - int(needed(n, percent)) + surplus(n), marked[s & low], none
                 if late.any():
                     at = np.minimum(np.searchsorted(often, s[late]), len(often) - 1)
-                    late[late] = often[at] == s[late]
-                    s = np.concatenate([s[~late], s[late]])
-                keys.append(key)
-                ns.append(n)
-                sets.append(s[: n - int(needed(n, percent)) + surplus(n)])
-                many += len(sets[-1])
+                    same = often[at] == s[late]
+                    late[late] = same
+                    s, number = s[~late], at[same].astype(np.uint64)
+                for x, v in zip(held, (key, s[:first], number[: max(0, first - len(s))], n), strict=True):
+                    x.append(v)
+                many += first
                 if many >= FLUSH // 4:
-                    yield from pack(keys, sets, ns)
-                    keys, sets, ns, many = [], [], [], 0
-        if sets:
-            yield from pack(keys, sets, ns)
+                    yield from passed()
+                    many = 0
+        yield from passed()
 
     def lists(group: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
         counts, toks = join("counts", np.int32), unpack_bytes(b"".join(group.column("toks").to_pylist()), 5)
-        toks |= np.uint64(group.column("part")[0].as_py()) << np.uint64(40)
+        part = group.column("part")[0].as_py()
+        toks |= OFTEN if part >= parts else np.uint64(part) << np.uint64(40)
         key, n = np.repeat(join("keys", np.int64), counts), np.repeat(join("ns", np.int32), counts)
         order = np.argsort(toks, kind="stable")
         toks = toks[order]
         same = np.zeros(len(toks) + 1, bool)
         same[1:-1] = toks[1:] == toks[:-1]
-        several = same[1:] | same[:-1]
+        several = same[1:] | same[:-1] | (part >= parts)
         order, toks = order[several], toks[several]
         key, n = key[order], n[order]
         order = np.lexsort((key, toks))
@@ -172,6 +194,8 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, p
             toks, key, n = toks[once], key[once], n[once]
         _, at, m = np.unique(toks, return_inverse=True, return_counts=True)
         m = m[at] if len(toks) else np.zeros(0, np.int64)
+        if part >= parts and len(toks):
+            m = shared.value[2][(toks ^ OFTEN).astype(np.int64)]
         keep = m > 1
         return pa.table([pa.array(toks[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep]), pa.array(m[keep].astype(np.int32))], ["tok", "key", "n", "m"])
 
@@ -179,20 +203,25 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, parts: int, size: int, p
     return packed.groupBy("part").applyInArrow(lists, "tok long, key long, n int, m int")
 
 
+#: What a text is in a search: one of those compared with each other, one that is looked up, one that looks up.
+WITHIN, INDEX, QUERY = 0, 1, 2
+
+
 def search(percent: int):
-    """The T-occurrence search within a pair of blocks; returns links that connect its texts."""
+    """The T-occurrence search within a group of texts; returns links that connect components (root) which weren't connected."""
 
     def run(group: pa.Table) -> pa.Table:
-        once = np.unique(group.column("key").to_numpy(), return_index=True)[1]  # a row that repeats both id and text
+        once = np.unique(group.column("key").to_numpy(), return_index=True)[1]  # a text that comes twice
         group = group.take(pa.array(once))
-        keys, first = group.column("key").to_numpy(), group.column("first").to_numpy(zero_copy_only=False)
-        sets = [unpack_bytes(x, 6) for x in group.column("toks").to_pylist()]
-        within = bool((group.column("lo").to_numpy() == group.column("hi").to_numpy()).all())
+        keys, roots = group.column("key").to_numpy(), group.column("root").to_numpy()
+        role = group.column("role").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("toks").to_pylist()]
+        within = bool((role == WITHIN).all())
         ns = np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((keys, ns))
-        keys, ns, first, sets = keys[order], ns[order], first[order], [sets[i] for i in order]
-        index = np.arange(len(sets)) if within else np.flatnonzero(~first)
-        queries = np.arange(len(sets)) if within else np.flatnonzero(first)
+        keys, ns, role, roots, sets = keys[order], ns[order], role[order], roots[order], [sets[i] for i in order]
+        index = np.arange(len(sets)) if within else np.flatnonzero(role == INDEX)
+        queries = np.arange(len(sets)) if within else np.flatnonzero(role == QUERY)
         a, b = [], []
         if len(index) and len(queries) and len(sets) > 1:
             distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -202,7 +231,7 @@ def search(percent: int):
             by = np.argsort(toks, kind="stable")
             postings, start = owner[by], np.searchsorted(toks[by], np.arange(span + 1))
             table = np.sort(owner * span + toks)  # each text's shingles in order: what long lists are probed in
-            label = np.arange(len(sets))
+            label = np.unique(roots, return_inverse=True)[1]
             for x in queries:
                 n, t = int(ns[x]), int(needed(int(ns[x]), percent))
                 length = start[ids[x] + 1] - start[ids[x]]
@@ -245,36 +274,73 @@ def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PER
         if taken + rows > FREQUENT:
             break
         taken, least = taken + rows, cnt
-    found = often.where(F.col("cnt") >= least).select("tok").toPandas()["tok"].to_numpy(np.int64)  # FREQUENT at most
-    frequent = np.sort(found.view(np.uint64)) if len(found) else np.zeros(1, np.uint64)
+    found = often.where(F.col("cnt") >= least).toPandas()  # FREQUENT at most
+    frequent, times = found["tok"].to_numpy(np.int64).view(np.uint64), found["cnt"].to_numpy(np.int64)
+    order = np.argsort(frequent)
+    frequent, times = (frequent[order], times[order]) if len(found) else (np.zeros(1, np.uint64), np.ones(1, np.int64))
     texts = seen.where("n > 0")
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-total * (105 - percent) // (100 * GROUP)))
-    lists = C.written(prefix_lists(docs, frequent, parts, size, percent))
+    lists = C.written(prefix_lists(docs, frequent, times, parts, size, percent))
 
     active = lists.groupBy("key", "n").agg(F.count("*").alias("c"), F.max(F.struct("m", "tok")).alias("home")).where(F.col("c") >= surplus_of(F.col("n")))
     active = C.cut(active.select("key", "n", F.col("home.tok").alias("home")))
-    split = active.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("s"))
-    block = C.cut(active.join(split, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), "s")).alias("block")))
-    postings = C.written(lists.join(C.small_side(block), "key").select("tok", "key", "n", "block"))
-    reach = postings.join(postings.select("tok", F.col("block").alias("other")).distinct(), "tok")
-    reach = reach.groupBy("key", "n", "block", "other").agg(F.count("*").alias("c")).where(F.col("c") >= surplus_of(F.col("n")))
-    meets = C.cut(reach.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("first")))
-    pairs = meets.groupBy("lo", "hi").agg(F.count("*").alias("c"), F.count_distinct("first").alias("sides")).where("c > 1 and (lo = hi or sides = 2)").select("lo", "hi")
-    meets = C.cut(meets.join(pairs, ["lo", "hi"]))
-
-    wanted = texts.groupBy("key").agg(F.min("doc_id").alias("_id")).join(meets, "key").withColumnRenamed("key", "_key")
-    wanted = C.small_side(C.cut(wanted))
-    met = docs.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("lo", "hi", "first", "key", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    homes = C.cut(active.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("s"), F.min("key").alias("one")))
+    block_of = lambda part: F.xxhash64("home", part.cast("long"))
+    blocks = C.cut(active.join(C.small_side(homes), "home").select("key", "n", block_of(F.pmod(F.xxhash64("key"), "s")).alias("block")))
+    sets = C.written(shingle_sets(docs, texts, active.select("key"), size))
+
+    # Each block by itself, with the text that the blocks of its shingle share.
+    shared = homes.where("s > 1").select(F.col("one").alias("key"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("_part"), "home").select("key", block_of(F.col("_part")).alias("block"))
+    members = blocks.select("key", "block").union(shared).distinct()
+    members = members.join(members.groupBy("block").count().where("count > 1").select("block"), "block")
+    members = members.select("key", F.col("block").alias("target"), F.lit(0).alias("part"), F.lit(WITHIN).alias("role"), F.col("key").alias("root"))
+    near = searched(sets, members, percent)
+    linked = C.small_side(C.cut(components(near)))
+    labelled = blocks.join(linked, F.col("key") == F.col("node"), "left").select("key", "n", "block", F.coalesce("root", "key").alias("root"))
+
+    # Where texts of different components share shingles over blocks.
+    count = labelled.groupBy("block", "root").agg(F.count("*").alias("c"))
+    most = count.groupBy("block").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
+    wide = most.groupBy("most").agg(F.count("*").alias("width"))
+    most = C.cut(most.join(wide, "most").select("block", "most", "width"))
+    labelled = C.cut(labelled.join(C.small_side(most), "block"))
+    postings = C.written(lists.select("tok", "key").join(C.small_side(labelled), "key"))
+    places = postings.select("tok", F.col("block").alias("other"), F.col("most").alias("other_most"), F.col("width").alias("other_width")).distinct()
+    several = places.groupBy("tok").agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("other_most").alias("c"), F.max("other_most").alias("d")).where("a < b").select("tok", (F.col("c") < F.col("d")).alias("mixed"))
+    places, several = C.cut(places), C.cut(several)
+    own = F.col("root") == F.col("most")
+    outside = postings.where(~own).join(several.select("tok"), "tok").join(places, "tok").where("block <> other")
+    # Blocks of the component with fewer of them ask those of the other one; a shingle with one component only asks nothing.
+    before = F.struct("width", "most") < F.struct(F.col("other_width").alias("width"), F.col("other_most").alias("most"))
+    between = postings.where(own).join(several.where("mixed").select("tok"), "tok").join(places, "tok").where((F.col("most") != F.col("other_most")) & before)
+    asks = outside.select("key", "n", "root", "other").unionByName(between.select("key", "n", "root", "other"))
+    asks = asks.groupBy("key", "n", "root", "other").agg(F.count("*").alias("c")).where(F.col("c") >= surplus_of(F.col("n")))
+    asks = C.cut(asks.select("key", "n", "root", F.col("other").alias("target")))
+    loads = C.cut(asks.groupBy("target").agg(F.ceil(F.sum("n") / BLOCK).alias("s")))
+    asking = asks.join(C.small_side(loads), "target").select("key", "target", F.pmod(F.xxhash64("key"), "s").cast("int").alias("part"), F.lit(QUERY).alias("role"), "root")
+    asked = labelled.join(C.small_side(loads), F.col("block") == F.col("target")).select("key", "target", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("part"), F.lit(INDEX).alias("role"), "root")
+    return near.unionByName(searched(sets, asking.unionByName(asked), percent))
+
+
+def shingle_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(key, toks): the shingles of each text of keys, 8 bytes each, from one of its documents."""
+    wanted = texts.groupBy("key").agg(F.min("doc_id").alias("_id")).join(keys, "key").withColumnRenamed("key", "_key")
+    found = docs.join(C.small_side(C.cut(wanted)), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            found = [pack_bytes(shingle_set(hashes.of(lower_words(x)), size), 6) for x in _texts(b)]
-            yield pa.RecordBatch.from_arrays([*map(b.column, ("lo", "hi", "first", "key")), pa.array(found, pa.binary())], ["lo", "hi", "first", "key", "toks"])
+            sets = [shingle_set(hashes.of(lower_words(x)), size).tobytes() for x in _texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "toks"])
+
+    return found.mapInArrow(run, "key long, toks binary")
+
 
-    full = met.mapInArrow(sets, "lo long, hi long, first boolean, key long, toks binary")
-    return C.cut(full.groupBy("lo", "hi").applyInArrow(search(percent), "a long, b long"))
+def searched(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within the groups (target, part) of members(key, target, part, role, root)."""
+    members = C.small_side(C.cut(members))
+    return C.cut(sets.join(members, "key").groupBy("target", "part").applyInArrow(search(percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -282,12 +348,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     the (id, text) of its component that keep_first() keeps."""
     docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     seen = C.written(profiles(docs, size))
-    roots = components(links(docs, seen, size, percent))
+    roots = C.small_side(C.cut(components(links(docs, seen, size, percent))))
     rows = seen.where("n is not null").select("doc_id", "key", "n")
     rooted = rows.where("n > 0").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("least"))
-    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
-    out = rooted.join(least, "root").select("doc_id", F.col("key").alias("_key"), F.col("n").cast("long").alias("n_shingles"), "component_id", first.alias("_first"))
+    least = rooted.groupBy("root").agg(F.count("*").alias("c"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("least")).where("c > 1")
+    # Both sides are plain rows here, so Spark may split the partition of a large component.
+    rooted = rooted.join(C.small_side(C.cut(least.drop("c").withColumnRenamed("root", "_root"))), F.col("root") == F.col("_root"), "left")
+    several = F.col("_root").isNotNull()
+    first = ~several | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))
+    out = rooted.select("doc_id", F.col("key").alias("_key"), F.col("n").cast("long").alias("n_shingles"), F.when(several, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"), first.alias("_first"))
     alone = rows.where("n = 0").select("doc_id", F.col("key").alias("_key"), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("_first"))
     return out.unionByName(alone)
 
