@@ -288,14 +288,14 @@ def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PER
     homes = C.cut(active.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("s"), F.min("key").alias("one")))
     block_of = lambda part: F.xxhash64("home", part.cast("long"))
     blocks = C.cut(active.join(C.small_side(homes), "home").select("key", "n", block_of(F.pmod(F.xxhash64("key"), "s")).alias("block")))
-    sets = C.written(shingle_sets(docs, texts, active.select("key"), size))
+    texts = texts.groupBy("key").agg(F.min("doc_id").alias("_id"))  # each text from one of its documents
 
     # Each block by itself, with the text that the blocks of its shingle share.
     shared = homes.where("s > 1").select(F.col("one").alias("key"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("_part"), "home").select("key", block_of(F.col("_part")).alias("block"))
     members = blocks.select("key", "block").union(shared).distinct()
     members = members.join(members.groupBy("block").count().where("count > 1").select("block"), "block")
     members = members.select("key", F.col("block").alias("target"), F.lit(0).alias("part"), F.lit(WITHIN).alias("role"), F.col("key").alias("root"))
-    near = searched(sets, members, percent)
+    near = searched(docs, texts, members, size, percent)
     linked = C.small_side(C.cut(components(near)))
     labelled = blocks.join(linked, F.col("key") == F.col("node"), "left").select("key", "n", "block", F.coalesce("root", "key").alias("root"))
 
@@ -320,27 +320,23 @@ def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PER
     loads = C.cut(asks.groupBy("target").agg(F.ceil(F.sum("n") / BLOCK).alias("s")))
     asking = asks.join(C.small_side(loads), "target").select("key", "target", F.pmod(F.xxhash64("key"), "s").cast("int").alias("part"), F.lit(QUERY).alias("role"), "root")
     asked = labelled.join(C.small_side(loads), F.col("block") == F.col("target")).select("key", "target", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("part"), F.lit(INDEX).alias("role"), "root")
-    return near.unionByName(searched(sets, asking.unionByName(asked), percent))
+    return near.unionByName(searched(docs, texts, asking.unionByName(asked), size, percent))
 
 
-def shingle_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(key, toks): the shingles of each text of keys, 8 bytes each, from one of its documents."""
-    wanted = texts.groupBy("key").agg(F.min("doc_id").alias("_id")).join(keys, "key").withColumnRenamed("key", "_key")
-    found = docs.join(C.small_side(C.cut(wanted)), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
+def searched(docs: DataFrame, texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links within the groups (target, part) of members(key, target, part, role, root)."""
+    names = ["key", "target", "part", "role", "root"]
+    members = C.small_side(C.cut(texts.join(members, "key").withColumnRenamed("key", "_key")))
+    met = docs.join(members, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*names, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(hashes.of(lower_words(x)), size).tobytes() for x in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "toks"])
-
-    return found.mapInArrow(run, "key long, toks binary")
+            found = [shingle_set(hashes.of(lower_words(x)), size).tobytes() for x in _texts(b)]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(found, pa.binary())], [*names, "toks"])
 
-
-def searched(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links within the groups (target, part) of members(key, target, part, role, root)."""
-    members = C.small_side(C.cut(members))
-    return C.cut(sets.join(members, "key").groupBy("target", "part").applyInArrow(search(percent), "a long, b long"))
+    full = met.mapInArrow(sets, "key long, target long, part int, role int, root long, toks binary")
+    return C.cut(full.groupBy("target", "part").applyInArrow(search(percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
