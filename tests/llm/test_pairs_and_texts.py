@@ -45,6 +45,16 @@ def test_jaccard(spark, odd):
     assert jaccard.jaccard_components(frame(spark, []).limit(0)).count() == 0
 
 
+def test_first_shingles_of_linked_texts_meet():
+    """k common shingles are among the first of both for k up to the lesser of two bounds: it is never below either surplus."""
+    for n in range(1, 1500):
+        for m in range(-(-n * 80 // 100), n + 1):
+            overlap = -(-80 * (n + m) // 180)
+            if overlap <= m:
+                common = min(overlap - jaccard.needed(x, 80) + jaccard.surplus(x) for x in (n, m))
+                assert common >= max(jaccard.surplus(n), jaccard.surplus(m)), (n, m)
+
+
 def test_jaccard_in_small_blocks(spark, monkeypatch):
     """Groups of near copies over many blocks, some of whose texts only link across blocks, with frequent shingles and without."""
     rnd, texts = random.Random(11), []

@@ -9,7 +9,7 @@ either one, so of a global order of all shingles they share at least l(n) among
    fewer than l(n) shingles left can't have a partner and leaves too. Postings of the frequent shingles are dealt by text
    instead of by shingle; any other shingle has no more postings than all shingles divided by that fixed number.
 3. Texts that are left go to blocks: by the shingle of their longest list, split by size so that no block exceeds a fixed
-   number of shingles. Each block is searched by itself, together with one text of its shingle that all its blocks share,
+   number of shingles. Texts whose first shingles meet no other's in their block drop out. Each block is searched by itself, together with one text of its shingle that all its blocks share,
    so that a large group of near copies is connected here, over as many blocks as it has.
 4. Blocks whose texts are mostly connected with each other have nothing to compare. Only texts that aren't connected with
    most of their block go to the other blocks that share l(n) shingles with them, and between blocks that mostly hold
@@ -283,11 +283,12 @@ def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PER
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-total * (105 - percent) // (100 * GROUP)))
     lists = C.written(prefix_lists(docs, frequent, times, parts, size, percent))
 
-    active = lists.groupBy("key", "n").agg(F.count("*").alias("c"), F.max(F.struct("m", "tok")).alias("home")).where(F.col("c") >= surplus_of(F.col("n")))
-    active = C.cut(active.select("key", "n", F.col("home.tok").alias("home")))
+    active = lists.groupBy("key", "n").agg(F.count("*").alias("c"), F.max(F.struct("m", "tok")).alias("home"), F.collect_list("tok").alias("toks")).where(F.col("c") >= surplus_of(F.col("n")))
+    active = C.cut(active.select("key", "n", F.col("home.tok").alias("home"), "toks"))
     homes = C.cut(active.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("s"), F.min("key").alias("one")))
     block_of = lambda part: F.xxhash64("home", part.cast("long"))
     blocks = C.cut(active.join(C.small_side(homes), "home").select("key", "n", block_of(F.pmod(F.xxhash64("key"), "s")).alias("block")))
+    first = active.select("key", "n", "toks")
     texts = texts.groupBy("key").agg(F.min("doc_id").alias("_id"))  # each text from one of its documents
 
     # Each block by itself, with the text that the blocks of its shingle share.
@@ -295,7 +296,7 @@ def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PER
     members = blocks.select("key", "block").union(shared).distinct()
     members = members.join(members.groupBy("block").count().where("count > 1").select("block"), "block")
     members = members.select("key", F.col("block").alias("target"), F.lit(0).alias("part"), F.lit(WITHIN).alias("role"), F.col("key").alias("root"))
-    near = searched(docs, texts, members, size, percent)
+    near = searched(docs, texts, meeting(first, members, percent), size, percent)
     linked = C.small_side(C.cut(components(near)))
     labelled = blocks.join(linked, F.col("key") == F.col("node"), "left").select("key", "n", "block", F.coalesce("root", "key").alias("root"))
 
@@ -305,22 +306,63 @@ def links(docs: DataFrame, seen: DataFrame, size: int = SIZE, percent: int = PER
     wide = most.groupBy("most").agg(F.count("*").alias("width"))
     most = C.cut(most.join(wide, "most").select("block", "most", "width"))
     labelled = C.cut(labelled.join(C.small_side(most), "block"))
-    postings = C.written(lists.select("tok", "key").join(C.small_side(labelled), "key"))
-    places = postings.select("tok", F.col("block").alias("other"), F.col("most").alias("other_most"), F.col("width").alias("other_width")).distinct()
+    labelled = labelled.withColumn("own", F.col("root") == F.col("most"))
+    postings = C.cut(active.select("key", F.explode("toks").alias("tok")).join(C.small_side(labelled), "key"))
+    places = postings.select("tok", F.col("block").alias("other"), F.col("most").alias("other_most"), F.col("width").alias("other_width"), F.col("own").alias("other_own")).distinct()
     several = places.groupBy("tok").agg(F.min("other").alias("a"), F.max("other").alias("b"), F.min("other_most").alias("c"), F.max("other_most").alias("d")).where("a < b").select("tok", (F.col("c") < F.col("d")).alias("mixed"))
     places, several = C.cut(places), C.cut(several)
-    own = F.col("root") == F.col("most")
-    outside = postings.where(~own).join(several.select("tok"), "tok").join(places, "tok").where("block <> other")
+    # Of two texts that are both outside, the one of the lesser block asks; of one outside and one that isn't, the former.
+    outside = postings.where("not own").join(several.select("tok"), "tok").join(places, "tok").where("block < other or (block > other and other_own)")
     # Blocks of the component with fewer of them ask those of the other one; a shingle with one component only asks nothing.
     before = F.struct("width", "most") < F.struct(F.col("other_width").alias("width"), F.col("other_most").alias("most"))
-    between = postings.where(own).join(several.where("mixed").select("tok"), "tok").join(places, "tok").where((F.col("most") != F.col("other_most")) & before)
-    asks = outside.select("key", "n", "root", "other").unionByName(between.select("key", "n", "root", "other"))
-    asks = asks.groupBy("key", "n", "root", "other").agg(F.count("*").alias("c")).where(F.col("c") >= surplus_of(F.col("n")))
-    asks = C.cut(asks.select("key", "n", "root", F.col("other").alias("target")))
-    loads = C.cut(asks.groupBy("target").agg(F.ceil(F.sum("n") / BLOCK).alias("s")))
-    asking = asks.join(C.small_side(loads), "target").select("key", "target", F.pmod(F.xxhash64("key"), "s").cast("int").alias("part"), F.lit(QUERY).alias("role"), "root")
-    asked = labelled.join(C.small_side(loads), F.col("block") == F.col("target")).select("key", "target", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("part"), F.lit(INDEX).alias("role"), "root")
-    return near.unionByName(searched(docs, texts, asking.unionByName(asked), size, percent))
+    between = postings.where("own").join(several.where("mixed").select("tok"), "tok").join(places.where("other_own"), "tok").where((F.col("most") != F.col("other_most")) & before)
+    columns = ["key", "n", "root", "other", "other_own"]
+    asks = outside.select(columns).unionByName(between.select(columns)).groupBy(columns).agg(F.count("*").alias("c")).where(F.col("c") >= surplus_of(F.col("n")))
+    asks = C.cut(asks.select("key", "n", "root", F.col("other").alias("target")).distinct())
+    loads = C.small_side(C.cut(asks.groupBy("target").agg(F.ceil(F.sum("n") / BLOCK).alias("s"))))
+    asking = asks.join(loads, "target").select("key", "target", F.pmod(F.xxhash64("key"), "s").cast("int").alias("part"), F.lit(QUERY).alias("role"), "root")
+    # Of a block those texts are asked that share as many shingles with all that ask.
+    wanted = postings.join(C.small_side(asks.select("key", "target")), "key").select(F.col("target").alias("block"), "tok").distinct()
+    asked = postings.join(wanted, ["block", "tok"]).groupBy("key", "n", "root", "block").agg(F.count("*").alias("c")).where(F.col("c") >= surplus_of(F.col("n")))
+    asked = asked.join(loads, F.col("block") == F.col("target")).select("key", "target", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("part"), F.lit(INDEX).alias("role"), "root")
+    return near.unionByName(searched(docs, texts, meeting(first, asking.unionByName(asked), percent), size, percent))
+
+
+def candidates(percent: int):
+    """Of a group of texts, those whose first shingles have as many in common with another one's as a link needs."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, at = np.unique(group.column("key").to_numpy(), return_index=True)
+        group = group.take(pa.array(at))
+        ns, role = group.column("n").to_numpy().astype(np.int64), group.column("role").to_numpy()
+        label = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
+        sets = group.column("toks").combine_chunks()
+        spare = 1 + np.minimum(8, ns // 20) - needed(ns, percent)  # of n + spare first shingles all but n - overlap are common
+        own = np.diff(sets.offsets.to_numpy())
+        toks, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(keys)), own)
+        listed = (role != QUERY)[owner]
+        order = np.argsort(toks[listed], kind="stable")
+        sorted_toks, postings = toks[listed][order], owner[listed][order]
+        start, end = np.searchsorted(sorted_toks, toks, "left"), np.searchsorted(sorted_toks, toks, "right")
+        edges, keep = np.r_[0, np.cumsum(own)], np.zeros(len(keys), bool)
+        for x in np.flatnonzero(role != INDEX):
+            spans = range(edges[x], edges[x + 1])
+            found, count = np.unique(np.concatenate([postings[start[i] : end[i]] for i in spans]), return_counts=True)
+            n, other = ns[x], ns[found]
+            overlap = -(-percent * (n + other) // (100 + percent))
+            fit = found[(count >= overlap + np.minimum(spare[x], spare[found])) & (label[found] != label[x]) & (100 * np.minimum(other, n) >= percent * np.maximum(other, n))]
+            if len(fit):
+                keep[x] = True
+                keep[fit] = True
+        return group.filter(pa.array(keep)).select(["key", "target", "part", "role", "root"])
+
+    return run
+
+
+def meeting(first: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The members that may have a link in their group, told by first(key, n, toks) alone; whole sets are larger by far."""
+    members = first.join(C.small_side(C.cut(members)), "key")
+    return members.groupBy("target", "part").applyInArrow(candidates(percent), "key long, target long, part int, role int, root long")
 
 
 def searched(docs: DataFrame, texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
