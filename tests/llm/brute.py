@@ -65,7 +65,7 @@ def contamination(docs, items):
                     for k in range(len(w) - n + 1):
                         if tuple(w[k : k + n]) == win:
                             hit.update(range(k, k + n))
-                            found.add(str(item))
+                            found.add("" if item is None else str(item))
         out.append((len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 

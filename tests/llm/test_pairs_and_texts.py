@@ -104,7 +104,7 @@ def test_components(spark):
 
 def test_decontamination(spark, odd):
     words = [f"q{i}" for i in range(40)]
-    items = [(1, " ".join(words[:20])), (2, " ".join(words[5:30])), (10, "Tiny item"), (11, ""), (12, None), (13, " ".join(words[:20])), (14, "one")]
+    items = [(1, " ".join(words[:20])), (2, " ".join(words[5:30])), (10, "Tiny item"), (11, ""), (12, None), (13, " ".join(words[:20])), (14, "one"), (None, " ".join(words[:13]))]
     docs = odd + [
         (900, " ".join(["pad"] * 30 + words + ["pad"] * 30)), (901, "x " + ", ".join(words[:13]).upper()), (902, " ".join(words[:12])), (903, "a tiny ITEM here"),
         (904, " ".join(words[:20] + words[5:30])), (905, " ".join(["pad"] * 500 + words[3:16])), (None, " ".join(words[:14])), (906, " ".join(words[:14])), (906, " ".join(words[:14])),

@@ -14,6 +14,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a counted side may be broadcast (callers count first and join by shuffle beyond it).
 BROADCAST_ROWS = 500_000
+#: Bytes of strings, arrays and the like up to which it may be.
+BROADCAST_BYTES = 64 << 20
 
 
 #: Bytes of texts that a Python worker is handed at once.
@@ -55,12 +57,20 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a (cut) side has at most so many rows; it reads no more than that many and one."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a (cut) side has at most so many rows and BROADCAST_BYTES, summed up by the tasks that hold it."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct", "variant"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return n <= rows and total <= BROADCAST_BYTES
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a cut side for broadcast if its counted rows allow it; else it stays as it is and the join shuffles."""
+    """Marks a cut side for broadcast if its counted rows and bytes allow it; else it stays as it is and the join shuffles."""
     return F.broadcast(df) if fits(df, rows) else df
 
 

@@ -4,14 +4,15 @@ A window is 13 consecutive words of an item, or a shorter item as a whole. As a
 wholly in a text that it occurs in, so one shingle of it is a sufficient prefix: the rarest one in the documents.
 
 1. One pass over the texts counts words and keeps, with the words around it, each place of a shingle that some window has.
-   (Where the windows have more distinct shingles than may be broadcast, every place passes and the joins do the rest.)
+   (Where the windows have more distinct shingles than may be broadcast, a bitmap of fixed size by their hashes stands for
+   them: some places more pass, and the joins do the rest.)
 2. Places are counted per shingle; a window that lacks one of its shingles is dropped, the others get their rarest as prefix.
 3. Prefix and places are joined; the shingle's offset gives the only start the window can have there. It must leave the
    whole window inside the text (position and length bounds), and the words there must be the window's words exactly.
 4. Covered words are counted once by a running maximum of ends per document.
 
 Defined results: a null or wordless text has no words, no hits and isn't contaminated; an item without words has no
-windows; an item of fewer than 13 words matches as a whole; rows that repeat id and text share their result; an empty
+windows; an item of fewer than 13 words matches as a whole; a null item_id counts as one item, whose id is empty; rows that repeat id and text share their result; an empty
 benchmark contaminates nothing.
 """
 
@@ -30,6 +31,8 @@ from weirlog.llm.words import WordHashes, shingles
 WINDOW, SHINGLE = 13, 5
 #: Distinct shingles of the benchmark up to which the pass over the texts is given their hashes (8 bytes each).
 FILTER = 2_000_000
+#: Bits of the bitmap beyond that (32 MB).
+BITS = 28
 #: Contaminated: at least one of so many words is hit.
 SHARE = 20
 
@@ -85,17 +88,17 @@ def window_shingles(found: DataFrame, size: int = SHINGLE) -> DataFrame:
     return found.select("words", "n").distinct().mapInArrow(run, "words string, n int, k int, offset int, sh long")
 
 
-def places(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, window: int = WINDOW, size: int = SHINGLE) -> DataFrame:
+def places(docs: DataFrame, lengths: list[int], wanted: np.ndarray, window: int = WINDOW, size: int = SHINGLE) -> DataFrame:
     """A row (doc_id, key, n_words) per document, and rows with sh, pos and the words around it, from word `since` on."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     low = np.uint64((1 << 22) - 1)
     names = ["doc_id", "key", "n_words", "sh", "pos", "since", "around"]
-    given = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None  # FILTER hashes at most
+    given, of_hashes = docs.sparkSession.sparkContext.broadcast(wanted), wanted.dtype == np.uint64  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        if given is not None:
-            known = given.value
+        known = given.value
+        if of_hashes:
             marks = np.zeros(1 << 22, bool)
             marks[known & low] = True
         for b in batches:
@@ -108,11 +111,13 @@ def places(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, windo
                     if len(own) < k:
                         continue
                     found = shingles(own, k)
-                    where = np.arange(len(found))
-                    if given is not None:
+                    if of_hashes:
                         where = np.flatnonzero(marks[found & low])
                         place = np.minimum(np.searchsorted(known, found[where]), len(known) - 1)
                         where = where[known[place] == found[where]]
+                    else:
+                        bit = (found & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                        where = np.flatnonzero((known[bit >> 6] >> (bit & 63)) & 1)
                     beyond = window - k if k == size else 0
                     for p, h in zip(where.tolist(), found[where].view(np.int64).tolist(), strict=True):
                         a = max(0, p - beyond)
@@ -130,16 +135,24 @@ def places(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, windo
     return docs.mapInArrow(run, f"doc_id {kind}, key long, n_words int, sh long, pos int, since int, around string")
 
 
+def shingle_filter(distinct: DataFrame) -> np.ndarray:
+    """The sorted hashes (uint64) if there are FILTER at most, else a bitmap (int64 words of 64 bits) by the low BITS of them."""
+    if C.fits(distinct, FILTER):
+        return np.sort(distinct.toPandas()["sh"].to_numpy(np.int64).view(np.uint64))
+    bit = F.col("sh").bitwiseAND(F.lit((1 << BITS) - 1))
+    words = distinct.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, _key, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs; _key is the hash of its text."""
     docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     items = C.cut(windows(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("text"))))
     parts = C.cut(window_shingles(items))
     lengths = sorted(r.k for r in parts.select("k").distinct().collect())  # 1 to SHINGLE
-    wanted = None
-    distinct = parts.select("sh").distinct()
-    if C.fits(distinct, FILTER):
-        wanted = np.sort(distinct.toPandas()["sh"].to_numpy(np.int64).view(np.uint64))
+    wanted = shingle_filter(parts.select("sh").distinct())
     seen = C.cut(places(docs, lengths, wanted))
     hits = seen.where("sh is not null")
 
@@ -156,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     end = F.col("start") + F.col("n")
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
     n_hit = found.select("doc_id", "key", fresh.alias("fresh")).groupBy("doc_id", "key").agg(F.sum("fresh").alias("n_hit"))
-    of = found.select("doc_id", "key", "words").distinct().join(C.small_side(items.select("words", "item_id")), "words").groupBy("doc_id", "key").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    of = found.select("doc_id", "key", "words").distinct().join(C.small_side(items.select("words", "item_id")), "words").groupBy("doc_id", "key").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
     result = n_hit.join(of, (n_hit["doc_id"].eqNullSafe(of["doc_id"])) & (n_hit["key"] == of["key"])).select(n_hit["doc_id"].alias("_id"), n_hit["key"].alias("_hit_key"), "n_hit", "items")
     result = C.small_side(C.cut(result), 100_000)
 
@@ -193,7 +206,7 @@ dw AS (
 ),
 hits AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw USING (words, n)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS i FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
