@@ -31,9 +31,9 @@ from weirlog.llm import common as C
 from weirlog.llm.quality_rules import BASE, MORE, common_marks, text_statistics
 from weirlog.llm.words import WordHashes, lower_words
 
-SAMPLE, BITS, EM_STEPS = 30_000, 18, 200
+SAMPLE, BITS, EM_STEPS = 20_000, 18, 200
 #: Standard errors by which a feature's share must differ between the classes to be used, and features used at most.
-SIGNIFICANT, FEATURES = 4.0, 4096
+SIGNIFICANT, FEATURES = 4.0, 2048
 #: Steps and penalty (per document) of the logistic regression, and the most that a feature is scaled up.
 STEPS, PENALTY, SCALE = 300, 1e-3, 200.0
 #: Scores from which the scorer alone answers yes.
@@ -179,7 +179,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
     """Weights of `size` features and the bias, for soft labels y: gradient steps with momentum, bounded by the curvature."""
     n = max(float(weight.sum()), 1.0)
     scale = np.minimum(1 / np.maximum(np.sqrt(np.bincount(cols, values**2, size) / n), 1e-6), SCALE)
-    x, penalty = values * scale[cols], PENALTY * n
+    x, penalty = values * scale[cols].astype(np.float32), PENALTY * n
     length = np.bincount(rows, np.abs(x), len(y)) + 1
     curve = np.append(0.25 * np.bincount(cols, np.abs(x) * (length * weight)[rows], size) + penalty, max(0.25 * float((length * weight).sum()), 1e-6))
     now = before = np.append(np.zeros(size), -1.0)
@@ -218,22 +218,23 @@ def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
     shape = {"slots": "binary", "values": "binary", **{q: "double" for q in questions}, **{f"{q}_said": "boolean" for q in questions}}
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(size, bool)
+        marks[chosen] = True
         for b in batches:
-            out: tuple[list, list] = ([], [])
-            for at, value in zip(b.column("slots").to_pylist(), b.column("values").to_pylist(), strict=True):
-                at = np.array(at, np.int32)
-                keep = np.isin(at, chosen)
-                out[0].append(at[keep].tobytes())
-                out[1].append(np.array(value, np.float32)[keep].tobytes())
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in out], *[b.column(c) for c in [*shape][2:]]], [*shape])
+            slots, values = b.column("slots"), b.column("values").flatten().to_numpy()
+            at, edges = slots.flatten().to_numpy(), np.r_[0, np.cumsum(slots.value_lengths().to_numpy())]
+            keep = marks[at]
+            edges = np.r_[0, np.cumsum(keep)][edges]
+            parts = [[x[keep][i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)] for x in (at, values)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in parts], *[b.column(c) for c in [*shape][2:]]], [*shape])
 
     known = sample.mapInArrow(reduced, ", ".join(f"`{c}` {t}" for c, t in shape.items())).toPandas()  # SAMPLE rows at most
-    lists = [np.frombuffer(x, np.int32) for x in known["slots"]]
-    rows, at = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
-    values = np.frombuffer(b"".join(known["values"]), np.float32).astype(float)
+    at, values = np.frombuffer(b"".join(known["slots"]), np.int32), np.frombuffer(b"".join(known["values"]), np.float32)
+    rows = np.repeat(np.arange(len(known), dtype=np.int32), [len(x) // 4 for x in known["slots"]])
+    known = known.drop(columns=["slots", "values"])
     for q, name in enumerate(questions):
         mine = np.isin(at, best[q])
-        found, bias = logistic(rows[mine], np.searchsorted(best[q], at[mine]), values[mine], known[name].to_numpy(float), known[f"{name}_said"].to_numpy(float), len(best[q]))
+        found, bias = logistic(rows[mine], np.searchsorted(best[q], at[mine]).astype(np.int32), values[mine], known[name].to_numpy(float), known[f"{name}_said"].to_numpy(float), len(best[q]))
         weights[q, best[q]], weights[q, -1] = found, bias
     return weights
 
