@@ -225,7 +225,7 @@ def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
             at, edges = slots.flatten().to_numpy(), np.r_[0, np.cumsum(slots.value_lengths().to_numpy())]
             keep = marks[at]
             edges = np.r_[0, np.cumsum(keep)][edges]
-            parts = [[x[keep][i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)] for x in (at, values)]
+            parts = [[x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)] for x in (at[keep], values[keep])]
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in parts], *[b.column(c) for c in [*shape][2:]]], [*shape])
 
     known = sample.mapInArrow(reduced, ", ".join(f"`{c}` {t}" for c, t in shape.items())).toPandas()  # SAMPLE rows at most
