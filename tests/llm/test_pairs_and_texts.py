@@ -182,6 +182,8 @@ def test_tokens(spark, odd):
     assert sorted(map(str, ((r["doc_id"], r["n_tokens"]) for r in got))) == sorted(map(str, ((d, of(t)) for d, t in docs)))
     long = "ab" * 3000  # beyond the trie's length; the table over all prefixes is too slow here
     assert token_counts.Trie(pieces)[long.encode()] == token_counts.Trie(pieces, nodes=10)[long.encode()] > 0
+    trie = token_counts.Trie(pieces)
+    assert trie[long.encode()] and not len(trie)  # long words aren't kept
     small = token_counts.Trie(pieces, nodes=5)  # begins anew all the time
     assert [small[w] for w in (b"the", b"then", b"these", b"the")] == [brute.tokens(w, pieces) for w in ("the", "then", "these", "the")]
 

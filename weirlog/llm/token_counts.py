@@ -4,10 +4,10 @@ Pre-tokens are the words between ASCII white space, each with the vocabulary's w
 distinct pre-token is inserted in a trie. A node holds the forward score of its path, the best sum of piece scores over all
 segmentations, and the tokens of that segmentation (the fewest among equal scores), computed once from the nodes above it
 when it is made; all words that share a prefix share its nodes. A terminal's count is kept by its word, so a document's
-count is a sum of lookups. A character that no piece covers costs one token per UTF-8 byte.
+count is a sum of lookups; pre-tokens of more than LONG characters are counted each time, and kept nowhere. A character that no piece covers costs one token per UTF-8 byte.
 
 Nothing is shuffled: texts are large and counts small, so each task counts its own texts; trie and counts start anew when
-they reach a fixed number of nodes. The vocabulary comes from a sentencepiece model file whose size is checked.
+they reach a fixed number of nodes or bytes of words. The vocabulary comes from a sentencepiece model file whose size is checked.
 Defined results: a null or wordless text has no tokens; every row, repeated or not, has a row; input columns n_words and
 n_tokens are replaced.
 """
@@ -27,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of a vocabulary file, nodes of a trie, characters of a pre-token that goes into it.
 FILE_BYTES, NODES, LONG = 16 << 20, 800_000, 4096
+#: Bytes of words whose counts are kept.
+WORD_BYTES = 32 << 20
 #: How much less than the least score of a piece each byte of an uncovered character scores.
 PENALTY = 10.0
 
@@ -58,7 +60,7 @@ class Trie(dict):
     def restart(self) -> None:
         self.clear()
         self.child: dict[tuple[int, str], int] = {}
-        self.best, self.count = [0.0], [0]
+        self.best, self.count, self.held = [0.0], [0], 0
 
     def step(self, text: str, at: int, best: list[float], count: list[int]) -> tuple[float, int]:
         """Forward score and tokens of text[:at] from those of all shorter prefixes."""
@@ -77,7 +79,7 @@ class Trie(dict):
 
     def __missing__(self, word: bytes) -> int:
         text = MARK + word.decode()
-        if len(self.best) > self.nodes or len(self) > self.nodes:
+        if len(self.best) > self.nodes or len(self) > self.nodes or self.held > WORD_BYTES:
             self.restart()
         best, count, node, shared = [0.0], [0], 0, len(text) <= LONG
         for at in range(1, len(text) + 1):
@@ -94,7 +96,9 @@ class Trie(dict):
             best.append(top)
             count.append(few)
             node = known or 0
-        self[word] = count[-1]
+        if shared:
+            self[word] = count[-1]
+            self.held += len(word)
         return count[-1]
 
 
