@@ -70,15 +70,17 @@ def contamination(docs, items):
     return out
 
 
-def line_dedup(docs):
-    """docs sorted by id, ids distinct: texts."""
+def line_dedup(docs, passage=None):
+    """docs sorted by id, ids distinct: texts. passage: words that make one or two lines a window, as being the whole text does."""
     seen, out = set(), []
     for _, text in docs:
         lines, gone = text.split("\n") if text is not None else [], set()
-        for k in range(len(lines) - 2):
-            win = tuple(lines[k : k + 3])
-            if any(x.strip() for x in win):
-                gone.update(range(k, k + 3)) if win in seen else seen.add(win)
+        for size in (1, 2, 3):
+            for k in range(len(lines) - size + 1):
+                win = tuple(lines[k : k + size])
+                n = sum(len(x.split()) for x in win)
+                if n and (size == 3 or passage and (len(lines) == size or n >= passage)):
+                    gone.update(range(k, k + size)) if win in seen else seen.add(win)
         out.append(None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 

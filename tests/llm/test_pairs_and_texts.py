@@ -129,7 +129,7 @@ def test_line_dedup(spark):
     block = "l1\nl2\nl3\nl4"
     docs = [(1, f"top\n{block}\nend"), (2, f"{block}\nx"), (3, f"a\n{block}\nb\n{block}"), (4, "l1\nl2"), (5, ""), (6, None), (7, "\n\n\n\n\n\n"), (8, "r\nr\nr\nr\nr"), (9, "l2\nl3\nl4"), (10, "z\n" * 3000)]
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
-    assert [got[d]["text"] for d, _ in docs] == brute.line_dedup(docs)
+    assert [got[d]["text"] for d, _ in docs] == brute.line_dedup(docs, 50)
     assert got[2]["n_removed"] == 4 and got[9]["text"] == "" and got[6]["n_lines"] == 0
     twice = line_dedup.line_dedup(frame(spark, [(1, block), (1, block), (None, block)])).collect()
     assert sorted(str(r["text"]) for r in twice) == ["", "", block]  # null comes first; rows alike share their result
@@ -144,9 +144,17 @@ def test_line_dedup_of_fewer_lines(spark):
     ]
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
     assert got == dict(docs) | {2: "", 3: "c\nd\ne", 5: "", 7: "", 10: "r", 12: ""}
+    assert [got[d] for d, _ in docs] == brute.line_dedup(docs, 50)
     assert [r["text"] for r in line_dedup.line_dedup(frame(spark, docs), passage=None).orderBy("doc_id").collect()] == brute.line_dedup(docs)
 
 
+def test_line_dedup_of_whole_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    for passage in (None, 50):
+        assert [r["text"] for r in line_dedup.line_dedup(docs, passage=passage).orderBy("doc_id").collect()] == brute.line_dedup(texts, passage)
+
+
 def test_statistics(spark, odd):
     docs = odd + [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")

@@ -4,7 +4,7 @@ Every run of three consecutive lines of a text is hashed (128 bits) unless all t
 again, in any document or further down in the same one, is found by one aggregation that keeps its first place in the
 order (doc_id, hash of the text, line). All later places are covered, covered lines are merged per document and removed.
 So that no passage of whole lines is too short for a window, one or two lines are a window too if they have PASSAGE words or
-are all of a text. The registered query leaves these out, as its SQL has windows of three lines only.
+are all of a text.
 
 Defined results: null stays null; with passage=None a text of fewer than three lines stays whole; a text whose lines are
 all covered becomes empty; rows that repeat both id and text are one document and share their result; a null id comes
@@ -30,35 +30,34 @@ def lines_of(text: Column) -> Column:
 def windows(docs: DataFrame, span: int = SPAN, passage: int | None = PASSAGE) -> DataFrame:
     """(doc_id, _th, place, h1, h2): a row per window with a word; place is first line * span + lines - 1."""
 
-    def line(x: Column) -> Column:
-        words = [] if passage is None else [F.size(F.array_remove(F.split(x, r"[ \t\r\x0b\x0c]+"), "")).alias("words")]
-        return F.struct(F.xxhash64(x).alias("h"), F.length(F.trim(F.translate(x, "\t\r\x0b\x0c", "    "))).alias("n"), *words)
+    def words(x: Column) -> Column:
+        return x.rlike(r"[^ \t\r\x0b\x0c]").cast("int") if passage is None else F.size(F.array_remove(F.split(x, r"[ \t\r\x0b\x0c]+"), ""))
 
-    hashed = docs.select("doc_id", "_th", F.transform(lines_of(F.col("text")), line).alias("_l"))
-    item = lambda i, k: F.element_at("_l", (i + (k + 1)).cast("int"))
+    lined = docs.select("doc_id", "_th", lines_of(F.col("text")).alias("_l"))
+    hashed = lined.select("doc_id", "_th", F.size("_l").alias("_n"), F.transform("_l", lambda x: F.xxhash64(x)).alias("_h"), F.transform("_l", words).alias("_w"))
 
-    def runs(size: int) -> Column:
-        def window(i: Column) -> Column:
-            parts = [item(i, k) for k in range(size)]
-            hashes = [p["h"] for p in parts]
-            n = F.greatest(*[p["n"] for p in parts]) if size > 1 else parts[0]["n"]
-            return F.struct((i.cast("long") * span + (size - 1)).alias("place"), F.xxhash64(*hashes).alias("h1"), F.xxhash64(F.lit(size), *reversed(hashes)).alias("h2"), n.alias("n"))
+    def at(h: Column, i: Column) -> Column:
+        """Windows that begin with line i of hash h, null where there is none."""
+        hashes, found = [h], []
+        n = F.get("_w", i)
+        for size in range(1, span + 1):
+            if size > 1:
+                hashes, n = [*hashes, F.get("_h", i + (size - 1))], n + F.get("_w", i + (size - 1))
+            if size == span or passage is not None:
+                ends = (i + size <= F.col("_n")) & (n > 0)
+                if size < span:
+                    ends = ends & ((F.col("_n") == size) | (n >= passage))
+                found.append(F.when(ends, F.struct((i.cast("long") * span + (size - 1)).alias("place"), F.xxhash64(*hashes).alias("h1"), F.xxhash64(F.lit(size), *reversed(hashes)).alias("h2"))))
+        return F.array(*found) if len(found) > 1 else found[0]
 
-        starts = F.sequence(F.lit(0), F.size("_l") - size)
-        if size < span:
-            starts = F.filter(starts, lambda i: (F.size("_l") == size) | (sum((item(i, k)["words"] for k in range(size)), F.lit(0)) >= passage))
-        return F.when(F.size("_l") >= size, F.transform(starts, window))
-
-    if passage is None:
-        found = hashed.where(F.size("_l") >= span).select("doc_id", "_th", F.explode(runs(span)).alias("w"))
-    else:
-        found = hashed.select("doc_id", "_th", F.explode(F.flatten(F.filter(F.array(*[runs(k) for k in range(1, span + 1)]), lambda r: r.isNotNull()))).alias("w"))
-    return found.where("w.n > 0").select("doc_id", "_th", "w.place", "w.h1", "w.h2")
+    runs = F.transform("_h", at)
+    found = hashed.select("doc_id", "_th", F.explode(runs if passage is None else F.flatten(runs)).alias("w"))
+    return found.where("w IS NOT NULL").select("doc_id", "_th", "w.place", "w.h1", "w.h2")
 
 
 def later_places(docs: DataFrame, span: int = SPAN, passage: int | None = PASSAGE) -> DataFrame:
     """(doc_id, _th, starts): places of the windows that repeat an earlier one."""
-    found = windows(docs, span, passage)
+    found = C.written(windows(docs, span, passage))  # texts are cut into lines once
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "_th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = found.join(C.small_side(C.cut(first)), ["h1", "h2"]).where(~F.struct("doc_id", "_th", "place").eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "_th").agg(F.collect_set("place").alias("starts"))
@@ -83,17 +82,24 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"), passage=None)
+    return line_dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE = r"""
 WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+sized AS (SELECT doc_id, l, [len(regexp_extract_all(x, '[^ \t\r\x0B\f]+')) FOR x IN l] AS n FROM lined),
 win AS (
-  SELECT doc_id, pos, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] AS w
-  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS pos FROM lined WHERE len(l) >= 3)
+  SELECT doc_id, pos, 3 AS size, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] AS w
+  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS pos FROM sized WHERE len(l) >= 3)
+  UNION ALL
+  SELECT doc_id, pos, 2, l[pos + 1] || chr(10) || l[pos + 2]
+  FROM (SELECT doc_id, l, n, unnest(range(0, len(l) - 1)) AS pos FROM sized WHERE len(l) >= 2) WHERE len(l) = 2 OR n[pos + 1] + n[pos + 2] >= 50
+  UNION ALL
+  SELECT doc_id, pos, 1, l[pos + 1]
+  FROM (SELECT doc_id, l, n, unnest(range(0, len(l))) AS pos FROM sized) WHERE len(l) = 1 OR n[pos + 1] >= 50
 ),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM win WHERE regexp_matches(w, '[^ \t\r\n\x0B\f]')),
-covered AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS c FROM numbered WHERE k > 1 GROUP BY doc_id)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY size, w ORDER BY doc_id, pos) AS k FROM win WHERE regexp_matches(w, '[^ \t\r\n\x0B\f]')),
+covered AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + size)))) AS c FROM numbered WHERE k > 1 GROUP BY doc_id)
 SELECT d.doc_id,
   CASE WHEN c IS NULL THEN text ELSE coalesce(array_to_string([l[i + 1] FOR i IN range(0, len(l)) IF NOT list_contains(c, i)], chr(10)), '') END AS text,
   CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS n_lines, coalesce(len(c), 0) AS n_removed
