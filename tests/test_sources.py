@@ -65,6 +65,8 @@ def test_runner(spark, tmp_path):
     rule.ips = ["1.1.1.1", "1.1.1.3"]
     out = s.run_rule(rule)
     assert (out["added"], out["removed"], out["kept"]) == (1, 1, 1)
+    at, known = s.tags.get("1.1.1.1").at, len(s.tags.history)
+    assert s.run_rule(rule)["kept"] == 2 and s.tags.get("1.1.1.1").at == at and len(s.tags.history) == known  # nothing new, nothing written
     s.tag("1.1.1.3", "real")
     assert s.run_rule(rule)["skipped"] == 1 and s.tags.get("1.1.1.3").tag == "real"
     other = Fixed()

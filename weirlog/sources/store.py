@@ -8,6 +8,7 @@ import os
 import shutil
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +82,20 @@ class LogStore:
         """Runs a rule with its own tags as claims and applies the difference; tags of others stay."""
         now = self.tags.frame(self.spark)
         claimed = now.where(F.col("source") == rule.name)
-        found = rule_plans.difference(rule.run(self.rows(), claimed), now, rule.name).collect()  # addresses of one rule
-        count = dict.fromkeys(("added", "kept", "removed", "skipped"), 0)
-        for r in found:
-            count[r["action"]] += 1
+        before = now.select(F.col("ip").alias("_ip"), F.struct("tag", "reason").alias("_before"))
+        found = rule_plans.difference(rule.run(self.rows(), claimed), now, rule.name)
+        found = found.join(before, F.col("ip") == F.col("_ip"), "left").persist(StorageLevel.DISK_ONLY)
+        try:
+            count = dict.fromkeys(("added", "kept", "removed", "skipped"), 0) | {r["action"]: r["count"] for r in found.groupBy("action").count().collect()}
+            same = (F.col("action") == "kept") & F.col("_before").eqNullSafe(F.struct("tag", "reason"))
+            changes = found.where(~same & (F.col("action") != "skipped")).select("ip", "tag", "reason", "action").collect()  # what the document doesn't say yet
+        finally:
+            found.unpersist()
+        for r in changes:
             if r["action"] == "removed":
                 self.tags.put(r["ip"], "real")
                 self.tags.delete(r["ip"])
-            elif r["action"] == "added" or (r["action"] == "kept" and (t := self.tags.get(r["ip"])) and (t.tag, t.reason) != (r["tag"], r["reason"])):
+            else:
                 self.tags.put(r["ip"], r["tag"], rule.name, r["reason"])
         self.tags.save()
         return {"name": rule.name, **count}

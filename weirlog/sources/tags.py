@@ -61,7 +61,7 @@ class TagSet:
         os.replace(beside, self.path)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(ip, t.tag, t.source) for ip, t in self.tags.items()], "ip string, tag string, source string")
+        return spark.createDataFrame([(ip, t.tag, t.source, t.reason) for ip, t in self.tags.items()], "ip string, tag string, source string, reason string")
 
     def history_frame(self, spark: SparkSession) -> DataFrame | None:
         if not self.history:
