@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
 import collections
+import hashlib
 import re
+import zlib
 
 WS = r"[^\x20\x09-\x0D]+"
 
@@ -95,3 +97,33 @@ def tokens(word, pieces):
         ways += [(best[j][0] + pieces[text[j:i]], best[j][1] + 1) for j in range(i) if text[j:i] in pieces]
         best.append(max(ways, key=lambda x: (x[0], -x[1])))
     return best[-1][1]
+
+
+def rebuilt(rows):
+    """rows (conv, turn, role, text): the turns (role, text) of each rebuilt conversation by id."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        own[c].append((role or "", text or ""))
+    out = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (abs(c) % 20 if c >= 0 else -(abs(c) % 20))
+        out[c] = own.get(base, [])[:h] + own[c][h:]
+    return out
+
+
+def trie(convs):
+    """convs: turns (role, text) by id; the figures of each node of the trie of prefixes."""
+    members = collections.defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = collections.Counter(p[:-1] for p in members if p)
+    below = collections.defaultdict(lambda: [0, 0])
+    for p, m in members.items():
+        gain = (len(m) - 1) * len(re.findall(WS, p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            below[p[:d]][0] += not children[p]
+            below[p[:d]][1] += gain
+    ends = {p: ",".join(map(str, sorted(c for c in m if len(convs[c]) == len(p)))) for p, m in members.items()}
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], *below[p], hashlib.sha256(ends[p].encode()).hexdigest()) for p, m in members.items()]
