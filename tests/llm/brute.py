@@ -27,7 +27,7 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def components(docs, roots=False):
+def components(docs, roots=False, percent=80):
     """docs: (id, text); (n, least id) by position, or the number of components of texts with words."""
     sets = [shingles(t) for _, t in docs]
     root = list(range(len(docs)))
@@ -40,7 +40,7 @@ def components(docs, roots=False):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(docs):
@@ -127,3 +127,16 @@ def trie(convs):
             below[p[:d]][1] += gain
     ends = {p: ",".join(map(str, sorted(c for c in m if len(convs[c]) == len(p)))) for p, m in members.items()}
     return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], *below[p], hashlib.sha256(ends[p].encode()).hexdigest()) for p, m in members.items()]
+
+
+def super_minhash(elements, m, draws):
+    """One element after the other, each with a permutation of its own; draws(element, step): place to swap in, and rank."""
+    least = [None] * m
+    for e in elements:
+        order = list(range(m))
+        for step in range(m):
+            k, rank = draws(e, step)
+            order[step], order[k] = order[k], order[step]
+            if least[order[step]] is None or rank < least[order[step]]:
+                least[order[step]] = rank
+    return least

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirlog.llm import chat, decontaminate, html, jaccard, line_dedup, mixing, prefix_trie, quality_rules, sharding, token_counts, weak_labels
+from weirlog.llm import chat, decontaminate, html, jaccard, line_dedup, minhash, mixing, prefix_trie, quality_rules, sharding, token_counts, weak_labels
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_classifier": weak_labels.op10_quality_classifier,
+    "op11_minhash": minhash.op11_minhash,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
