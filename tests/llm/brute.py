@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
 import collections
+import functools
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -140,3 +142,47 @@ def super_minhash(elements, m, draws):
             if least[order[step]] is None or rank < least[order[step]]:
                 least[order[step]] = rank
     return least
+
+
+@functools.cache
+def tokenizers(a_file="/opt/tokenizers/byte_bpe_50k.json", b_file="/opt/tokenizers/piece_bpe_32k.model"):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(a_file), sentencepiece.SentencePieceProcessor(model_file=b_file)
+    a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    code = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in shown)}
+    return a, b, code
+
+
+def alignment(text):
+    """Tokens of A and B of a whole text, its links (a, b), and its groups as text; None without tokens."""
+    if not text:
+        return None
+    a, b, code = tokenizers()
+    ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+    bytes_a = [bytes(code[c] for c in a.id_to_token(i)) for i in ids_a]
+    pieces = map(b.id_to_piece, ids_b)
+    bytes_b = [bytes([int(p[1:-1], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+    if not b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode():
+        return None
+    ends = lambda xs: {e: i for i, e in enumerate(itertools.accumulate(map(len, xs)))}
+    ends_a, ends_b, links, groups, i, j = ends(bytes_a), ends(bytes_b), [], [], 0, 0
+    for e in sorted(ends_a.keys() & ends_b.keys()):
+        to_i, to_j = ends_a[e] + 1, ends_b[e] + 1
+        links.append((ids_a[to_i - 1], ids_b[to_j - 1]))
+        groups.append(",".join(map(str, ids_a[i:to_i])) + "|" + ",".join(map(str, ids_b[j:to_j])))
+        i, j = to_i, to_j
+    return len(ids_a), len(ids_b), links, ";".join(groups)
+
+
+def alignments(texts):
+    """Per text (n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), counts of pairs being those of all texts."""
+    found = [alignment(t) for t in texts]
+    counts = collections.Counter(x for f in found if f for x in f[2])
+    most = collections.defaultdict(int)
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    none = (0, 0, 0, 0, 0, 0, "")
+    return [none if f is None else (f[0], f[1], len(f[2]), len(f[2]), sum(counts[x] == most[x[1]] for x in f[2]), sum(counts[x] for x in f[2]), hashlib.sha256(f[3].encode()).hexdigest()) for f in found]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirlog.llm import chat, decontaminate, html, jaccard, line_dedup, minhash, mixing, prefix_trie, quality_rules, sharding, token_counts, weak_labels
+from weirlog.llm import alignment, chat, decontaminate, html, jaccard, line_dedup, minhash, mixing, prefix_trie, quality_rules, sharding, token_counts, weak_labels
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_classifier": weak_labels.op10_quality_classifier,
     "op11_minhash": minhash.op11_minhash,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
