@@ -6,8 +6,9 @@ passed over. Not shown: head, script, style, template and the like, closed dialo
 are hidden or styled display:none with all below them, and text whose nearest element that says so is visibility:hidden.
 Layout: white space collapses outside pre; blocks begin on a line of their own, and paragraphs, headings, lists, tables,
 quotes and pre have an empty line around them, as have two br in a row; list items have "- " or their number and indent what
-is below them; cells of a table stand in a grid (colspan, rowspan) and are padded to the width of their column, with two
-spaces between. A cell of more than WIDE characters doesn't widen its column, it moves the rest of its line.
+is below them, as dd does (lists may count backwards, by letters or roman numbers); buttons show their value; cells of a table stand in a grid (colspan, rowspan) and are padded to the width of their column, with two
+spaces between. Only if a table would become much larger by this (ROOM, TIMES) do cells of more than WIDE characters move the
+rest of their line instead of widening their column.
 
 Time and the text's size are in proportion to the page: tags are read forwards only, open elements are found by their depth,
 no function calls itself, and padding has limits (PADDED and so on). Defined results: null or empty html gives an empty text and
@@ -54,11 +55,14 @@ NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 PLAIN_TAG = re.compile(r"""((?:\s++[^\s"'<>/=]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+)\s*+/?>""")
 ATTR = re.compile(r"""[\s/]*+(?:(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
 #: Attributes that matter here.
-MATTERS = re.compile(r"hidden|style|span|start|value|type|open", re.I)
+MATTERS = re.compile(r"hidden|style|span|start|value|type|open|reversed", re.I)
 NUMBER = re.compile(r"\s*(-?\d{1,9})")
-#: Characters up to which a cell widens its column, a line is padded and lists indent; tables in tables that are aligned.
+COMMENT_END = re.compile("--!?>")
+#: Characters up to which a line is padded and lists indent; tables in tables that are aligned.
 #: (Deeper tables show their cells one below the other. Nothing is lost; without these a small page could make gigabytes.)
-WIDE, PADDED, INDENTED, DEEP = 200, 2000, 80, 32
+PADDED, INDENTED, DEEP = 2000, 80, 32
+#: An aligned table may take ROOM characters and TIMES those that it shows; in a larger one only cells of WIDE widen columns.
+ROOM, TIMES, WIDE = 16_384, 8, 200
 NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+""")
 #: Words of valid values, as a browser passes over a declaration of any other.
@@ -138,8 +142,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", page[begin:at], ""
         if not name:
             if page.startswith("<!--", at):
-                to = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else page.find("-->", at + 4) + 3
-                at = to if to > at else -1
+                found = COMMENT_END.search(page, at + 4)
+                at = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else found.end() if found else -1
             else:
                 at = page.find(">", at) + 1 or -1
             if at < 0:
@@ -298,6 +302,30 @@ def flat(lines: list) -> list[str]:
     return out
 
 
+def counter(node: Node) -> tuple[int, int, str]:
+    """First number, step and kind of the numbers of an ordered list."""
+    back = "reversed" in node.attrs
+    first = sum(not isinstance(k, str) and k.tag == "li" for k in node.kids) if back else 1
+    return node.number("start", first), -1 if back else 1, node.attrs.get("type", "1")
+
+
+def numeral(n: int, kind: str) -> str:
+    """A number as a list of that kind (a, A, i, I) shows it; numbers that have no letters or roman form stay decimal."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(ord(kind) + k) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split(), strict=True):
+            out += sign * (n // value)
+            n %= value
+        return out if kind == "i" else out.upper()
+    return str(n)
+
+
 def layout(node: Node, visible: bool, tables: dict[int, list], deep: bool = False) -> list:
     """Lines (and lists of lines) of what a node shows, tables in it being laid out already; kids are walked with a stack of their iterators."""
     flow, within_list = Flow(), ("ul", "ol")
@@ -313,6 +341,8 @@ def layout(node: Node, visible: bool, tables: dict[int, list], deep: bool = Fals
                 flow.flush(gap_of(here.tag))
             if here.tag == "li":
                 flow.marks, flow.indent = [], undo
+            elif here.tag == "dd":
+                flow.indent = undo
             elif here.tag in within_list:
                 counters.pop()
         elif isinstance(kid, str):
@@ -343,12 +373,20 @@ def layout(node: Node, visible: bool, tables: dict[int, list], deep: bool = Fals
             if kid.tag in BLOCK:
                 flow.flush(gap_of(kid.tag))
             if kid.tag in within_list:
-                counters.append(kid.number("start", 1) if kid.tag == "ol" else None)
+                counters.append(counter(kid) if kid.tag == "ol" else None)
+            elif kid.tag == "input":
+                if visible and kid.attrs.get("type", "").lower() in ("submit", "reset", "button"):
+                    flow.text.append(kid.attrs.get("value", ""))
+            elif kid.tag == "dd":
+                undo = flow.indent
+                flow.indent = (flow.indent + " " * 4)[:INDENTED]
             elif kid.tag == "li":
                 mark = "- "
                 if counters and counters[-1] is not None:
-                    number = kid.number("value", counters[-1])
-                    mark, counters[-1] = f"{number}. ", number + 1
+                    number, step, kind = counters[-1]
+                    number = kid.number("value", number)
+                    mark = f"{numeral(number, kid.attrs.get('type', kind))}. "
+                    counters[-1] = number + step, step, kind
                 undo = flow.indent
                 flow.marks.append(mark)
                 flow.indent = (flow.indent + " " * len(mark))[:INDENTED]
@@ -418,10 +456,16 @@ def table(node: Node, visible: bool, tables: dict[int, list], deep: bool) -> lis
     placed = grid([[(flat(lines), across, down) for lines, across, down in row] for row in rows])
     starts = sorted({a for row in placed for a, _, _ in row})  # columns in which no cell begins have no width
     width, wider = [0] * len(starts), []
+    height, shown = sum(max((len(lines) for _, _, lines in row), default=0) for row in placed), sum(len(x) - x.count(" ") for row in placed for _, _, lines in row for x in lines)
+    widest: dict[int, int] = {}
+    for row in placed:
+        for a, _, lines in row:
+            widest[a] = max(widest.get(a, 0), max(map(len, lines), default=0))
+    most = PADDED if height * sum(widest.values()) <= ROOM + TIMES * shown else WIDE
     for row in placed:
         for a, b, lines in row:
             first, last = bisect_left(starts, a), bisect_left(starts, b)
-            size = max((len(x) for x in lines if len(x) <= WIDE), default=0)
+            size = max((len(x) for x in lines if len(x) <= most), default=0)
             if last - first == 1:
                 width[first] = max(width[first], size)
             else:
