@@ -11,6 +11,7 @@ import brute
 import numpy as np
 import pytest
 from helpers import same
+from pyspark.sql import functions as F
 
 from weirlog.llm import boosting, chat, common, html, mixing, quality_rules, queries, sharding, weak_labels
 
@@ -184,6 +185,15 @@ def test_long_messages(spark):
     assert time.time() - began < 60
 
 
+def test_lines_of_many_marks(spark):
+    """Any number of marks, blanks and tabs before a line is one step for the expression."""
+    n = 100_000
+    texts = ["ok", ">" * n + "ok", "> " * n + "ok\nme", " " * n + "> ok", "\t" * n + ">ok\nx", ">" * n, " " * n, " " * n + "mine", "x" * n + ">"]
+    docs = spark.createDataFrame([(1, k, "u", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = [(r["linked"], r["text"]) for r in chat.format_chats(docs).orderBy("pos").collect()]
+    assert got == [(False, "ok"), (True, ""), (True, "me"), (True, ""), (True, "x"), (False, ""), (False, ""), (False, "mine"), (False, "x" * n + ">")]
+
+
 def test_pages(spark):
     cases = {
         "<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>": "a     bbb\ncccc  d", "<ul><li>x<li>y<ol start=3><li>p<li>q</ol></ul>z": "- x\n- y\n  3. p\n  4. q\n\nz",
@@ -349,6 +359,29 @@ def test_classifier(spark):
     assert weak_labels.classify(docs.limit(0), known)[0].count() == 0 and weak_labels.classify(docs.limit(30))[0].count() == 30
 
 
+def test_recall_by_language(spark):
+    """Half of the annotations are known, recall is that of the other half; its English lists don't know the other languages."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = F.xxhash64(F.lit("x"), "doc_id") % 2 == 0
+    out = weak_labels.classify(docs, labels.where(known))[0].select("doc_id", "kept").join(labels.where(~known), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    for r in out.groupBy("lang").agg(*[F.count_if(F.expr(x)).alias(n) for n, x in {"toxic": "toxic = 1", "found": "toxic = 1 and not kept", "poor": "quality = 0", "poor_found": "quality = 0 and not kept", "clean": "toxic = 0 and quality = 1", "lost": "toxic = 0 and quality = 1 and not kept"}.items()]).collect():
+        assert r["found"] >= (0.93 if r["lang"] == "en" else 0.8) * r["toxic"] and r["poor_found"] >= 0.93 * r["poor"] and r["lost"] <= 0.02 * r["clean"], r
+
+
+def test_scorer_of_another_language(spark):
+    """One English document among German ones neither takes the others from the scorer's sample nor changes what it finds."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id")
+    for rows in (docs.where("lang = 'de'"), docs.where("lang = 'de'").unionByName(docs.where("lang = 'en' and quality = 1").orderBy("doc_id").limit(1))):
+        rows = common.written(rows)
+        got = weak_labels.classify(rows)[0].join(rows.select("doc_id", "quality"), "doc_id").select("quality", "poor_score", "kept").collect()
+        found = [r["poor_score"] >= 0.5 for r in got if not r["quality"]]
+        assert np.mean(found) >= 0.75 and np.mean([r["poor_score"] >= 0.5 for r in got if r["quality"]]) < 0.05
+        assert np.mean([r["kept"] for r in got if not r["quality"]]) < 0.05
+
+
 def test_pipeline(spark):
     """Each stage against plain Python on the stage's own input; only the scores of the fitted trees are taken as given."""
     import corpus_pipeline

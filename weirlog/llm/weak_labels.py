@@ -7,8 +7,8 @@ labeller's accuracy on either class, as if labellers erred independently. What a
 where a labeller never votes one way, its abstention is that vote, as else its accuracy can't be told. Annotators, where
 there are any, are one more labeller that abstains from most documents, whose accuracy is given (0.99) rather than estimated.
 
-A document's posterior follows from its pattern. The posteriors of a bounded sample of all documents that have labels (SAMPLE of
-the least hashes) train a linear scorer over hashed words and word beginnings: features that differ significantly between
+A document's posterior follows from its pattern. The posteriors of a bounded sample (for each question, SAMPLE documents that
+some labeller answers it for, those of the least hashes) train a linear scorer over hashed words and word beginnings: features that differ significantly between
 the classes, then a logistic regression on them. Documents from which all labellers of a question abstain have no label and
 don't train it. The scorer then reads every whole text, also where no labeller knows the language; a document stays unless
 its posterior or its score says yes to a question.
@@ -31,13 +31,13 @@ from weirlog.llm import common as C
 from weirlog.llm.quality_rules import BASE, MORE, common_marks, text_statistics
 from weirlog.llm.words import WordHashes, lower_words
 
-SAMPLE, BITS, EM_STEPS = 20_000, 18, 200
+SAMPLE, BITS, EM_STEPS = 12_000, 18, 200
 #: Standard errors by which a feature's share must differ between the classes to be used, and features used at most.
 SIGNIFICANT, FEATURES = 4.0, 2048
 #: Steps and penalty (per document) of the logistic regression, and the most that a feature is scaled up.
 STEPS, PENALTY, SCALE = 300, 1e-3, 200.0
-#: Scores from which the scorer alone answers yes.
-SURE = {"poor": 0.9, "toxic": 0.25}
+#: Scores from which the scorer alone answers yes: set on held-out annotations, where lower ones find no more and flag more clean documents.
+SURE = {"poor": 0.9, "toxic": 0.15}
 #: Leading bytes of a word that make features besides the word.
 HEADS = (4, 5, 6, 8)
 
@@ -195,7 +195,7 @@ def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
     """Weights (questions, 2^BITS + 1), the last being the bias; sample(slots, values, and per question a posterior and whether it counts).
 
     A pass counts how often each feature is in either class, as the posteriors weigh documents. The features that differ
-    significantly, FEATURES at most, are what the documents are reduced to before SAMPLE rows of them come to the driver.
+    significantly, FEATURES at most, are what the documents are reduced to before 2 * SAMPLE rows of them come to the driver.
     """
     size = (1 << BITS) + 1
     counts = lambda q: F.col(f"{q}_said").cast("double")
@@ -228,7 +228,7 @@ def train(sample: DataFrame, questions: list[str]) -> np.ndarray:
             parts = [[x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)] for x in (at[keep], values[keep])]
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in parts], *[b.column(c) for c in [*shape][2:]]], [*shape])
 
-    known = sample.mapInArrow(reduced, ", ".join(f"`{c}` {t}" for c, t in shape.items())).toPandas()  # SAMPLE rows at most
+    known = sample.mapInArrow(reduced, ", ".join(f"`{c}` {t}" for c, t in shape.items())).toPandas()  # 2 * SAMPLE rows at most
     at, values = np.frombuffer(b"".join(known["slots"]), np.int32), np.frombuffer(b"".join(known["values"]), np.float32)
     rows = np.repeat(np.arange(len(known), dtype=np.int32), [len(x) // 4 for x in known["slots"]])
     known = known.drop(columns=["slots", "values"])
@@ -262,9 +262,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     seen = C.cut(seen.select("doc_id", "key", *QUESTIONS, *more))
 
     picked = seen.groupBy("key").agg(*[F.avg(q).alias(q) for q in QUESTIONS], *[F.max(m).alias(m) for m in more], F.min("doc_id").alias("_id"))
-    picked = picked.where(" and ".join(more)) if picked.where(" and ".join(more)).limit(1).count() else picked
-    picked = picked.orderBy(F.xxhash64("key")).limit(sample).select(F.col("key").alias("_key"), "_id", *QUESTIONS, *more)
-    picked = F.broadcast(C.cut(picked))  # sample rows at most
+    picked = C.cut(picked.where(" or ".join(more)))
+    first = lambda m: picked.where(m).orderBy(F.xxhash64("key")).limit(sample).select("key")
+    chosen = first(more[0]).union(first(more[1])).distinct()  # of each question those with the least hashes, as many as it may have
+    picked = picked.join(F.broadcast(chosen), "key").select(F.col("key").alias("_key"), "_id", *QUESTIONS, *more)
+    picked = F.broadcast(C.cut(picked))  # 2 * sample rows at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
