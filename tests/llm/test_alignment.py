@@ -1,6 +1,7 @@
 """Token groups of two tokenizers against whole texts encoded one by one."""
 
 import random
+from collections import Counter
 
 import brute
 import pytest
@@ -45,11 +46,11 @@ def test_segments_at_once(monkeypatch):
         tool = alignment.Aligner(a.read(), b.read())
     rows = texts(400, 2)
     for k in range(0, len(rows), 50):
-        for text, found in zip(rows[k : k + 50], tool.of(rows[k : k + 50]), strict=True):
+        for text, (_, found) in zip(rows[k : k + 50], tool.of(rows[k : k + 50]), strict=True):
             want = brute.alignment(text)
             got = found and (sum(x[0] for x in found), sum(x[1] for x in found), ";".join(x[4] for x in found))
             assert got == (want and (want[0], want[1], want[3]))
-        tool.forget()
+        tool.forget(Counter())
 
 
 def test_groups(spark):

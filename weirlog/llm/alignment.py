@@ -33,9 +33,9 @@ from weirlog.llm import common as C
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a tokenizer's file; pairs that are broadcast; characters of a segment that is held; bytes of what is held.
-FILE_BYTES, TOP, LONG, HELD = 16 << 20, 1 << 20, 200, 48 << 20
+FILE_BYTES, TOP, LONG, HELD = 16 << 20, 1 << 20, 200, 128 << 20
 #: Characters that the tokenizers get at once, where a text has places to cut it at.
-AT_ONCE = 16_384
+AT_ONCE = 8192
 
 CUT = re.compile(r"(?s)(?<=[!-~]) (?=.)")
 SPAN = re.compile(rb"[^\x03]*\x03")
@@ -82,24 +82,30 @@ class Aligner:
         text = " ".join(parts)
         whole = " " + text
         raw = whole.encode()
-        ids_a, ids_b = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(text)
+        ids_a, ids_b = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode(text)
         if b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw or b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw:
             return None
         label = np.zeros(len(raw), np.uint8)
         label[np.cumsum(self.a_length[ids_a]) - 1] = 1
         label[np.cumsum(self.b_length[ids_b]) - 1] += 2
+        spans = SPAN.findall(label.tobytes().translate(None, b"\0"))  # bytes behind which no token ends don't matter for the counts
+        at_a, at_b = (np.cumsum([1 if len(x) == 1 else x.count(k) + 1 for x in spans]) for k in (1, 2))
+        links = (np.array(ids_a, np.int64)[at_a - 1] * self.width + np.array(ids_b, np.int64)[at_b - 1]).astype(self.kind)
         text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
-        out, i, j, first, at = [], 0, 0, (0, 0), 0
-        groups, links, bounds = [], [], iter(np.cumsum([len(p.encode()) + 1 for p in parts]).tolist())
-        bound = next(bounds)
-        for span in SPAN.findall(label.tobytes()):
-            to_i, to_j = i + span.count(1) + 1, j + span.count(2) + 1
-            groups.append(f"{','.join(text_a[i:to_i])}|{','.join(text_b[j:to_j])}")
-            i, j, at = to_i, to_j, at + len(span)
-            links.append(ids_a[i - 1] * self.width + ids_b[j - 1])
-            if at == bound:
-                out.append((i - first[0], j - first[1], len(links), np.array(links, self.kind).tobytes(), ";".join(groups)))
-                groups, links, first, bound = [], [], (i, j), next(bounds, None)
+        groups, i, j = [], 0, 0
+        for to_i, to_j in zip(at_a.tolist(), at_b.tolist(), strict=True):
+            if to_i - i == to_j - j == 1:
+                groups.append(f"{text_a[i]}|{text_b[j]}")
+            else:
+                groups.append(f"{','.join(text_a[i:to_i])}|{','.join(text_b[j:to_j])}")
+            i, j = to_i, to_j
+        # A segment ends with a group.
+        ends = np.searchsorted(np.flatnonzero(label == 3) + 1, np.cumsum([len(p.encode()) + 1 for p in parts])) + 1
+        per = np.diff(np.stack([at_a[ends - 1], at_b[ends - 1], ends]), prepend=0).T.tolist()
+        out, first = [], 0
+        for (n_a, n_b, n), to in zip(per, ends.tolist(), strict=True):
+            out.append((n_a, n_b, n, links[first:to].tobytes(), ";".join(groups[first:to])))
+            first = to
         return out
 
     def learn(self, missing: list[str]) -> None:
@@ -112,7 +118,7 @@ class Aligner:
                 got = [x if x is None else x[0] for x in (self.found([s]) for s in now)]
             for s, x in zip(now, got, strict=True):
                 self.known[s] = x
-                self.held += 2 * len(s) + 300 + (len(x[3]) + len(x[4]) if x else 0)
+                self.held += self.weight((s, x))
             now.clear()
 
         for s in missing:
@@ -124,17 +130,28 @@ class Aligner:
         if now:
             done()
 
-    def of(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
-        """The segments of each text, None for texts without tokens. Holds the segments of all the texts meanwhile."""
+    def of(self, texts: list[str | None]) -> Iterator[tuple[list[str], list[tuple] | None]]:
+        """The segments of each text and what is known of them, None for texts without tokens. Holds the segments of all the texts meanwhile."""
         parts = [self.segments(t) if t else [] for t in texts]
-        self.learn([s for s in dict.fromkeys(s for p in parts for s in p) if s not in self.known and len(s) <= LONG])
+        self.learn([s for s in set().union(*parts) - self.known.keys() if len(s) <= LONG])
         for p in parts:
-            found = [self.known[s] if len(s) <= LONG else (self.found([s]) or [None])[0] for s in p]
-            yield None if not found or None in found else found
+            try:
+                found = list(map(self.known.__getitem__, p))
+            except KeyError:  # a long segment
+                found = [self.known[s] if len(s) <= LONG else (self.found([s]) or [None])[0] for s in p]
+            yield p, None if not found or None in found else found
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.held = 0
+    def forget(self, seen: Counter) -> None:
+        """Forgets what is held, but for segments that were seen often."""
+        self.known = {s: self.known[s] for s, n in seen.items() if n > 2 and s in self.known}
+        self.held = sum(map(self.weight, self.known.items()))
+        if self.held > HELD // 2:
+            self.known, self.held = {}, 0
+
+    @staticmethod
+    def weight(item: tuple[str, tuple | None]) -> int:
+        """Bytes that a segment is held in."""
+        return 2 * len(item[0]) + 300 + (len(item[1][3]) + len(item[1][4]) if item[1] else 0)
 
 
 def shared(spark: SparkSession, a_file: str, b_file: str):
@@ -157,12 +174,12 @@ def token_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", a_fil
         tool = Aligner(*files.value)
         for b in batches:
             for k in range(b.num_rows):
-                found, out = next(tool.of(b.column("_text").slice(k, 1).to_pylist())), None
+                (_, found), out = next(tool.of(b.column("_text").slice(k, 1).to_pylist())), None
                 if found:
                     sides = [[list(map(int, x.split(","))) for x in g.split("|")] for x in found for g in x[4].split(";")]
                     out = [{"bytes": int(tool.a_length[a].sum()), "a": a, "b": b} for a, b in sides]
                 if tool.held > HELD:
-                    tool.forget()
+                    tool.forget(Counter())
                 yield pa.RecordBatch.from_arrays([b.column(key).slice(k, 1), pa.array([out], pa.list_(group))], [key, "groups"])
 
     rows = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
@@ -202,22 +219,22 @@ def encoded(docs: DataFrame, files) -> DataFrame:
             ids, out = b.column("doc_id").type, []
             for k in range(0, b.num_rows, 64):
                 part = b.column("text").slice(k, 64).to_pylist()
-                for text, found in zip(part, tool.of(part), strict=True):
+                for parts, found in tool.of(part):
                     if found is None:
                         out.append((0, 0, 0, b"", ""))
                         continue
                     a, c, n, links, groups = zip(*found, strict=True)
                     links = b"".join(links)
                     out.append((sum(a), sum(c), sum(n), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
-                    parts = tool.segments(text)
                     if max(map(len, parts)) > LONG:
                         add(*np.unique(np.frombuffer(links, tool.kind), return_counts=True))
                     else:
                         seen.update(parts)
                 if tool.held > HELD or len(sums) > 256:
+                    often = Counter(seen) if tool.held > HELD else None
                     yield from told(False)
-                    if tool.held > HELD:
-                        tool.forget()
+                    if often is not None:
+                        tool.forget(often)
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types[2:7], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], names)
         if ids is not None:
