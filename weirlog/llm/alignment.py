@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,14 @@ from weirlog.llm import common as C
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a tokenizer's file; pairs that are broadcast; characters of a segment that is held; bytes of what is held.
 FILE_BYTES, TOP, LONG, HELD = 16 << 20, 1 << 20, 200, 128 << 20
+#: Bytes of links that are counted at once.
+LINKS = 4 << 20
 #: Characters that the tokenizers get at once, where a text has places to cut it at.
 AT_ONCE = 8192
 
+#: Bits of a count of a text's tokens.
+BITS = 31
+
 CUT = re.compile(r"(?s)(?<=[!-~]) (?=.)")
 SPAN = re.compile(rb"[^\x03]*\x03")
 
@@ -49,7 +53,11 @@ def byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers, and what is known of segments: (tokens of A, of B, groups, packed links, groups as text), None where B spells something else."""
+    """Both tokenizers, and what is known of segments: (counts, packed links, groups as text), None where B spells something else.
+
+    A segment is what is between two cuts; each with a space in front makes up the text with a space in front. Counts are of
+    tokens of A and, BITS bits above, of B.
+    """
 
     def __init__(self, a: bytes, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
@@ -70,13 +78,11 @@ class Aligner:
         self.a_length, self.b_length = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         self.width = len(pieces)
         self.kind = np.dtype(np.uint32 if len(self.a_bytes) * self.width <= 1 << 32 else np.uint64)
+        self.a_text, self.b_text = [f"{i}|" for i in range(len(self.a_bytes))], list(map(str, range(self.width)))
         self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
         self.held = 0
 
-    def segments(self, text: str) -> list[str]:
-        """What is between the cuts; each with a space in front makes up the text with a space in front."""
-        return CUT.split(text)
-
     def found(self, parts: list[str]) -> list[tuple | None] | None:
         """Of segments that all end in a visible ASCII character, but perhaps the last one; None if B spells something else."""
         text = " ".join(parts)
@@ -88,24 +94,26 @@ class Aligner:
         label = np.zeros(len(raw), np.uint8)
         label[np.cumsum(self.a_length[ids_a]) - 1] = 1
         label[np.cumsum(self.b_length[ids_b]) - 1] += 2
-        spans = SPAN.findall(label.tobytes().translate(None, b"\0"))  # bytes behind which no token ends don't matter for the counts
-        at_a, at_b = (np.cumsum([1 if len(x) == 1 else x.count(k) + 1 for x in spans]) for k in (1, 2))
+        said = label[label > 0]  # bytes behind which no token ends count for nothing
+        size = np.fromiter(map(len, SPAN.findall(said.tobytes())), np.int64)
+        at_a, at_b = (np.cumsum(np.add.reduceat(said != k, np.cumsum(size) - size, dtype=np.int64)) for k in (2, 1))
         links = (np.array(ids_a, np.int64)[at_a - 1] * self.width + np.array(ids_b, np.int64)[at_b - 1]).astype(self.kind)
-        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
+        text_a, text_b = list(map(self.a_text.__getitem__, ids_a)), list(map(self.b_text.__getitem__, ids_b))
         groups, i, j = [], 0, 0
         for to_i, to_j in zip(at_a.tolist(), at_b.tolist(), strict=True):
             if to_i - i == to_j - j == 1:
-                groups.append(f"{text_a[i]}|{text_b[j]}")
+                groups.append(text_a[i] + text_b[j])
             else:
-                groups.append(f"{','.join(text_a[i:to_i])}|{','.join(text_b[j:to_j])}")
+                groups.append(f"{','.join(text_a[i:to_i]).replace('|', '')}|{','.join(text_b[j:to_j])}")
             i, j = to_i, to_j
         # A segment ends with a group.
         ends = np.searchsorted(np.flatnonzero(label == 3) + 1, np.cumsum([len(p.encode()) + 1 for p in parts])) + 1
-        per = np.diff(np.stack([at_a[ends - 1], at_b[ends - 1], ends]), prepend=0).T.tolist()
+        counts = np.diff(at_a[ends - 1] + (at_b[ends - 1] << BITS), prepend=0).tolist()
         out, first = [], 0
-        for (n_a, n_b, n), to in zip(per, ends.tolist(), strict=True):
-            out.append((n_a, n_b, n, links[first:to].tobytes(), ";".join(groups[first:to])))
+        for n, to in zip(counts, ends.tolist(), strict=True):
+            out.append((n, links[first:to].tobytes(), ";".join(groups[first:to])))
             first = to
+        self.held += 300 * len(parts) + 2 * len(raw) + links.nbytes + 12 * len(groups)
         return out
 
     def learn(self, missing: list[str]) -> None:
@@ -116,12 +124,14 @@ class Aligner:
             got = self.found(now)
             if got is None:
                 got = [x if x is None else x[0] for x in (self.found([s]) for s in now)]
-            for s, x in zip(now, got, strict=True):
-                self.known[s] = x
-                self.held += self.weight((s, x))
+            self.known.update(zip(now, got, strict=True))
             now.clear()
 
         for s in missing:
+            if s in self.before:
+                self.known[s] = self.before[s]
+                self.held += 500
+                continue
             now.append(s)
             size += len(s)
             if size > AT_ONCE or not "!" <= s[-1:] <= "~":  # what doesn't end visibly can't have another one behind it
@@ -130,28 +140,23 @@ class Aligner:
         if now:
             done()
 
-    def of(self, texts: list[str | None]) -> Iterator[tuple[list[str], list[tuple] | None]]:
-        """The segments of each text and what is known of them, None for texts without tokens. Holds the segments of all the texts meanwhile."""
-        parts = [self.segments(t) if t else [] for t in texts]
+    def of(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, bytes, str] | None]:
+        """(tokens of A, of B, groups, packed links, groups as text) of each text, None for those without tokens."""
+        parts = [CUT.split(t) if t else [] for t in texts]
+        if self.held > HELD // 2:  # what is in use moves on, the rest is forgotten the next time
+            self.before, self.known, self.held = self.known, {}, 0
         self.learn([s for s in set().union(*parts) - self.known.keys() if len(s) <= LONG])
         for p in parts:
             try:
                 found = list(map(self.known.__getitem__, p))
             except KeyError:  # a long segment
                 found = [self.known[s] if len(s) <= LONG else (self.found([s]) or [None])[0] for s in p]
-            yield p, None if not found or None in found else found
-
-    def forget(self, seen: Counter) -> None:
-        """Forgets what is held, but for segments that were seen often."""
-        self.known = {s: self.known[s] for s, n in seen.items() if n > 2 and s in self.known}
-        self.held = sum(map(self.weight, self.known.items()))
-        if self.held > HELD // 2:
-            self.known, self.held = {}, 0
-
-    @staticmethod
-    def weight(item: tuple[str, tuple | None]) -> int:
-        """Bytes that a segment is held in."""
-        return 2 * len(item[0]) + 300 + (len(item[1][3]) + len(item[1][4]) if item[1] else 0)
+            if not found or None in found:
+                yield None
+                continue
+            n, links, groups = zip(*found, strict=True)
+            total, links = sum(n), b"".join(links)
+            yield total & (1 << BITS) - 1, total >> BITS, len(links) // self.kind.itemsize, links, ";".join(groups)
 
 
 def shared(spark: SparkSession, a_file: str, b_file: str):
@@ -174,12 +179,10 @@ def token_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", a_fil
         tool = Aligner(*files.value)
         for b in batches:
             for k in range(b.num_rows):
-                (_, found), out = next(tool.of(b.column("_text").slice(k, 1).to_pylist())), None
+                found, out = next(tool.of(b.column("_text").slice(k, 1).to_pylist())), None
                 if found:
-                    sides = [[list(map(int, x.split(","))) for x in g.split("|")] for x in found for g in x[4].split(";")]
+                    sides = [[list(map(int, x.split(","))) for x in g.split("|")] for g in found[4].split(";")]
                     out = [{"bytes": int(tool.a_length[a].sum()), "a": a, "b": b} for a, b in sides]
-                if tool.held > HELD:
-                    tool.forget(Counter())
                 yield pa.RecordBatch.from_arrays([b.column(key).slice(k, 1), pa.array([out], pa.list_(group))], [key, "groups"])
 
     rows = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
@@ -193,52 +196,41 @@ def encoded(docs: DataFrame, files) -> DataFrame:
     types = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, seen, sums, ids = Aligner(*files.value), Counter(), {}, None
-
-        def add(pairs: np.ndarray, counts: np.ndarray) -> None:
-            at, where = np.unique(pairs, return_inverse=True)
-            sums[len(sums)] = at, np.bincount(where, counts, len(at)).astype(np.int64)
-
-        def told(last: bool) -> Iterator[pa.RecordBatch]:
-            """Sums up what was counted by segment; passes sums on when they are many."""
-            if seen:
-                parts = [(np.frombuffer(tool.known[s][3], tool.kind), n) for s, n in seen.items()]
-                add(np.concatenate([p for p, _ in parts]), np.repeat([n for _, n in parts], [len(p) for p, _ in parts]))
-                seen.clear()
-            if len(sums) > 1:
-                old = list(sums.values())
-                sums.clear()
-                add(np.concatenate([p for p, _ in old]), np.concatenate([n for _, n in old]))
-            if sums and (last or len(next(iter(sums.values()))[0]) > TOP):
-                ((pairs, counts),) = sums.values()
-                sums.clear()
+        tool, ids, many, links, sums = Aligner(*files.value), None, 0, [], []
+
+        def add() -> None:
+            """Sums up the links at hand, and sums with each other when there are some."""
+            sums.append(np.unique(np.frombuffer(b"".join(links), tool.kind), return_counts=True))
+            links.clear()
+            if len(sums) > 16:
+                pairs, where = np.unique(np.concatenate([p for p, _ in sums]), return_inverse=True)
+                sums[:] = [(pairs, np.bincount(where, np.concatenate([n for _, n in sums]), len(pairs)).astype(np.int64))]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for pairs, counts in sums:
                 none = [pa.nulls(len(pairs), t or ids) for t in types[:-2]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(pairs.astype(np.int64)), pa.array(counts)], names)
+            sums.clear()
 
         for b in batches:
             ids, out = b.column("doc_id").type, []
             for k in range(0, b.num_rows, 64):
-                part = b.column("text").slice(k, 64).to_pylist()
-                for parts, found in tool.of(part):
+                for found in tool.of(b.column("text").slice(k, 64).to_pylist()):
                     if found is None:
                         out.append((0, 0, 0, b"", ""))
                         continue
-                    a, c, n, links, groups = zip(*found, strict=True)
-                    links = b"".join(links)
-                    out.append((sum(a), sum(c), sum(n), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
-                    if max(map(len, parts)) > LONG:
-                        add(*np.unique(np.frombuffer(links, tool.kind), return_counts=True))
-                    else:
-                        seen.update(parts)
-                if tool.held > HELD or len(sums) > 256:
-                    often = Counter(seen) if tool.held > HELD else None
-                    yield from told(False)
-                    if often is not None:
-                        tool.forget(often)
+                    out.append((*found[:4], hashlib.sha256(found[4].encode()).hexdigest()))
+                    links.append(found[3])
+                    many += len(found[3])
+                if many > LINKS:
+                    many = add() or 0
+                    if sum(len(p) for p, _ in sums) > 4 * TOP:
+                        yield from told()
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types[2:7], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], names)
-        if ids is not None:
-            yield from told(True)
+        if links:
+            add()
+        yield from told()
 
     return docs.mapInArrow(run, f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, links binary, groups_sha256 string, pair long, cnt long")
 
