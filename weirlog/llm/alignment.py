@@ -160,7 +160,7 @@ class Aligner:
 
 
 def shared(spark: SparkSession, a_file: str, b_file: str):
-    """The two files as a broadcast, FILE_BYTES each at most; a task makes the tokenizers of it."""
+    """The two files as a broadcast, FILE_BYTES each at most; a worker makes the tokenizers of it."""
     data = []
     for path in (a_file, b_file):
         if os.path.getsize(path) > FILE_BYTES:
@@ -170,13 +170,25 @@ def shared(spark: SparkSession, a_file: str, b_file: str):
     return spark.sparkContext.broadcast(tuple(data))
 
 
+def aligner(files) -> Aligner:
+    """The tokenizers of a broadcast; a worker keeps those of its last task and the segments that they know. As functions here
+    travel by value, they are kept in the library's module, which stays loaded."""
+    import sentencepiece
+
+    kept, key = sentencepiece.__dict__.setdefault("_kept_for_alignment", {}), tuple(map(hash, files.value))
+    if key not in kept:
+        kept.clear()
+        kept[key] = Aligner(*files.value)
+    return kept[key]
+
+
 def token_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
     """(key, groups) per row: an array of (bytes, a, b), the length of the span and the ids of either tokenizer; null without tokens."""
     files, kind = shared(docs.sparkSession, a_file, b_file), docs.schema[key].dataType.simpleString()
     group = pa.struct({"bytes": pa.int32(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Aligner(*files.value)
+        tool = aligner(files)
         for b in batches:
             for k in range(b.num_rows):
                 found, out = next(tool.of(b.column("_text").slice(k, 1).to_pylist())), None
@@ -196,7 +208,7 @@ def encoded(docs: DataFrame, files) -> DataFrame:
     types = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, ids, many, links, sums = Aligner(*files.value), None, 0, [], []
+        tool, ids, many, links, sums = aligner(files), None, 0, [], []
 
         def add() -> None:
             """Sums up the links at hand, and sums with each other when there are some."""
@@ -283,7 +295,7 @@ def looked_up(found: DataFrame, pairs: DataFrame, kind: np.dtype, top: int = TOP
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, top: int = TOP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per row of docs; and pair_counts() of all of them."""
     files = shared(docs.sparkSession, a_file, b_file)
-    tool = Aligner(*files.value)
+    tool = aligner(files)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = C.written(encoded(rows, files))
     pairs = pair_counts(found, tool.width)
