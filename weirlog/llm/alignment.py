@@ -74,6 +74,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece with a space behind another character")
+        if not set(letters) <= vocabulary.keys():
+            raise ValueError("a byte without a token")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_length, self.b_length = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         self.width = len(pieces)
@@ -89,23 +91,22 @@ class Aligner:
         whole = " " + text
         raw = whole.encode()
         ids_a, ids_b = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode(text)
-        if b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw or b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw:
+        ends_a, ends_b = np.cumsum(self.a_length[ids_a]), np.cumsum(self.b_length[ids_b])
+        if ends_a[-1] != len(raw) or b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw:  # A has a token for each byte
             return None
         label = np.zeros(len(raw), np.uint8)
-        label[np.cumsum(self.a_length[ids_a]) - 1] = 1
-        label[np.cumsum(self.b_length[ids_b]) - 1] += 2
+        label[ends_a - 1] = 1
+        label[ends_b - 1] += 2
         said = label[label > 0]  # bytes behind which no token ends count for nothing
         size = np.fromiter(map(len, SPAN.findall(said.tobytes())), np.int64)
-        at_a, at_b = (np.cumsum(np.add.reduceat(said != k, np.cumsum(size) - size, dtype=np.int64)) for k in (2, 1))
-        links = (np.array(ids_a, np.int64)[at_a - 1] * self.width + np.array(ids_b, np.int64)[at_b - 1]).astype(self.kind)
-        text_a, text_b = list(map(self.a_text.__getitem__, ids_a)), list(map(self.b_text.__getitem__, ids_b))
-        groups, i, j = [], 0, 0
-        for to_i, to_j in zip(at_a.tolist(), at_b.tolist(), strict=True):
-            if to_i - i == to_j - j == 1:
-                groups.append(text_a[i] + text_b[j])
-            else:
-                groups.append(f"{','.join(text_a[i:to_i]).replace('|', '')}|{','.join(text_b[j:to_j])}")
-            i, j = to_i, to_j
+        in_a, in_b = (np.add.reduceat(said != k, np.cumsum(size) - size, dtype=np.int64) for k in (2, 1))
+        at_a, at_b = np.cumsum(in_a), np.cumsum(in_b)
+        last_a, last_b = np.array(ids_a, np.int64)[at_a - 1], np.array(ids_b, np.int64)[at_b - 1]
+        links = (last_a * self.width + last_b).astype(self.kind)
+        groups = list(map(str.__add__, map(self.a_text.__getitem__, last_a.tolist()), map(self.b_text.__getitem__, last_b.tolist())))
+        several = np.flatnonzero(size > 1)  # all other groups are of a token each
+        for k, i, n, j, m in zip(several.tolist(), at_a[several].tolist(), in_a[several].tolist(), at_b[several].tolist(), in_b[several].tolist(), strict=True):
+            groups[k] = f"{','.join(map(str, ids_a[i - n : i]))}|{','.join(map(str, ids_b[j - m : j]))}"
         # A segment ends with a group.
         ends = np.searchsorted(np.flatnonzero(label == 3) + 1, np.cumsum([len(p.encode()) + 1 for p in parts])) + 1
         counts = np.diff(at_a[ends - 1] + (at_b[ends - 1] << BITS), prepend=0).tolist()
@@ -160,7 +161,7 @@ class Aligner:
 
 
 def shared(spark: SparkSession, a_file: str, b_file: str):
-    """The two files as a broadcast, FILE_BYTES each at most; a worker makes the tokenizers of it."""
+    """The two files as a broadcast, FILE_BYTES each at most; a task makes the tokenizers of it."""
     data = []
     for path in (a_file, b_file):
         if os.path.getsize(path) > FILE_BYTES:
@@ -170,25 +171,13 @@ def shared(spark: SparkSession, a_file: str, b_file: str):
     return spark.sparkContext.broadcast(tuple(data))
 
 
-def aligner(files) -> Aligner:
-    """The tokenizers of a broadcast; a worker keeps those of its last task and the segments that they know. As functions here
-    travel by value, they are kept in the library's module, which stays loaded."""
-    import sentencepiece
-
-    kept, key = sentencepiece.__dict__.setdefault("_kept_for_alignment", {}), tuple(map(hash, files.value))
-    if key not in kept:
-        kept.clear()
-        kept[key] = Aligner(*files.value)
-    return kept[key]
-
-
 def token_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
     """(key, groups) per row: an array of (bytes, a, b), the length of the span and the ids of either tokenizer; null without tokens."""
     files, kind = shared(docs.sparkSession, a_file, b_file), docs.schema[key].dataType.simpleString()
     group = pa.struct({"bytes": pa.int32(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(files)
+        tool = Aligner(*files.value)
         for b in batches:
             for k in range(b.num_rows):
                 found, out = next(tool.of(b.column("_text").slice(k, 1).to_pylist())), None
@@ -208,7 +197,7 @@ def encoded(docs: DataFrame, files) -> DataFrame:
     types = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, ids, many, links, sums = aligner(files), None, 0, [], []
+        tool, ids, many, links, sums = Aligner(*files.value), None, 0, [], []
 
         def add() -> None:
             """Sums up the links at hand, and sums with each other when there are some."""
@@ -295,7 +284,7 @@ def looked_up(found: DataFrame, pairs: DataFrame, kind: np.dtype, top: int = TOP
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, top: int = TOP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per row of docs; and pair_counts() of all of them."""
     files = shared(docs.sparkSession, a_file, b_file)
-    tool = aligner(files)
+    tool = Aligner(*files.value)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = C.written(encoded(rows, files))
     pairs = pair_counts(found, tool.width)
