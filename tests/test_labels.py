@@ -3,6 +3,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from weirlog.functions.agents import parsed
+from weirlog.plans.agent_sample import AGENTS
 from weirlog.functions import labels, lists
 
 
@@ -58,9 +60,15 @@ def test_lists(tmp_path):
 
 def test_device(spark):
     agents = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Version/17.0 Mobile/15E148 Safari/604.1", "Mozilla/5.0 (Linux; Android 13; SM-X700) Chrome/120.0 Safari/537.36", "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Firefox/121.0", "Googlebot/2.1", "", "thing"]
-    assert column(spark, agents, labels.device) == ["Mobile", "Tablet", "Desktop", "Bot", "", "Other"]
-    assert column(spark, agents, labels.browser)[:4] == ["Safari", "Chrome", "Firefox", "Googlebot"]
-    assert column(spark, agents, labels.system)[:3] == ["iOS", "Android", "Linux"]
+    found = column(spark, agents, parsed)
+    assert [f["device"] for f in found] == ["Mobile", "Tablet", "Desktop", "Bot", "", "Other"]
+    assert [f["browser"] for f in found[:4]] == ["Safari", "Chrome", "Firefox", "Googlebot"] and [f["os"] for f in found[:3]] == ["iOS", "Android", "Linux"]
+
+
+def test_agents_by_hand(spark):
+    found = column(spark, [a for a, *_ in AGENTS], parsed)
+    for (agent, *want), got in zip(AGENTS, found, strict=True):
+        assert list(got) == want, agent
 
 
 def test_small_functions(spark):

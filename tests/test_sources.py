@@ -8,7 +8,6 @@ from weirlog.model import Filter
 from weirlog.operators import filters
 from weirlog.plans import rules
 from weirlog.sources import json_log, store
-from weirlog.sources.tail import TailReader
 from weirlog.sources.tags import TagSet
 from weirlog.streaming import live
 
@@ -92,46 +91,6 @@ def test_tags(tmp_path):
     assert Filter.from_query("#view=x") == Filter()
 
 
-def test_tail_reader(tmp_path):
-    path = str(tmp_path / "t.log")
-    open(path, "w").write("one\ntwo\npart")
-    r = TailReader({"path": path})
-    start, end = r.initialOffset(), r.latestOffset()
-    read = lambda a, b: [x[0] for s in r.partitions(a, b) for x in r.read(s)]
-    assert read(start, end) == ["one", "two"]
-    open(path, "a").write("ial\nthree\n")
-    more = r.latestOffset()
-    assert read(end, more) == ["partial", "three"]
-    os.replace(path, path + ".1")
-    open(path, "w").write("new\n")
-    rotated = r.latestOffset()
-    assert read(more, rotated) == ["new"]
-    open(path, "w").write("x\n")
-    assert read(rotated, r.latestOffset()) == ["x"]
-    assert TailReader({"path": path, "fromstart": "false"}).initialOffset()["byte"] == 2
-
-
-def test_tail_restart(spark, tmp_path):
-    """Stopped and started again with a small step: each line once, also behind more than a step."""
-    path, out, cp = str(tmp_path / "r.log"), str(tmp_path / "out"), str(tmp_path / "cp")
-
-    def run(first, last):
-        with open(path, "a") as f:
-            f.write("".join(line(uri=f"/{i}") + "\n" for i in range(first, last)))
-        flagged = live.FlaggedSet(spark, str(tmp_path / "flagged"))
-        query = live.follow(live.tail(spark, path, from_start=True, max_bytes=700), out, flagged, cp)
-        query.processAllAvailable()
-        query.stop()
-
-    run(0, 20)
-    run(20, 45)
-    run(45, 45)
-    assert sorted(int(r["uri"][1:]) for r in spark.read.parquet(out).collect()) == list(range(45))
-    r = TailReader({"path": path, "maxbytes": "80"})
-    first = r.latestOffset()  # of a restart: no step, and never back
-    assert first["byte"] == os.path.getsize(path) and len(r.partitions({"inode": first["inode"], "byte": 0}, first)) == 45
-
-
 def test_equal_names_in_folders(spark, tmp_path):
     for d in ("b", "a"):
         (tmp_path / d).mkdir()
@@ -150,21 +109,6 @@ def test_remote_cache(spark, tmp_path, logs):
     assert len(store.clear(cache, everything=True)) == 1 and not store.clear(cache, everything=True)
 
 
-def test_follow(spark, tmp_path):
-    path, seen = str(tmp_path / "live.log"), []
-    open(path, "w").write(line(ip="5.5.5.5", uri="/x") + "\n" + line(ip="5.5.5.5", uri="/wp-login.php") + "\n" + line(ip="5.5.5.5", uri="/a.css") + "\n")
-    flagged = live.FlaggedSet(spark, str(tmp_path / "flagged"))
-    events = live.tail(spark, path, from_start=True)
-    query = live.follow(events, str(tmp_path / "out"), flagged, str(tmp_path / "cp"), lambda df: seen.extend(r["uri"] for r in df.collect()))
-    query.processAllAvailable()
-    open(path, "a").write(line(ip="5.5.5.5", uri="/later") + "\n" + line(ip="6.6.6.6", uri="/ok") + "\n")
-    query.processAllAvailable()
-    query.stop()
-    got = {r["uri"]: (r["pool"], r["malicious_reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"/x": ("dynamic", ""), "/wp-login.php": ("malicious", "attack_uri:wordpress"), "/a.css": ("malicious", "ip_flag:attack_uri:wordpress"), "/later": ("malicious", "ip_flag:attack_uri:wordpress"), "/ok": ("dynamic", "")}
-    assert sorted(seen) == ["/later", "/ok", "/wp-login.php", "/x"]
-
-
 def test_progress():
     out = []
     p = live.Progress(lambda *a: out.append(a), 1000)

@@ -120,27 +120,6 @@ def attack_reason(uri: Column, rules: lists.AttackRules | None = None) -> Column
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-#: Rules for user agents, the first that matches wins; compatible with common parsers, not identical to any.
-BROWSERS = [("Edge", r"Edg(e|A|iOS)?/"), ("Opera", r"OPR/|Opera"), ("Samsung Browser", r"SamsungBrowser/"), ("Firefox", r"Firefox/|FxiOS/"), ("Chrome", r"Chrome/|CriOS/"), ("Safari", r"Version/.*Safari/"), ("Internet Explorer", r"MSIE |Trident/"), ("Googlebot", r"Googlebot"), ("Bingbot", r"bingbot"), ("curl", r"^curl/")]
-SYSTEMS = [("Windows", r"Windows"), ("iOS", r"iPhone|iPad|iPod"), ("macOS", r"Mac OS X|Macintosh"), ("Android", r"Android"), ("ChromeOS", r"CrOS"), ("Linux", r"Linux|X11")]
-
-
-def browser(agent: Column) -> Column:
-    return F.coalesce(*[F.when(agent.rlike(p), n) for n, p in BROWSERS], F.lit(""))
-
-
-def system(agent: Column) -> Column:
-    return F.coalesce(*[F.when(agent.rlike(p), n) for n, p in SYSTEMS], F.lit(""))
-
-
-def device(agent: Column) -> Column:
-    tablet = agent.rlike(r"iPad|Tablet") | (agent.rlike("Android") & ~agent.rlike("Mobile"))
-    return (
-        F.when(agent == "", "").when(agent.rlike(r"iPhone|iPod|Mobile") & ~tablet, "Mobile").when(tablet, "Tablet")
-        .when(agent.rlike(r"Windows|Macintosh|X11|CrOS"), "Desktop").when(is_bot(agent), "Bot").otherwise("Other")
-    )
-
-
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 

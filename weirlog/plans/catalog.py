@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirlog.functions import labels, lists
+from weirlog.functions import agents, labels, lists
 from weirlog.model import DIMENSIONS, Filter, Kind, Query
 from weirlog.operators import aggregates, filters, pools
-from weirlog.plans import dashboard, rules, sample
+from weirlog.plans import agent_sample, dashboard, live_sample, rules, sample
 from weirlog.plans.execute import execute, pool_of
 from weirlog.sources import json_log
+from weirlog.sources.tags import TagSet
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -285,3 +286,68 @@ register("json_lines", _json_lines, (
     "SELECT event_id AS seq, event_id * 60 * 1000000000 + 250000000 AS ts, CAST(event_id % 600 AS INTEGER) AS status, 'GET' AS method, 'h' AS host, '/' || event_id AS uri, CASE WHEN event_id % 6 = 1 THEN '9.9.9.9' ELSE '10.1.1.' || event_id % 200 END AS ip, "
     "'agent' || event_id % 7 AS user_agent, 'r' AS referer, CAST(trunc(event_id / 8 * 1e9) AS BIGINT) AS duration_ns, CASE WHEN event_id % 6 = 5 THEN 0 ELSE event_id END AS size FROM events WHERE event_id % 6 NOT IN (2, 4)"
 ))
+
+# A store that has loaded lines and got more: its rows are those of one derivation. Times pass through doubles of seconds.
+_THROUGH = f"""SELECT {STORED.replace(" ts,", " CAST(floor(ts / 1e9) AS BIGINT) * 1000000000 + CAST(trunc((ts / 1e9 - floor(ts / 1e9)) * 1e9) AS BIGINT) AS ts,").replace("duration_ns", "CAST(trunc(duration_ns / 1e9 * 1e9) AS BIGINT) AS duration_ns")} FROM requests"""
+register("live_rows", lambda s, d: live_sample.store(s, d, "live").rows().select(*STORED.split(", ")), _THROUGH)
+register("compacted_rows", lambda s, d: live_sample.store(s, d, "compacted", compact=True).rows().select(*STORED.split(", ")), _THROUGH)
+
+
+def _live_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags on a store with deltas: every fifth address a bot, then every tenth malicious. Tags are the operator's, so a list."""
+    tags, digit = TagSet(), F.regexp_extract("ip", r"(\d+)$", 1).cast("int")
+    ips = sorted(tuple(r) for r in sample.events(spark, sf_dir).select("ip", digit.alias("d")).distinct().where("d % 5 = 0").collect())
+    for ip, _ in ips:
+        tags.put(ip, "bot")
+    for ip, d in ips:
+        if d % 10 == 0:
+            tags.put(ip, "malicious")
+    rows = live_sample.store(spark, sf_dir, "live", tags=tags).rows()
+    return rows.groupBy("ip", "pool", "malicious_reason", "is_bot", "is_local").agg(F.count("*").alias("n"))
+
+
+register(
+    "live_rows_tagged", _live_tagged, "SELECT ip, pool, malicious_reason, is_bot, is_local, count(*) AS n FROM requests GROUP BY ALL",
+    sample.requests_sql(f"SELECT DISTINCT ip, t.tag, t.n FROM raw, (VALUES (0, 'bot', 5), (1, 'malicious', 10)) AS t(n, tag, every) WHERE {_DIGIT} % t.every = 0"),
+)
+
+# What user agents are, written out by hand.
+
+
+def _parse_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(_pick([a for a, *_ in agent_sample.AGENTS]).alias("user_agent"))
+    return rows.groupBy("user_agent").agg(F.count("*").alias("n")).select("user_agent", "n", agents.parsed(F.col("user_agent")).alias("p")).select("user_agent", "n", "p.*")
+
+
+_AGENT_ROWS = ", ".join("(" + ", ".join(f"'{x}'" for x in (a, *of)) + ")" for a, *of in agent_sample.AGENTS)
+register("parse_agents", _parse_agents, (
+    f"WITH known(user_agent, browser, version, os, os_version, device) AS (VALUES {_AGENT_ROWS}), a AS (SELECT {_picked([a for a, *_ in agent_sample.AGENTS])} AS user_agent, count(*) AS n FROM events GROUP BY 1) "
+    "SELECT user_agent, n, browser, version, os, os_version, device FROM a JOIN known USING (user_agent)"
+))
+
+
+def _geo_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds, written in several ways, and networks of several lengths that lie in each other."""
+    from weirlog.sources.geo import ip_halves, locate
+
+    k = F.col("event_id")
+    a, b, shape = k % 16, F.floor(k / 16) % 8, F.floor(k / 128) % 5
+    ip = (
+        F.when(shape == 0, F.format_string("2001:db8:%x:%x::%x", a, b, k)).when(shape == 1, F.format_string("2001:0DB8:%04X:%04X:0:0:0:%X", a, b, k % 4096)).when(shape == 2, F.format_string("10.%d.%d.7", a, b))
+        .when(shape == 3, F.format_string("::ffff:10.%d.%d.9", a, b)).otherwise(F.format_string("fe80::%x%%eth0", k))
+    )
+    nets = [("2001:db8::", 32), ("::", 96), ("10.0.0.0", 104)] + [(f"2001:db8:{x:x}::", 48) for x in range(0, 16, 2)] + [(f"2001:db8:{x:x}:{y:x}::", 64) for x in range(16) for y in (1, 5)] + [(f"10.{x}.0.0", 112) for x in range(0, 16, 3)] + [(f"10.{x}.4.0", 120) for x in (0, 1)]
+    table = spark.createDataFrame(nets, "net string, bits int").select("net", "bits", ip_halves(F.col("net")).alias("h"))
+    table = table.select("h.hi", "h.lo", "bits", F.col("bits").cast("string").alias("country"), F.col("net").alias("city"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias("seq"), ip.alias("ip"))
+    return locate(rows, table).select("seq", "ip", "country", "city")
+
+
+register("geo_v6", _geo_v6, """
+    WITH e6 AS (SELECT event_id AS k, event_id % 16 AS a, event_id // 16 % 8 AS b, event_id // 128 % 5 AS shape FROM events)
+    SELECT k AS seq, CASE shape WHEN 0 THEN printf('2001:db8:%x:%x::%x', a, b, k) WHEN 1 THEN printf('2001:0DB8:%04X:%04X:0:0:0:%X', a, b, k % 4096) WHEN 2 THEN printf('10.%d.%d.7', a, b) WHEN 3 THEN printf('::ffff:10.%d.%d.9', a, b) ELSE printf('fe80::%x%%eth0', k) END AS ip,
+      CASE WHEN shape = 4 THEN '' WHEN shape < 2 THEN CASE WHEN b IN (1, 5) THEN '64' WHEN a % 2 = 0 THEN '48' ELSE '32' END
+        WHEN b = 4 AND a < 2 THEN '120' WHEN a % 3 = 0 THEN '112' ELSE '104' END AS country,
+      CASE WHEN shape = 4 THEN '' WHEN shape < 2 THEN CASE WHEN b IN (1, 5) THEN printf('2001:db8:%x:%x::', a, b) WHEN a % 2 = 0 THEN printf('2001:db8:%x::', a) ELSE '2001:db8::' END
+        WHEN b = 4 AND a < 2 THEN printf('10.%d.4.0', a) WHEN a % 3 = 0 THEN printf('10.%d.0.0', a) ELSE '10.0.0.0' END AS city
+    FROM e6""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirlog.model import DIMENSIONS, Filter, Kind, Query, column_of
@@ -77,11 +79,38 @@ def panels_in_one(found: DataFrame, pool: str, top: int = 10) -> DataFrame:
     return best.select("panel", "key", "hits", "visitors", "bytes", ms("_max").alias("max_ms"), ms("_avg").alias("avg_ms"))
 
 
-def dashboard(rows: DataFrame, pool: str = "dynamic", flt: Filter | None = None, top: int = 10, bucket: int = 0, now: int | None = None, workers: int = 8) -> dict:
-    """Overview, status classes, timeline and panels of a pool, each a job of its own; a failed one leaves its error only."""
+class Control:
+    """Interrupts single panels of a dashboard, or all that still run, as a newer request does with an older one."""
+
+    def __init__(self, spark: SparkSession):
+        self.sc, self.prefix, self.gone = spark.sparkContext, f"dashboard-{uuid.uuid4().hex}", {}
+
+    def tag(self, name: str) -> str:
+        return f"{self.prefix}-{name}"
+
+    def interrupt(self, name: str, why: str = "interrupted") -> None:
+        """Its jobs end; the others go on."""
+        self.gone.setdefault(name, why)
+        self.sc.cancelJobsWithTag(self.tag(name))
+
+    def interrupt_all(self, names: list[str]) -> None:
+        for n in names:
+            self.interrupt(n)
+
+
+def dashboard(
+    rows: DataFrame, pool: str = "dynamic", flt: Filter | None = None, top: int = 10, bucket: int = 0, now: int | None = None, workers: int = 8, deadline: float | None = None, control: Control | None = None,
+) -> dict:
+    """Overview, status classes, timeline and panels of a pool; a failed one leaves its error only.
+
+    Each has jobs of its own under a tag, in a scheduler pool of its own (which counts where spark.scheduler.mode is FAIR), so
+    a large panel doesn't keep the others waiting. One that takes longer than the deadline (seconds), or that the control
+    interrupts, is cancelled, and the others answer.
+    """
     began = time.time()
     flt = (flt or Filter()).with_defaults(pool)
     base = filters.apply(pool_of(rows, pool), flt).persist()
+    sc, control = base.sparkSession.sparkContext, control or Control(base.sparkSession)
     jobs = {"overview": lambda: aggregates.overview(base), "status_class": lambda: aggregates.status_classes(base), "timeline": lambda: aggregates.timeline(base, flt, bucket, now)}
     for p in PANELS[pool]:
         # A panel's own include widens the user's, so it is applied to the pool rather than to the filtered rows.
@@ -89,15 +118,27 @@ def dashboard(rows: DataFrame, pool: str = "dynamic", flt: Filter | None = None,
     out: dict = {"panels": {}, "errors": {}, "elapsed_ms": {}}
 
     def run(name: str) -> None:
-        at = time.time()
+        at, tag = time.time(), control.tag(name)
+        watch = threading.Timer(deadline, control.interrupt, (name, f"took more than {deadline} s")) if deadline is not None else None
+        sc.setLocalProperty("spark.scheduler.pool", f"panel-{name}")
+        sc.addJobTag(tag)
         try:
-            found = [r.asDict() for r in jobs[name]().collect()]  # a few hundred rows at most
+            if watch:
+                watch.start()
+            found = [] if name in control.gone else [r.asDict() for r in jobs[name]().collect()]  # a few hundred rows at most
+            if name in control.gone:
+                raise TimeoutError
             if name in ("overview", "status_class", "timeline"):
                 out[name] = found[0] if name == "overview" else found
             else:
                 out["panels"][name] = found
         except Exception as e:  # noqa: BLE001
-            out["errors"][name] = str(e)
+            out["errors"][name] = control.gone.get(name, str(e))
+        finally:
+            if watch:
+                watch.cancel()
+            sc.removeJobTag(tag)
+            sc.setLocalProperty("spark.scheduler.pool", None)
         out["elapsed_ms"][name] = round(1000 * (time.time() - at))
 
     try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -29,6 +30,11 @@ class Files:
         fs, p = self._of(path)
         return fs.exists(p)
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was changed."""
+        fs, p = self._of(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def remove(self, path: str) -> None:
         fs, p = self._of(path)
         fs.delete(p, True)
@@ -53,6 +59,32 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def read(self, path: str) -> str:
+        fs, p = self._of(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> bool:
+        """A new file as a whole, or False if there is one of that name: written beside it, and renamed where the file system allows
+        this only if nothing is there (at once on HDFS; object stores check first, then copy a file of a few kilobytes)."""
+        fs, p = self._of(path)
+        beside = f"{path}.{uuid.uuid4().hex}"
+        self.write(beside, text)
+        old, new = fs.makeQualified(self._of(beside)[1]), fs.makeQualified(p)
+        how = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        try:
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.conf)
+            context.rename(old, new, self.jvm.java.lang.reflect.Array.newInstance(how, 0))
+        except Exception as e:
+            fs.delete(old, False)
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
+        return True
+
     def facts(self, path: str) -> list[tuple[str, int, int]]:
         """Path, size and time of change of a file, or of the files of a folder."""
         fs, p = self._of(path)

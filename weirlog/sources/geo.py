@@ -1,8 +1,8 @@
-"""Addresses to places by ranges of numbers, without a nested-loop join."""
+"""Addresses to places, by ranges of numbers or by networks, without a nested-loop join. Distinct addresses are looked up once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Addresses of a join bucket: a range is listed once per bucket that it touches.
@@ -16,14 +16,68 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
 
 
-def locate(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Adds country and city from ranges(start, end, country, city), the narrowest that holds the address, '' without one.
+def ip_halves(ip: Column) -> Column:
+    """An address as (hi, lo), 64 bits each as signed longs, null for anything else. A dotted address and one mapped into
+    IPv6 (::ffff:1.2.3.4) are numbers below 2^32; an address with a zone is none."""
+    low = F.lower(ip)
+    dotted = F.regexp_extract(low, r"^(?:[0-9a-f:]*:)?(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    octets = F.transform(F.split(dotted, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
+    tail = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    fine = (dotted == "") | F.forall(octets, lambda x: x < 256)
+    hexed = F.concat(F.regexp_replace(low, r"\d{1,3}(\.\d{1,3}){3}$", ""), F.when(dotted == "", "").otherwise(F.format_string("%x:%x", F.shiftright(tail, 16), tail.bitwiseAND(65535))))
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    cut = F.instr(hexed, "::")
+    head, rest = groups(F.when(cut > 0, F.substring_index(hexed, "::", 1)).otherwise(hexed)), groups(F.when(cut > 0, F.substring_index(hexed, "::", -1)).otherwise(""))
+    missing = 8 - F.size(head) - F.size(rest)
+    full = F.when(cut > 0, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)).otherwise(head)
+    shape = hexed.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & fine & F.when(cut > 0, missing > 0).otherwise(missing == 0)
+    half = lambda i: F.aggregate(F.slice(full, i, 4), F.lit(0).cast("long"), lambda a, g: F.shiftleft(a, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
+    hi, lo = half(1), half(5)
+    mapped = (hi == 0) & (F.shiftrightunsigned(lo, 32) == 0xFFFF)
+    v6 = F.when(shape, F.struct(hi.alias("hi"), F.when(mapped, lo.bitwiseAND(0xFFFFFFFF)).otherwise(lo).alias("lo")))
+    v4 = F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & fine, F.struct(F.lit(0).cast("long").alias("hi"), tail.alias("lo")))
+    return F.when(ip.contains(":"), v6).otherwise(v4)
 
-    Distinct addresses are looked up once: an equi-join on the bucket, then the bounds. The rows get the result by address.
-    """
+
+def masked(hi: Column, lo: Column, bits: Column) -> tuple[Column, Column]:
+    """The first `bits` bits of an address, the others zero."""
+    ones = lambda n: F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - n).cast("int"))
+    first = lambda x, n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, x).otherwise(x.bitwiseAND(ones(n)))
+    return first(hi, bits), first(lo, bits - 64)
+
+
+def networks(spark: SparkSession, path: str) -> DataFrame:
+    """(hi, lo, bits, country, city) of a place database's file."""
+    from weirlog.sources.mmdb import MmdbSource
+
+    spark.dataSource.register(MmdbSource)
+    return spark.read.format("mmdb").option("path", path).load().select("hi", "lo", "bits", "country", "city")
+
+
+def locate(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds country and city, '' without one: of ranges(start, end, country, city) of dotted addresses the narrowest that
+    holds the address, of networks(hi, lo, bits, country, city) the one with the longest prefix."""
+    found = _by_prefix(rows, places) if "bits" in places.columns else _by_range(rows, places)
+    out = rows.join(found, F.col("ip") == F.col("_ip"), "left")
+    return out.withColumns({c: F.coalesce(F.col("_place")[c], F.lit("")) for c in ("country", "city")}).drop("_ip", "_place")
+
+
+def _by_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """An equi-join on the bucket, then the bounds."""
     spread = ranges.select("start", "end", "country", "city", F.explode(F.sequence(F.floor(F.col("start") / WIDTH), F.floor(F.col("end") / WIDTH))).alias("_bucket"))
     ips = rows.select("ip").distinct().withColumn("_n", ip_number(F.col("ip"))).where("_n is not null")
     found = ips.join(spread, (F.floor(F.col("_n") / WIDTH) == F.col("_bucket")) & F.col("_n").between(F.col("start"), F.col("end")))
-    found = found.groupBy(F.col("ip").alias("_ip")).agg(F.min_by(F.struct("country", "city"), F.struct(F.col("end") - F.col("start"), "start")).alias("_place"))
-    out = rows.join(found, F.col("ip") == F.col("_ip"), "left")
-    return out.withColumns({c: F.coalesce(F.col("_place")[c], F.lit("")) for c in ("country", "city")}).drop("_ip", "_place")
+    return found.groupBy(F.col("ip").alias("_ip")).agg(F.min_by(F.struct("country", "city"), F.struct(F.col("end") - F.col("start"), "start")).alias("_place"))
+
+
+def _by_prefix(rows: DataFrame, nets: DataFrame) -> DataFrame:
+    """An equi-join on (length, prefix): an address is looked up once for each prefix length that there is, 129 at most; no network is expanded."""
+    lengths = sorted(r["bits"] for r in nets.select("bits").distinct().collect())
+    ips = rows.select("ip").distinct().select("ip", ip_halves(F.col("ip")).alias("a")).where("a is not null").select("ip", "a.hi", "a.lo")
+    dotted = (F.col("hi") == 0) & (F.shiftrightunsigned("lo", 32) == 0)
+    of = lambda least: F.array(*[F.lit(n) for n in lengths if n >= least]).cast("array<int>")
+    asked = ips.withColumn("_bits", F.explode(F.when(dotted, of(96)).otherwise(of(0))))
+    hi, lo = masked(F.col("hi"), F.col("lo"), F.col("_bits"))
+    asked = asked.select(F.col("ip").alias("_ip"), "_bits", hi.alias("_hi"), lo.alias("_lo"))
+    found = asked.join(nets, (F.col("_bits") == F.col("bits")) & (F.col("_hi") == F.col("hi")) & (F.col("_lo") == F.col("lo")))
+    return found.groupBy("_ip").agg(F.max_by(F.struct("country", "city"), F.struct("bits", "country", "city")).alias("_place"))

@@ -50,6 +50,10 @@ class TagSet:
         """Of a source, or of all; the newest first."""
         return sorted(((ip, t) for ip, t in self.tags.items() if not source or t.source == source), key=lambda x: (-x[1].at, x[0]))
 
+    def addresses(self) -> list[str]:
+        """All that have been tagged, also those whose tag is gone."""
+        return sorted({ip for ip, _ in self.history})
+
     def save(self) -> None:
         if not self.path:
             return

@@ -1,80 +1,119 @@
-"""Live rows: tail a log, label each batch with the same expressions as a load, flag addresses, append, call back."""
+"""Live rows: follow logs, label lines as a load does, flag addresses as they come, append to the store, tell subscribers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from weirlog.operators import pools
 from weirlog.progress import Progress  # noqa: F401
 from weirlog.sources import json_log
+from weirlog.sources.files import Files
+from weirlog.sources.store import LogStore
 from weirlog.sources.tail import TailSource
+from weirlog.streaming.hub import Hub
 
 
-def tail(spark: SparkSession, path: str, from_start: bool = False, start_byte: int = 0, max_bytes: int = 64 << 20) -> DataFrame:
-    """Normalised events of lines as they are appended; seq is the byte a line begins at."""
-    spark.dataSource.register(TailSource)
-    lines = spark.readStream.format("tail").option("path", path).option("fromStart", str(from_start).lower()).option("startByte", start_byte).option("maxBytes", max_bytes).load()
-    parsed = lines.select(F.from_json("value", json_log.SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), F.col("byte").alias("seq"))
-    return json_log.normalize(parsed.select("r.*", "seq"))
-
-
-class FlaggedSet:
-    """Flagged addresses as a table in a shared folder: one version per batch, read back as the next batch's known ones.
-
-    A batch that runs again after a failure writes its own version again and reads the one before, so it changes nothing.
-    """
+def last_offset(spark: SparkSession, checkpoint: str) -> str:
+    """The last offset that a query with one source has planned to read up to, by its checkpoint; '' without one."""
+    files = Files(spark)
+    numbers = sorted(int(n) for n in files.names(f"{checkpoint}/offsets") if n.isdigit())
+    return files.read(f"{checkpoint}/offsets/{numbers[-1]}").split("\n")[2] if numbers else ""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
 
-    def known(self, batch: int) -> DataFrame:
-        schema = "ip string, reason string"
-        if batch == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{batch - 1}")
+def tail(spark: SparkSession, paths: list[str], checkpoint: str | None = None, from_start: bool = False, start_bytes: dict[str, int] | None = None, max_bytes: int = 64 << 20) -> DataFrame:
+    """Normalised events of lines as they are appended to files; seq orders lines as they came. With the query's
+    checkpoint a restart keeps to max_bytes from its first batch on."""
+    spark.dataSource.register(TailSource)
+    options = {"paths": json.dumps(paths), "fromStart": str(from_start).lower(), "startBytes": json.dumps(start_bytes or {}), "maxBytes": max_bytes, "resume": last_offset(spark, checkpoint) if checkpoint else ""}
+    lines = spark.readStream.format("tail").options(**options).load()
+    return json_log.parsed(lines.withColumnRenamed("arrival", "seq"), ["seq"])
 
-    def keep(self, found: DataFrame, batch: int) -> None:
-        found.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
 
+class Flags(StatefulProcessor):
+    """Flagged addresses as state by address: written once, when an address attacks; read for rows of their own address only.
 
-def route(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows of a batch with pool and reason, and the flagged addresses after it (ip, reason).
+    Addresses known before are flagged from their first row on, others from their first attack on. Rows that came before
+    that stay in their pool here; the store, which derives pools from all rows, moves them.
+    """
 
-    Addresses known before are flagged from their first row on; a new one from its first attack in the batch on. Rows that
-    came before that stay in their pool until the next load, as nothing is moved here.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.flag = handle.getValueState("flag", "reason string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        self.flag.update((str(initialState["reason"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known, first = (self.flag.get()[0], -1) if self.flag.exists() else (None, None)
+        parts: Iterator[pd.DataFrame] | list[pd.DataFrame] = rows
+        if known is None:
+            parts = list(rows)  # an address's rows of one batch, whose bytes are limited
+            hits = [x.loc[x["attack"].notna() & (x["is_local"] == 0), ["seq", "attack"]] for x in parts]
+            found = pd.concat(hits).sort_values("seq") if hits else None
+            if found is not None and len(found):
+                first, known = int(found["seq"].iloc[0]), str(found["attack"].iloc[0])
+                self.flag.update((known,))
+        for x in parts:
+            reason = pd.Series("", x.index, dtype=object)
+            if known is not None:
+                public = x["is_local"] == 0
+                reason[public & (x["seq"] == first)] = known
+                reason[public & (x["seq"] > first)] = f"ip_flag:{known}"
+            pool = reason.where(reason == "", "malicious").mask(reason == "", x["is_static"].map({1: "static", 0: "dynamic"}))
+            yield x.assign(malicious_reason=reason, pool=pool)
+
+    def close(self) -> None:
+        pass
+
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def flagged_live(labelled: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
+    """A stream of labelled rows with pool and malicious_reason as they are on arrival; flagged(ip, reason) are known from the start."""
+    labelled.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    schema = T.StructType([*labelled.schema.fields, T.StructField("malicious_reason", T.StringType()), T.StructField("pool", T.StringType())])
+    known = flagged.groupBy("ip") if flagged is not None else None
+    return labelled.groupBy("ip").transformWithStateInPandas(Flags(), schema, "Append", "None", known)
+
+
+def follow(
+    store: LogStore, paths: list[str], checkpoint: str, callback: Callable[[DataFrame], None] | None = None, hub: Hub | None = None, from_start: bool = False,
+    start_bytes: dict[str, int] | None = None, max_bytes: int = 64 << 20, compact_after: int = 0, once: bool = False,
+) -> StreamingQuery:
+    """Follows files: each batch is appended to the store, once however often Spark repeats it, and rows that aren't static
+    go to the callback and the hub, classified once for all. The flagged addresses of the store are known from the start.
+
+    compact_after: deltas after which the store is compacted, 0 for never. once: goes up to the end of the files and stops.
     """
-    hit = (F.col("is_local") == 0) & F.col("attack").isNotNull()
-    fresh = rows.where(hit).groupBy("ip").agg(F.min(F.struct("seq", "attack")).alias("first"))
-    old = known.select(F.col("ip").alias("_ip"), F.col("reason").alias("_reason"))
-    both = fresh.join(old, F.col("ip") == F.col("_ip"), "full_outer")
-    after = both.select(F.coalesce("ip", "_ip").alias("ip"), F.coalesce("_reason", "first.attack").alias("reason"))
-    at = both.select(F.coalesce("ip", "_ip").alias("_ip"), F.coalesce("_reason", "first.attack").alias("_reason"), F.when(F.col("_reason").isNull(), F.col("first.seq")).otherwise(F.lit(-1)).alias("_from"))
-    out = rows.join(at, F.col("ip") == F.col("_ip"), "left")
-    public = F.col("is_local") == 0
-    reason = F.when(public & (F.col("seq") == F.col("_from")), F.col("_reason")).when(public & (F.col("seq") > F.col("_from")), F.concat(F.lit("ip_flag:"), F.col("_reason"))).otherwise("")
-    out = out.withColumn("malicious_reason", reason)
-    out = out.withColumn("pool", F.when(F.col("malicious_reason") != "", "malicious").when(F.col("is_static") == 1, "static").otherwise("dynamic"))
-    return out.drop("_ip", "_reason", "_from"), after
-
-
-def follow(events: DataFrame, sink: str, flagged: FlaggedSet, checkpoint: str, callback: Callable[[DataFrame], None] | None = None, once: bool = False, **labels) -> StreamingQuery:
-    """Appends each batch to Parquet and hands rows that aren't static to the callback, classified once for both."""
+    spark, stream = store.spark, hashlib.sha256(checkpoint.encode()).hexdigest()[:24]
+    events = tail(spark, paths, checkpoint, from_start, start_bytes, max_bytes)
+    routed = flagged_live(pools.label(events, **store.labels), store.flags())
 
     def batch(rows: DataFrame, number: int) -> None:
-        labelled = pools.label(rows, **labels).persist()
+        rows = rows.persist()
         try:
-            routed, after = route(labelled, flagged.known(number))
-            flagged.keep(after, number)
-            # A batch has a folder of its own, so a batch that runs again replaces what it wrote.
-            routed.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            store.ingest(rows, stream, number)
+            shown = rows.where(F.col("is_static") == 0)
             if callback is not None:
-                callback(routed.where(F.col("is_static") == 0))
+                callback(shown)
+            if hub is not None:
+                hub.publish(shown)
         finally:
-            labelled.unpersist()
-
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+            rows.unpersist()
+        if compact_after and len(store.manifest.latest()[1]["delta"]) >= compact_after:
+            store.compact()
+
+    query = routed.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).start()
+    if once:
+        query.processAllAvailable()
+        query.stop()
+    return query
