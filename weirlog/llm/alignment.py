@@ -110,10 +110,8 @@ class Aligner:
         # A segment ends with a group.
         ends = np.searchsorted(np.flatnonzero(label == 3) + 1, np.cumsum([len(p.encode()) + 1 for p in parts])) + 1
         counts = np.diff(at_a[ends - 1] + (at_b[ends - 1] << BITS), prepend=0).tolist()
-        out, first = [], 0
-        for n, to in zip(counts, ends.tolist(), strict=True):
-            out.append((n, links[first:to].tobytes(), ";".join(groups[first:to])))
-            first = to
+        to, packed, size = ends.tolist(), links.tobytes(), self.kind.itemsize
+        out = [(n, packed[size * i : size * j], groups[i] if j == i + 1 else ";".join(groups[i:j])) for n, i, j in zip(counts, [0, *to[:-1]], to, strict=True)]
         self.held += 300 * len(parts) + 2 * len(raw) + links.nbytes + 12 * len(groups)
         return out
 
@@ -252,7 +250,7 @@ def looked_up(found: DataFrame, pairs: DataFrame, kind: np.dtype, top: int = TOP
             break
         taken, least = taken + n, cnt
     often = pairs.where(F.col("cnt") >= least).select("pair", "cnt", "best").orderBy("pair").toPandas()  # `top` rows at most
-    values = found.sparkSession.sparkContext.broadcast(tuple(often[c].to_numpy(t) for c, t in (("pair", np.int64), ("cnt", np.int64), ("best", np.int64))))
+    values = found.sparkSession.sparkContext.broadcast(tuple(often[c].to_numpy(t) for c, t in (("pair", kind), ("cnt", np.int64), ("best", np.int64))))
     same = ["row", "doc_id", "n_a", "n_b", "n_groups"]
     id_type = found.schema["doc_id"].dataType.simpleString()
 
@@ -261,7 +259,7 @@ def looked_up(found: DataFrame, pairs: DataFrame, kind: np.dtype, top: int = TOP
         for b in batches:
             out = []
             for x in b.column("links").to_pylist():
-                links = np.frombuffer(x, kind).astype(np.int64)
+                links = np.frombuffer(x, kind)
                 at = np.minimum(np.searchsorted(known, links), max(len(known) - 1, 0)) if len(known) else np.zeros(0, np.int64)
                 there = known[at] == links if len(known) else np.zeros(len(links), bool)
                 at = at[there] if len(known) else at
