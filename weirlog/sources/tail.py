@@ -3,12 +3,12 @@
 The offset says of each file which inodes it has been and the byte behind the last whole line of each that was read:
 {"files": {path: [[inode, byte], ...]}, "read": bytes so far}. A file that was replaced is read from its start, after what
 was left of the one before, which is found by its inode under the name it has now; a file that shrank is read from its start. Files
-that come to match a pattern later are read from their start. A batch takes maxBytes at most, shared so that no file takes
+that come to match a pattern later are read from their start; one that comes and is renamed between two looks is never seen. A batch takes maxBytes at most, shared so that no file takes
 more than its part while others have lines left; only a single line that is longer than that is taken as a whole. It is
 read in spans, each a task, so executors must see the files under the same paths.
 
-Spark doesn't tell a reader where it restarts; `resume`, the last offset of the query's checkpoint, does (see live.tail()). Without
-it the first batch after a restart goes up to the end of all files.
+Spark doesn't tell a reader where it restarts; `resume`, the last offset of the query's checkpoint, does (see live.tail()). A
+restart without it is an error, as the reader would fall back behind what the query has read.
 """
 
 from __future__ import annotations
@@ -87,21 +87,27 @@ class TailReader(DataSourceStreamReader):
         self.from_start = options.get("fromstart", "true").lower() == "true"
         self.starts, self.most = json.loads(options.get("startbytes", "{}")), int(options.get("maxbytes", str(64 << 20)))
         self.now: dict | None = json.loads(options["resume"]) if options.get("resume") else None
+        self.first: dict | None = None
 
     def _files(self) -> list[str]:
         return sorted({p for pattern in self.patterns for p in ([pattern] if os.path.exists(pattern) else glob.glob(pattern)) if os.path.isfile(p)})
 
     def initialOffset(self) -> dict:
+        """Where the query begins; Spark asks for it after the first latestOffset()."""
+        if self.first is None:
+            self.first = self._begin()
+        return self.first
+
+    def _begin(self) -> dict:
         files = {}
         for p in self._files():
             s = os.stat(p)
             files[p] = [[s.st_ino, min(self.starts.get(p, 0), s.st_size) if self.from_start else s.st_size]]
-        self.now = {"files": files, "read": 0}
-        return self.now
+        return {"files": files, "read": 0}
 
     def _seen(self) -> dict[str, list[list[int]]]:
         """The files as they are, each with the inodes that it has been and how far these have been read; an inode that is gone is left out."""
-        known = self.now["files"] if self.now else {}
+        known = self.now["files"]
         out = {}
         for p in sorted({*known, *self._files()}):
             had = [list(x) for x in known.get(p, [])]
@@ -118,19 +124,20 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def latestOffset(self) -> dict:
-        files, read = self._seen(), self.now["read"] if self.now else 0
-        most = self.most if self.now else 1 << 62
+        if self.now is None:
+            self.now = self.initialOffset()
+        files, read = self._seen(), self.now["read"]
         ends: list[tuple[list[int], str, int, bool]] = []  # of each inode: its state, its place, its size, whether another one follows
         for p, had in files.items():
             for k, x in enumerate(had):
                 if at := place_of(p, x[0]):
                     ends.append((x, at, os.path.getsize(at), k + 1 < len(had)))
-        parts = shares([size - x[1] for x, _, size, _ in ends], most)
+        parts = shares([size - x[1] for x, _, size, _ in ends], self.most)
         for (x, at, size, old), part in zip(ends, parts, strict=True):
             upto = x[1] + part
             to = upto if old and upto == size else whole_lines_end(at, x[1], upto) if part else x[1]  # nobody ends the last line of an old one
             read, x[1] = read + to - x[1], to
-        if self.now and read == self.now["read"]:
+        if read == self.now["read"]:
             for x, at, size, _ in ends:  # no line fits: one is taken as a whole
                 if to := first_line_end(at, x[1], size):
                     read, x[1] = read + to - x[1], to
@@ -139,6 +146,8 @@ class TailReader(DataSourceStreamReader):
         return self.now
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
+        if end["read"] < start["read"]:
+            raise ValueError("the query has read more than its source knows; restart it with `resume`")
         self.now = end
         spans, before = [], start["read"]
         for p, had in sorted(end["files"].items()):

@@ -101,6 +101,7 @@ def follow(
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         try:
+            rows.count()  # all of it once, as state counts only then, also where the store has the batch already
             store.ingest(rows, stream, number)
             shown = rows.where(F.col("is_static") == 0)
             if callback is not None:
