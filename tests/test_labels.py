@@ -39,8 +39,9 @@ def test_local(spark):
 
 def test_attacks(spark):
     cases = {
-        "/wp-login.php": "wordpress", "/wp-includes/images/smilies/about.php": "wordpress", "/rh.php": "script-extension", "/.env": "env-file", "/.env.production": "env-file", "/phpmyadmin/index.php": "phpmyadmin",
-        "/server-status": "server-info", "/actuator/env": "actuator", "/GponForm/diag_Form": "router", "/autodiscover/autodiscover.xml": "exchange", "/index.html": None, "/api/v1/users": None, "/style.css?v=1": None, "/favicon.ico": None, "": None,
+        "/blog/WP-Config.bak": "wordpress", "/x/.git/HEAD": "git-dir", "/a.jsp/b": "script-extension", "/shop.PHTML?x": "script-extension", "/app/.environment": "env-file", "/home/.aws/credentials": "aws-creds", "/q?u=/PMA/": "phpmyadmin",
+        "/goform/set?cmd=1": "router", "/mail/ews/exchange.asmx": "exchange", "/db.sql.gz": "backup", "/.npm_rc/config": "dotfile", "/static/%2E%2e%5Cx": None, "/static/%2e%2e%5cx": "traversal", "/downloads/list": None, "/downloader?x": "magento",
+        "/about-us": None, "/phpinfos": "server-info", "/team.php.html": None, "/img/logo.svg?v=3": None, "/": None,
     }
     assert column(spark, cases, labels.attack_reason) == [v and f"attack_uri:{v}" for v in cases.values()]
 
@@ -78,7 +79,11 @@ def test_small_functions(spark):
     assert at(labels.seconds_to_ns(F.lit(1776816000.25))) == 1776816000250000000
     assert [at(labels.human_duration(F.lit(float(s)))) for s in (72.5, 89, 90, 5400, 129600)] == ["72s", "89s", "2m", "2h", "2d"]
     assert labels.human_bytes(1536) == "1.5 KB" and labels.human_bytes(999, 1000) == "999 B"
-    globs = {"/dl/*.uf2": {"/dl/a.uf2": True, "/dl/a/b.uf2": True, "/dl/readme.txt": False}, "/p[a-c]?": {"/pax": True, "/pdx": False}}
+    globs = {"/get/*.iso": {"/get/x.iso": True, "/get/x/y.iso": True, "/get/x.iso.sum": False}, "/p[a-c]?": {"/pax": True, "/pdx": False}}
     for g, cases in globs.items():
         assert column(spark, cases, lambda c, g=g: c.rlike(labels.glob_regex(g))) == list(cases.values())
-    assert column(spark, ["/dl/a/b.uf2"], lambda c: c.rlike(labels.glob_regex("/dl/*.uf2", cross=False))) == [False]
+    assert column(spark, ["/get/x/y.iso"], lambda c: c.rlike(labels.glob_regex("/get/*.iso", cross=False))) == [False]
+
+
+def test_json_values(spark):
+    assert column(spark, ['["a","b\\"c"]', "[]", "{}", "nope", None, "[1,null]"], labels.json_values) == [["a", 'b"c'], [], [], [], [], ["1"]]

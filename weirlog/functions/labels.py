@@ -158,6 +158,12 @@ def like_pattern(value: str) -> str:
     return "%" + value.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
 
 
+def json_values(text: Column) -> Column:
+    """The strings of a JSON array, an array of no strings for null and for what isn't one; explode() makes rows of it."""
+    found = F.from_json(text, "array<string>")
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
 def seconds_to_ns(seconds: Column) -> Column:
     """Whole seconds and fraction apart, the fraction cut off below a nanosecond."""
     whole = seconds.cast("long")

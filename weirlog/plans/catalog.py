@@ -343,11 +343,21 @@ def _geo_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate(rows, table).select("seq", "ip", "country", "city")
 
 
-register("geo_v6", _geo_v6, """
-    WITH e6 AS (SELECT event_id AS k, event_id % 16 AS a, event_id // 16 % 8 AS b, event_id // 128 % 5 AS shape FROM events)
+register("geo_v6", _geo_v6, """WITH e6 AS (SELECT event_id AS k, event_id % 16 AS a, event_id // 16 % 8 AS b, event_id // 128 % 5 AS shape FROM events)
     SELECT k AS seq, CASE shape WHEN 0 THEN printf('2001:db8:%x:%x::%x', a, b, k) WHEN 1 THEN printf('2001:0DB8:%04X:%04X:0:0:0:%X', a, b, k % 4096) WHEN 2 THEN printf('10.%d.%d.7', a, b) WHEN 3 THEN printf('::ffff:10.%d.%d.9', a, b) ELSE printf('fe80::%x%%eth0', k) END AS ip,
       CASE WHEN shape = 4 THEN '' WHEN shape < 2 THEN CASE WHEN b IN (1, 5) THEN '64' WHEN a % 2 = 0 THEN '48' ELSE '32' END
         WHEN b = 4 AND a < 2 THEN '120' WHEN a % 3 = 0 THEN '112' ELSE '104' END AS country,
       CASE WHEN shape = 4 THEN '' WHEN shape < 2 THEN CASE WHEN b IN (1, 5) THEN printf('2001:db8:%x:%x::', a, b) WHEN a % 2 = 0 THEN printf('2001:db8:%x::', a) ELSE '2001:db8::' END
         WHEN b = 4 AND a < 2 THEN printf('10.%d.4.0', a) WHEN a % 3 = 0 THEN printf('10.%d.0.0', a) ELSE '10.0.0.0' END AS city
     FROM e6""")
+
+
+def _json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of addresses that JSON lists name, a list per host."""
+    rows = sample.requests(spark, sf_dir)
+    lists_ = rows.where(F.col("status") == 500).groupBy("host").agg(F.to_json(F.sort_array(F.collect_set("ip"))).alias("claimed"))
+    named = lists_.select("host", F.explode(labels.json_values(F.col("claimed"))).alias("ip"))
+    return rows.join(named, ["host", "ip"]).groupBy("host", "ip").agg(F.count("*").alias("n"))
+
+
+register("json_claims", _json_claims, "SELECT host, ip, count(*) AS n FROM requests WHERE (host, ip) IN (SELECT (host, ip) FROM requests WHERE status = 500) GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +18,40 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times and computes it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ip_halves(ip: Column) -> Column:
     """An address as (hi, lo), 64 bits each as signed longs, null for anything else. A dotted address and one mapped into
     IPv6 (::ffff:1.2.3.4) are numbers below 2^32; an address with a zone is none."""
-    low = F.lower(ip)
-    dotted = F.regexp_extract(low, r"^(?:[0-9a-f:]*:)?(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    octets = F.transform(F.split(dotted, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
-    tail = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    fine = (dotted == "") | F.forall(octets, lambda x: x < 256)
-    hexed = F.concat(F.regexp_replace(low, r"\d{1,3}(\.\d{1,3}){3}$", ""), F.when(dotted == "", "").otherwise(F.format_string("%x:%x", F.shiftright(tail, 16), tail.bitwiseAND(65535))))
-    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
-    cut = F.instr(hexed, "::")
-    head, rest = groups(F.when(cut > 0, F.substring_index(hexed, "::", 1)).otherwise(hexed)), groups(F.when(cut > 0, F.substring_index(hexed, "::", -1)).otherwise(""))
-    missing = 8 - F.size(head) - F.size(rest)
-    full = F.when(cut > 0, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)).otherwise(head)
-    shape = hexed.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & fine & F.when(cut > 0, missing > 0).otherwise(missing == 0)
-    half = lambda i: F.aggregate(F.slice(full, i, 4), F.lit(0).cast("long"), lambda a, g: F.shiftleft(a, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
-    hi, lo = half(1), half(5)
-    mapped = (hi == 0) & (F.shiftrightunsigned(lo, 32) == 0xFFFF)
-    v6 = F.when(shape, F.struct(hi.alias("hi"), F.when(mapped, lo.bitwiseAND(0xFFFFFFFF)).otherwise(lo).alias("lo")))
-    v4 = F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & fine, F.struct(F.lit(0).cast("long").alias("hi"), tail.alias("lo")))
+    pair = lambda hi, lo: F.struct(hi.alias("hi"), lo.alias("lo"))
+    zero, groups_of = F.lit(0).cast("long"), lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def numbered(x: Column) -> Column:
+        """Of (text, octets at its end): the octets as a number, null if one is too large."""
+        return F.when(F.forall(x["octets"], lambda o: o < 256), F.aggregate(x["octets"], zero, lambda a, o: a * 256 + o))
+
+    def halves(groups: Column) -> Column:
+        half = lambda i: F.aggregate(F.slice(groups, i, 4), zero, lambda a, g: F.shiftleft(a, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
+        mapped = lambda p: (p["hi"] == 0) & (F.shiftrightunsigned(p["lo"], 32) == 0xFFFF)
+        return F.when(F.size(groups) == 8, _let(pair(half(1), half(5)), lambda p: pair(p["hi"], F.when(mapped(p), p["lo"].bitwiseAND(0xFFFFFFFF)).otherwise(p["lo"]))))
+
+    def filled(text: Column) -> Column:
+        """Eight groups of digits; what "::" stands for is at least one of zero."""
+        parts = F.struct(groups_of(F.substring_index(text, "::", 1)).alias("head"), groups_of(F.substring_index(text, "::", -1)).alias("rest"))
+        spread = _let(parts, lambda p: F.concat(p["head"], F.array_repeat(F.lit("0"), F.greatest(8 - F.size(p["head"]) - F.size(p["rest"]), F.lit(1))), p["rest"]))
+        return F.when(text.contains("::"), spread).otherwise(groups_of(text))
+
+    shape = r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$"
+    octets = F.transform(F.split(F.regexp_extract(ip, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1), r"\."), lambda o: o.try_cast("int").cast("long"))
+    ends = F.struct(F.lower(ip).alias("text"), octets.alias("octets"))
+    as_groups = lambda n: F.format_string("%x:%x", F.shiftright(n, 16), n.bitwiseAND(65535))
+    mixed = _let(ends, lambda x: F.concat(F.regexp_replace(x["text"], r"\d{1,3}(\.\d{1,3}){3}$", ""), _let(numbered(x), as_groups)))
+    text = F.when(ip.contains("."), mixed).otherwise(F.lower(ip))
+    v6 = _let(text, lambda t: F.when(t.rlike(shape), _let(filled(t), halves)))
+    v4 = F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _let(_let(ends, numbered), lambda n: F.when(n.isNotNull(), pair(zero, n))))
     return F.when(ip.contains(":"), v6).otherwise(v4)
 
 
