@@ -184,3 +184,24 @@ def test_slow_subscriber(spark):
     hub.unsubscribe(quick)
     hub.publish(rows.limit(0))
     assert len(hub.subscribers) == 1
+
+
+def test_command_and_places(spark, tmp_path, capsys):
+    """The command line's follow, stopped and started again, after a load, with places from a database."""
+    from test_geo import database
+
+    from weirlog.__main__ import main
+
+    database(tmp_path / "p.mmdb", [(4 << 24, 104, ("Four", "Fourton")), (4 << 24 | 4 << 16, 112, ("Deep", "Deeptown"))])
+    log, cache = str(tmp_path / "a.log"), str(tmp_path / "c")
+    put(f"{log}.old", line(ip="4.9.9.9", uri="/old") + "\n")
+    say = ["follow", log, "--load", f"{log}.old", "--cache", cache, "--checkpoint", f"file://{tmp_path}/cp", "--geo", str(tmp_path / "p.mmdb"), "--once"]
+    put(log, line(ip="4.9.9.9", uri="/first") + "\n")
+    assert main(say) == 0
+    put(log, line(ip="4.4.1.1", uri="/second") + "\n" + line(ip="5.5.5.5", uri="/third") + "\n")
+    assert main(say) == 0
+    found = LogStore(spark, [], cache, name="followed").rows().orderBy("seq").collect()
+    assert [(r["uri"], r["country"], r["city"]) for r in found] == [("/old", "Four", "Fourton"), ("/first", "Four", "Fourton"), ("/second", "Deep", "Deeptown"), ("/third", "", "")]
+    told = capsys.readouterr().out
+    assert "/second" in told and told.count("/first") == 1
+    assert main(["clear-cache", "--cache", cache, "--all"]) == 0

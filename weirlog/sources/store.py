@@ -75,15 +75,16 @@ class LogStore:
     everything. compact() brings deltas into the base, writing the pools and days that change anew. A manifest says what
     counts (see manifest.py); a write that is killed changes nothing.
 
-    Without a cache the store lies in the shared folder until close().
+    In a cache it is found again by its name, or else by what its files are like; one that follows files as they grow needs a
+    name. Without a cache the store lies in the shared folder until close().
     """
 
-    def __init__(self, spark: SparkSession, patterns: list[str], cache: str | None = None, tags: TagSet | None = None, progress: Callable[[str, int, int], None] | None = None, **labels):
+    def __init__(self, spark: SparkSession, patterns: list[str], cache: str | None = None, tags: TagSet | None = None, progress: Callable[[str, int, int], None] | None = None, name: str | None = None, **labels):
         self.spark, self.tags, self.files, self.labels = spark, tags or TagSet(), Files(spark), labels
         self.paths = json_log.expand(patterns, spark)
         self.progress = Progress(progress) if progress else lambda *_: None
         self.passing = cache is None
-        self.root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}" if cache is None else f"{cache.rstrip('/')}/{cache_key(self.paths, spark)}"
+        self.root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}" if cache is None else f"{cache.rstrip('/')}/{name or cache_key(self.paths, spark)}"
         self.manifest = Manifest(self.files, self.root)
         self.from_cache = self.manifest.latest() is not None
         if not self.from_cache:

@@ -17,6 +17,7 @@ from weirlog.operators import pools
 from weirlog.progress import Progress  # noqa: F401
 from weirlog.sources import json_log
 from weirlog.sources.files import Files
+from weirlog.sources.geo import locate
 from weirlog.sources.store import LogStore
 from weirlog.sources.tail import TailSource
 from weirlog.streaming.hub import Hub
@@ -96,10 +97,11 @@ def follow(
     """
     spark, stream = store.spark, hashlib.sha256(checkpoint.encode()).hexdigest()[:24]
     events = tail(spark, paths, checkpoint, from_start, start_bytes, max_bytes)
-    routed = flagged_live(pools.label(events, **store.labels), store.flags())
+    labels, geo = {k: v for k, v in store.labels.items() if k != "geo"}, store.labels.get("geo")
+    routed = flagged_live(pools.label(events, **labels), store.flags())
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.persist()
+        rows = (rows if geo is None else locate(rows.drop("country", "city"), geo)).persist()  # places by batch, as addresses are looked up once each
         try:
             rows.count()  # all of it once, as state counts only then, also where the store has the batch already
             store.ingest(rows, stream, number)
