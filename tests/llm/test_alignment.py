@@ -1,5 +1,6 @@
 """Token groups of two tokenizers against whole texts encoded one by one."""
 
+import json
 import random
 
 import brute
@@ -37,13 +38,14 @@ def test_random_texts(spark, top):
     assert {(r["a"], r["b"]): r["cnt"] for r in pairs.collect()} == {x: links.count(x) for x in set(links)}
 
 
-def test_segments_at_once(monkeypatch):
-    """Cutting, joining and forgetting segments changes nothing."""
+@pytest.mark.parametrize("quick", [False, True])
+def test_segments_at_once(monkeypatch, quick):
+    """Cutting, joining and forgetting segments changes nothing, nor does the quick encoder of A's vocabulary."""
     monkeypatch.setattr(alignment, "LONG", 12)
     monkeypatch.setattr(alignment, "AT_ONCE", 30)
     monkeypatch.setattr(alignment, "HELD", 40_000)
     with open(alignment.A_FILE, "rb") as a, open(alignment.B_FILE, "rb") as b:
-        tool = alignment.Aligner(a.read(), b.read())
+        tool = alignment.Aligner(a.read(), b.read(), quick)
     rows = texts(400, 2)
     for k in range(0, len(rows), 50):
         for text, found in zip(rows[k : k + 50], tool.of(rows[k : k + 50]), strict=True):
@@ -51,6 +53,17 @@ def test_segments_at_once(monkeypatch):
             assert (found and (*found[:3], found[4])) == (want and (want[0], want[1], len(want[2]), want[3]))
 
 
+def test_when_the_quick_encoder_is_used():
+    """Not for a vocabulary whose ids aren't in the order of its merges, or that cuts words otherwise."""
+    with open(alignment.A_FILE, "rb") as f:
+        data = f.read()
+    assert alignment.quick_is_equal(data)
+    for spoil in (lambda x: x["model"]["merges"].reverse(), lambda x: x["model"]["merges"].pop(500), lambda x: x["pre_tokenizer"].update(add_prefix_space=True), lambda x: x["pre_tokenizer"].update(use_regex=False)):
+        other = json.loads(data)
+        spoil(other)
+        assert not alignment.quick_is_equal(json.dumps(other).encode())
+
+
 def test_groups(spark):
     """The spans make up the text, in order; ids are those of the tokenizers."""
     rows = [(i, t) for i, t in enumerate(texts(30, 3))]
