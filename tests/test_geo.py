@@ -170,3 +170,27 @@ def test_database(spark, tmp_path, record, version):
     with pytest.raises(ValueError):
         (tmp_path / "no").write_bytes(b"x" * 100)
         Database(str(tmp_path / "no"))
+
+
+def test_local_addresses(spark):
+    """IPv6 addresses near the bounds of local networks, mapped ones and wrong ones, against Python's networks."""
+    from weirlog.functions.labels import is_local
+
+    nets = [ipaddress.ip_network(n) for n in ("::1/128", "fc00::/7", "fe80::/10", "::/128")]
+    v4 = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8")]
+    cases = ["fbff::", "fc00::", "fdff:ffff::1", "fe00::", "fe7f:ffff::", "fe80::", "febf::9", "fec0::", "ff02::1", "::", "::1", "::2", "::10.0.0.1", "::ffff:0:0", "1::ffff:10.0.0.1", "fe80::1%eth0", "x:", ":", "::ffff:10.0.0.256", "0:0:0:0:0:0:0:1"]
+    cases += [f"::ffff:{n.network_address + d}" for n in v4 for d in (0, 1) if int(n.network_address) + d < 2**32] + [f"::FFFF:{n.broadcast_address + 1}" for n in v4] + ["10.1.2.3", "172.32.0.1", ""]
+
+    def local(text):
+        try:
+            x = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        if "%" in text:
+            return False
+        mapped = x if x.version == 4 else x.ipv4_mapped
+        return any(mapped in n for n in v4) if mapped else any(x in n for n in nets)
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, ip string")
+    got = {cases[r["i"]]: r["x"] for r in df.select("i", is_local(F.col("ip")).alias("x")).collect()}
+    assert got == {c: local(c) for c in cases}

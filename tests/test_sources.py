@@ -1,6 +1,8 @@
 import gzip
 import json
 import os
+import sqlite3
+from contextlib import closing
 
 import pytest
 
@@ -91,6 +93,20 @@ def test_tags(tmp_path):
     assert Filter.from_query("#view=x") == Filter()
 
 
+def test_tags_of_an_older_store(tmp_path):
+    old = str(tmp_path / "old store.db")
+    with closing(sqlite3.connect(old)) as db:
+        db.execute("CREATE TABLE manual_tags (ip TEXT, tag TEXT, at INTEGER)")
+        db.executemany("INSERT INTO manual_tags VALUES (?, ?, ?)", [("2.2.2.2", "real", 2 * 10**9), ("1.1.1.1", "bot", 10**9), ("3.3.3.3", "odd", 3)])
+        db.commit()
+    tags = TagSet(str(tmp_path / "t.json"))
+    assert tags.adopt(old) == 2 and tags.adopt(old) == 0 and tags.adopt(str(tmp_path / "none.db")) == 0
+    assert [(ip, t.tag, t.at, t.source) for ip, t in TagSet(str(tmp_path / "t.json")).newest()] == [("2.2.2.2", "real", 2.0, "manual"), ("1.1.1.1", "bot", 1.0, "manual")]
+    with closing(sqlite3.connect(str(tmp_path / "empty.db"))) as db:
+        db.execute("CREATE TABLE other (x)")
+    assert TagSet().adopt(str(tmp_path / "empty.db")) == 0
+
+
 def test_equal_names_in_folders(spark, tmp_path):
     for d in ("b", "a"):
         (tmp_path / d).mkdir()

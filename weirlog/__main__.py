@@ -21,6 +21,7 @@ def main(args: list[str] | None = None) -> int:
     report.add_argument("--out", default="-")
     report.add_argument("--cache")
     report.add_argument("--tags")
+    report.add_argument("--legacy-tags", help="an older store's database, whose tags are taken over where there are none yet")
     report.add_argument("--top", type=int, default=10)
     report.add_argument("--no-static", action="store_true")
     report.add_argument("--classify", action="store_true", help="run the rules before")
@@ -72,7 +73,10 @@ def main(args: list[str] | None = None) -> int:
         query = start(logs, got.logs, got.checkpoint, hub=hub, from_start=True, max_bytes=got.max_bytes, compact_after=got.compact_after, once=got.once)
         [s.drained() for s in hub.subscribers] if got.once else query.awaitTermination()
         return 0
-    logs = store.LogStore(spark, got.logs, got.cache, TagSet(got.tags), say, rules=rules, bots=bots, geo=places)
+    tags = TagSet(got.tags)
+    if got.legacy_tags:
+        tags.adopt(got.legacy_tags)
+    logs = store.LogStore(spark, got.logs, got.cache, tags, say, rules=rules, bots=bots, geo=places)
     if got.classify:
         chosen = default_rules()
         if got.probe_list:

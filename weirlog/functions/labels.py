@@ -1,17 +1,14 @@
-"""Labels of a request as Column expressions; only addresses with a colon take a small Python function."""
+"""Labels of a request as Column expressions."""
 
 from __future__ import annotations
 
-import ipaddress
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirlog.functions import lists
+from weirlog.functions import addresses, lists
 
 DAY_NS = 86_400_000_000_000
 
@@ -70,25 +67,6 @@ def is_bot(agent: Column, patterns: list[str] | None = None, generic: bool = Tru
     return (F.coalesce(agent, F.lit("")) == "") | found
 
 
-def _local_v6(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    nets = [ipaddress.ip_network(n) for n in ("::1/128", "fc00::/7", "fe80::/10", "::/128")]
-    v4 = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8")]
-
-    def local(text: str) -> bool:
-        try:
-            found = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        if "%" in text:  # an address with a zone is in no network
-            return False
-        if found.version == 6 and found.ipv4_mapped:
-            return any(found.ipv4_mapped in n for n in v4)
-        return any(found in n for n in nets)
-
-    for part in parts:
-        yield part.map(local)
-
-
 def is_local_v4(ip: Column) -> Column:
     """Dotted addresses of private, carrier, loopback, link-local and this-host networks."""
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -99,9 +77,9 @@ def is_local_v4(ip: Column) -> Column:
 
 
 def is_local(ip: Column, v6: bool = True) -> Column:
-    """v6=False leaves the Python function out where all addresses are dotted."""
+    """v6=False leaves the longer expression out where all addresses are dotted."""
     dotted = is_local_v4(ip)
-    return F.when(ip.contains(":"), F.pandas_udf(_local_v6, "boolean")(ip)).otherwise(dotted) if v6 else dotted
+    return F.when(ip.contains(":"), addresses.local_v6(ip)).otherwise(dotted) if v6 else dotted
 
 
 def attack_reason(uri: Column, rules: lists.AttackRules | None = None) -> Column:

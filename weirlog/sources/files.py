@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import tempfile
 import time
@@ -39,12 +40,6 @@ class Files:
         fs, p = self._of(path)
         fs.delete(p, True)
 
-    def rename(self, old: str, new: str) -> bool:
-        """False where the new path is there already."""
-        fs, p = self._of(old)
-        to = self._of(new)[1]
-        return not fs.exists(to) and fs.rename(p, to)
-
     def glob(self, pattern: str) -> list[str]:
         fs, p = self._of(pattern)
         return sorted(x.getPath().toString() for x in fs.globStatus(p) or [])
@@ -107,15 +102,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def once(spark: SparkSession, at: str, make: Callable[[], DataFrame], by: list[str], manifest: str = "{}") -> bool:
-    """Writes a table to at/rows unless it is there, and says whether it was. It is written beside its place and renamed,
-    so it is there as a whole, with its manifest, or not at all."""
+def once(spark: SparkSession, at: str, make: Callable[[], DataFrame], by: list[str]) -> str:
+    """Writes a table below a folder unless it has one, and returns where it is. A table counts once the folder's manifest
+    names it, which only the first writer can create; what another one has written goes again."""
     files = Files(spark)
-    if files.exists(f"{at}/manifest.json"):
-        return True
-    beside = f"{at}-{uuid.uuid4().hex}"
-    make().write.partitionBy(*by).parquet(f"{beside}/rows")
-    files.write(f"{beside}/manifest.json", manifest)
-    if not files.rename(beside, at):
-        files.remove(beside)  # another one was faster
-    return False
+    if not files.exists(f"{at}/manifest.json"):
+        mine = f"{at}/rows-{uuid.uuid4().hex}"
+        make().write.partitionBy(*by).parquet(mine)
+        if not files.create(f"{at}/manifest.json", json.dumps({"rows": mine})):
+            files.remove(mine)
+    return json.loads(files.read(f"{at}/manifest.json"))["rows"]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import sqlite3
 import tempfile
 import time
+from contextlib import closing
 from dataclasses import asdict, dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,20 @@ class TagSet:
                 self.tags[ip] = Tag(x["tag"], x.get("at", 0.0), x.get("source") or "manual", x.get("reason", ""))
             self.history = [tuple(h) for h in found.get("history", [])] if "tags" in found else [(ip, t.tag) for ip, t in self.tags.items()]
 
+    def adopt(self, database: str) -> int:
+        """Takes over the table manual_tags(ip, tag, at) of an older store's SQLite file, its times in nanoseconds, where this document
+        has no tags yet; returns how many. What isn't a tag is passed over, a file or table that isn't there has none."""
+        if self.tags or not os.path.exists(database):
+            return 0
+        with closing(sqlite3.connect(f"file:{quote(os.path.abspath(database))}?mode=ro", uri=True)) as old:
+            there = old.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = 'manual_tags'").fetchone()
+            found = old.execute("SELECT ip, tag, at FROM manual_tags ORDER BY at, ip").fetchall() if there else []  # a row per tag that somebody set by hand
+        for ip, tag, at in found:
+            if tag in TAGS:
+                self.put(ip, tag, at=(at or 0) / 1e9)
+        self.save()
+        return len(self.tags)
+
     def put(self, ip: str, tag: str, source: str = "manual", reason: str = "", at: float | None = None) -> None:
         if tag not in TAGS:
             raise ValueError(f"unknown tag {tag!r}")
