@@ -155,6 +155,22 @@ def test_tags_keep_the_filters(spark, tmp_path):
     assert facts(store.rows()) == facts(expected)
 
 
+def test_deltas_shuffle_nothing(spark, tmp_path):
+    """Verdicts are written once, and a few are broadcast: neither summaries nor the base's rows are shuffled by a query; filters on days reach all scans."""
+    events = history(7)
+    store = started(spark, tmp_path, events[:120])
+    store.ingest(batch(spark, events[120:]))
+    found = store.rows().where("pool = 'malicious' and day >= '2026-04-23'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "first#" not in plan
+    assert sum("PartitionFilters: [isnotnull(day" in x or "PartitionFilters: [isnotnull(pool" in x for x in scans(found)) == 2, scans(found)  # the base's rows, as they lie and judged again
+    assert found.count() == want_count(spark, events)
+
+
+def want_count(spark, events):
+    return pools.assign(pools.label(batch(spark, events), v6=False)).where("pool = 'malicious' and ts >= 1776902400000000000").count()
+
+
 def test_load_parses_once(spark, tmp_path):
     """Lines are read and parsed by one scan; what follows reads columns of the table that this makes."""
     (tmp_path / "x.log").write_text("".join(line(uri=f"/{i}") + "\n" for i in range(50)))

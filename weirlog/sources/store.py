@@ -53,12 +53,15 @@ def clear(root: str, paths: list[str] | None = None, everything: bool = False) -
 RUNS, KEPT = 8, 2
 #: Seconds that a table nobody names stays at least.
 OLD = 86_400.0
+#: Verdicts up to which they are broadcast.
+BROADCAST = 500_000
 #: Tags up to which the tagged addresses are listed in the scan's filter.
 LISTED = 1000
 _ROW = (
     "seq long, ts long, status int, method string, host string, uri string, ip string, proto string, user_agent string, referer string, duration_ns long, size long, bytes_read long, status_class string, "
     "browser string, os string, device string, is_bot int, is_local int, is_static int, attack string, visitor_hash long, country string, city string, malicious_reason string, v string, pool string, day date"
 )
+_NEWS = "ip string, first_seq long, uri_reason string, reason string, changed boolean"
 _SUMMARY = "ip string, first struct<seq: long, attack: string>, hits long, errors long, n long"
 
 
@@ -94,7 +97,7 @@ class LogStore:
     def _load(self, raw: DataFrame | None) -> None:
         """Lines are parsed and labelled once and written; summary, numbers and pools come from reading that table's columns."""
         version, staged = uuid.uuid4().hex, f"{self.root}/staged-{uuid.uuid4().hex}"
-        empty = {"paths": self.paths, "complete": True, "next": 0, "rows": {}, "addresses": [], "delta": [], "streams": {}}
+        empty = {"paths": self.paths, "complete": True, "next": 0, "rows": {}, "addresses": [], "delta": [], "news": None, "streams": {}}
         if raw is None:
             self.manifest.begin(empty)
             return
@@ -130,18 +133,31 @@ class LogStore:
         return self.spark.read.schema(_ROW).option("basePath", f"{self.root}/rows").parquet(*folders).drop("v")
 
     def _news(self, now: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Deltas' rows with seq, verdicts on their addresses, and the verdicts (some null) on addresses of the base that have changed."""
+        """Deltas' rows with seq, verdicts on their addresses, and the verdicts (some null) on addresses of the base that have changed.
+
+        Few verdicts are broadcast, so rows of the base aren't shuffled for them.
+        """
         shift = F.element_at(F.create_map(*[x for d in now["delta"] for x in (F.lit(d["id"]), F.lit(d["shift"]).cast("long"))]), F.col("id"))
         folders = [f"{self.root}/delta/id={d['id']}" for d in now["delta"]]
         schema = _ROW.replace("malicious_reason string, v string, pool string, day date", "day date, id string")
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/delta").parquet(*folders).withColumn("seq", F.col("seq") + shift).drop("id")
+        table = self.spark.read.schema(_NEWS).parquet(f"{self.root}/verdicts/{now['news']['id']}")
+        side = F.broadcast if now["news"]["rows"] <= BROADCAST else lambda df: df
+        return rows, side(table.where("reason is not null").drop("changed")), side(table.where("changed").drop("changed"))
+
+    def _verdicts(self, now: dict) -> dict:
+        """Writes the verdicts on the deltas' addresses once for all queries: those flagged, and those whose verdict in the base has changed."""
         fresh = self._summary([d["summary"] for d in now["delta"]])
         known = self._summary(now["addresses"]).join(fresh.select(F.col("ip").alias("_ip")), F.col("ip") == F.col("_ip"), "left_semi")
         found = pools.verdicts(pools.merged(known.unionByName(fresh)))
-        was = pools.verdicts(known).select(F.col("ip").alias("_ip"), F.struct("first_seq", "uri_reason", "reason").alias("_was"))
-        known = known.select(F.col("ip").alias("_known")).join(found, F.col("_known") == F.col("ip"), "left").join(was, F.col("_known") == F.col("_ip"), "left")
-        same = F.coalesce(F.col("reason").eqNullSafe(F.col("_was.reason")) & F.col("first_seq").eqNullSafe(F.col("_was.first_seq")), F.lit(False))
-        return rows, found, known.where(~same).select(F.col("_known").alias("ip"), "first_seq", "uri_reason", "reason")
+        was = pools.verdicts(known).select("ip", F.struct("first_seq", "uri_reason", "reason").alias("_was"))
+        there = known.select("ip", F.lit(True).alias("_there"))
+        both = there.join(was, "ip", "left").join(found, "ip", "full_outer")
+        same = F.coalesce(F.struct("first_seq", "uri_reason", "reason").eqNullSafe(F.col("_was")), F.lit(False)) | (F.col("reason").isNull() & F.col("_was").isNull())
+        news = both.select("ip", "first_seq", "uri_reason", "reason", (F.coalesce("_there", F.lit(False)) & ~same).alias("changed")).where("reason is not null or changed")
+        name = uuid.uuid4().hex
+        news.write.parquet(f"{self.root}/verdicts/{name}")
+        return {"id": name, "rows": self.spark.read.schema(_NEWS).parquet(f"{self.root}/verdicts/{name}").count()}
 
     def _untagged(self, now: dict) -> DataFrame:
         base = self._base(now)
@@ -194,8 +210,8 @@ class LogStore:
             if shift not in made:  # once, unless another writer comes between
                 made[shift] = uuid.uuid4().hex
                 pools.summary(rows.withColumn("seq", F.col("seq") + shift)).write.parquet(f"{self.root}/addresses/{made[shift]}")
-            delta = [*now["delta"], {"id": name, "shift": shift, "summary": made[shift]}]
-            return now | {"delta": delta, "next": last + shift + 1, "streams": now["streams"] | ({stream: batch} if stream else {})}
+            now = now | {"delta": [*now["delta"], {"id": name, "shift": shift, "summary": made[shift]}]}
+            return now | {"news": self._verdicts(now), "next": last + shift + 1, "streams": now["streams"] | ({stream: batch} if stream else {})}
 
         return self.manifest.change(counted) is not None
 
@@ -225,7 +241,8 @@ class LogStore:
             """Deltas that came meanwhile stay; after another compaction this one is void."""
             if now["rows"] != began["rows"] or now["addresses"] != began["addresses"]:
                 return None
-            return now | {"rows": parts, "addresses": runs, "delta": [d for d in now["delta"] if d["id"] not in taken]}
+            now = now | {"rows": parts, "addresses": runs, "delta": [d for d in now["delta"] if d["id"] not in taken]}
+            return now | {"news": self._verdicts(now) if now["delta"] else None}
 
         if self.manifest.change(counted) is None:
             self.files.remove(f"{self.root}/rows/v={version}")
@@ -240,6 +257,8 @@ class LogStore:
         deltas = {f"id={d['id']}" for m in kept for d in m["delta"]}
         runs = {r for m in kept for r in [*m["addresses"], *[d["summary"] for d in m["delta"]]]}
 
+        news = {m["news"]["id"] for m in kept if m["news"]}
+
         def sweep(folder: str, named: set[str], below: int) -> None:
             for n in self.files.names(f"{self.root}/{folder}"):
                 mine = {x for x in named if x == n or x.startswith(f"{n}/")}
@@ -248,7 +267,7 @@ class LogStore:
                 elif not mine and n != "_SUCCESS" and self.files.age(f"{self.root}/{folder}/{n}") >= age:
                     self.files.remove(f"{self.root}/{folder}/{n}")
 
-        for folder, named, below in (("rows", parts, 2), ("delta", deltas, 0), ("addresses", runs, 0)):
+        for folder, named, below in (("rows", parts, 2), ("delta", deltas, 0), ("addresses", runs, 0), ("verdicts", news, 0)):
             sweep(folder, named, below)
         for n in self.files.names(self.root):
             if n.startswith("staged-") and self.files.age(f"{self.root}/{n}") >= age:
