@@ -9,7 +9,7 @@ import pytest
 from weirlog.model import Filter
 from weirlog.operators import filters
 from weirlog.plans import rules
-from weirlog.sources import json_log, store
+from weirlog.sources import files, json_log, store
 from weirlog.sources.tags import TagSet
 from weirlog.streaming import live
 
@@ -125,6 +125,24 @@ def test_remote_cache(spark, tmp_path, logs):
     assert len(store.clear(cache, everything=True)) == 1 and not store.clear(cache, everything=True)
 
 
+def test_once_and_sweep(spark, tmp_path):
+    """Of several writers of a table one counts; what is old goes, other names and newer folders stay."""
+    at, makes = f"{tmp_path}/requests-1", []
+
+    def slow():
+        makes.append(1)
+        if len(makes) == 1:
+            files.once(spark, at, slow, ["p"])  # another one is faster
+        return spark.range(3).selectExpr("id", "id % 2 as p")
+
+    where = files.once(spark, at, slow, ["p"])
+    assert where == files.once(spark, at, slow, ["p"]) and len(makes) == 2 and spark.read.parquet(where).count() == 3
+    assert sorted(x for x in os.listdir(at) if not x.startswith(".")) == sorted(["manifest.json", os.path.basename(where)])
+    (tmp_path / "other-1").mkdir()
+    assert files.sweep(spark, str(tmp_path), ("requests-",)) == [] and files.sweep(spark, str(tmp_path), ("requests-",), -1) == ["requests-1"]
+    assert os.listdir(tmp_path) == ["other-1"]
+
+
 def test_progress():
     out = []
     p = live.Progress(lambda *a: out.append(a), 1000)

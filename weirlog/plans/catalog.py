@@ -361,3 +361,25 @@ def _json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("json_claims", _json_claims, "SELECT host, ip, count(*) AS n FROM requests WHERE (host, ip) IN (SELECT (host, ip) FROM requests WHERE status = 500) GROUP BY ALL")
+
+
+# Places of located requests; ranges as in geo_range_join.
+
+
+def _located(dimension: str) -> Q:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from weirlog.sources.geo import ip_number, locate
+
+        first = ip_number(F.lit("203.0.0.0"))
+        ranges = spark.range(256).select((F.col("id") * 64 + first).alias("start"), (F.col("id") * 64 + 47 + first).alias("end"), F.concat(F.lit("country"), F.col("id") % 7).alias("country"), F.concat(F.lit("city"), F.col("id") % 11).alias("city"))
+        rows = locate(sample.requests(spark, sf_dir).drop("country", "city"), ranges)
+        return execute(rows, Query(kind=Kind.TOPN, group_by=dimension), NOW)
+
+    return run
+
+
+for _dim, _of in (("country", 7), ("city", 11)):
+    register(f"topn_{_dim}_located", _located(_dim), (
+        "WITH num AS (SELECT *, list_reduce(list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 256 + b) - 3405774848 AS off FROM requests), "
+        f"located AS (SELECT * REPLACE (CASE WHEN off BETWEEN 0 AND 16383 AND off % 64 < 48 THEN '{_dim}' || (off // 64) % {_of} ELSE '' END AS {_dim}) FROM num) " + _top(_dim).replace("FROM requests", "FROM located")
+    ))

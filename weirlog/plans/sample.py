@@ -45,6 +45,8 @@ def requests(spark: SparkSession, sf_dir: str, history: DataFrame | None = None)
     """The same, stored by pool the first time an application asks for it; tags come on top."""
     key = files.fingerprint(files.Files(spark), [f"{sf_dir}/events.parquet"])
     at = f"{files.shared_dir(spark)}/requests-{spark.sparkContext.applicationId}-{key}"
+    if not files.Files(spark).exists(at):
+        files.sweep(spark, files.shared_dir(spark), ("requests-", "live-", "compacted-"))
     rows = files.once(spark, at, lambda: derive(spark, sf_dir), ["pool"])
     return pools.override(spark.read.parquet(rows), history)
 

@@ -102,6 +102,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def sweep(spark: SparkSession, folder: str, prefixes: tuple[str, ...], age: float = 7 * 86_400) -> list[str]:
+    """Removes what applications have left behind there under these names and nobody has changed for so many seconds."""
+    files = Files(spark)
+    old = [n for n in files.names(folder) if n.startswith(prefixes) and files.age(f"{folder}/{n}") >= age]
+    for n in old:
+        files.remove(f"{folder}/{n}")
+    return old
+
+
 def once(spark: SparkSession, at: str, make: Callable[[], DataFrame], by: list[str]) -> str:
     """Writes a table below a folder unless it has one, and returns where it is. A table counts once the folder's manifest
     names it, which only the first writer can create; what another one has written goes again."""
