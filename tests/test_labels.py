@@ -35,6 +35,8 @@ def test_local(spark):
         "fe80::abcd": True, "fd00:1::2": True, "2001:db8::5": False, "host.example": False, "": False, "fe80::2%wlan0": False, "::ffff:192.168.4.4": True, "::ffff:9.9.9.9": False, "10.1": False, "300.0.0.1": False,
     }
     assert column(spark, cases, labels.is_local) == list(cases.values())
+    assert column(spark, ["10.0.300.1", "office-7", "9.9.9.9", "10.1.1.1", None], lambda c: labels.is_local(c, own=["10.0.", "office-"])) == [True, True, False, True, False]
+    assert column(spark, ["10.0.300.1"], labels.is_local) == [False]
 
 
 def test_attacks(spark):

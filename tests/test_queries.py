@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import BASE, DATA, DAY, HOUR, rows, same
 
 from weirlog.model import DIMENSIONS, Filter, Kind, Query, view
@@ -15,6 +17,26 @@ def test_against_sql(spark, name):
     same(catalog.QUERIES[name](spark, DATA), catalog.SQL[name], DATA)
 
 
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """Events of users beyond the 65,536th, whose addresses have a part over 255."""
+    at = str(tmp_path_factory.mktemp("many_users"))
+    events = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/events.parquet")
+    # Of users of 10.0.302 one polls and sends HEAD only, and one attacks.
+    user = F.when(F.col("user_id") % 2 == 0, F.col("user_id") + 17 * 23 * 3 * 66).otherwise(F.col("user_id"))
+    attacks = F.col("user_id") == 17 * 23 * 3 * 66 + 34
+    events = events.withColumn("user_id", user).withColumns({"event_type": F.when(attacks, "error").otherwise(F.col("event_type")), "props": F.when(attacks, '{"k": 1}').otherwise(F.col("props"))})
+    events.write.parquet(f"{at}/events.parquet")
+    Path(at, "events.parquet").rename(Path(at, "all"))
+    next(Path(at, "all").glob("part-*.parquet")).rename(Path(at, "events.parquet"))
+    return at
+
+
+@pytest.mark.parametrize("name", ["is_local_ip", *[n for n in catalog.SQL if n.startswith(("apply_tag_", "attackers_", "classification_", "cls_cadence", "cls_head_only", "compacted", "live_rows"))]])
+def test_many_users_against_sql(spark, many_users, name):
+    same(catalog.QUERIES[name](spark, many_users), catalog.SQL[name], many_users)
+
+
 def test_random_filters(spark):
     rnd, base = random.Random(5), sample.requests(spark, DATA).cache()
     values = {"host": ["www.example.com", "api.example.com"], "status": ["200", "404", "zz"], "is_bot": ["true", "0"], "method": ["GET", "HEAD"], "uri": ["/", "/ip"]}
