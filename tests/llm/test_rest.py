@@ -153,6 +153,22 @@ def test_chats_that_quote_parts(spark):
         assert sorted(map(str, got)) == sorted(str((c, p, x)) for (c, p, _), x in last.items() if x is not None)
 
 
+def test_threads_are_runs(spark, monkeypatch):
+    """A thread is found without rounds of joins, within blocks and over them, and nothing is ranked that is in its order already."""
+    rnd = random.Random(7)
+    rows = [(c, p, p == 0 or rnd.random() < 0.1) for c in (1, 2, None) for p in range(50)]
+    want = [(c, p, max(q for d, q, b in rows if d == c and b and q <= p)) for c, p, _ in rows]
+    df = spark.createDataFrame(rows, "conv long, pos long, begins boolean")
+    for block in (1, 7, 1000):
+        got = [(r["conv"], r["pos"], r["thread"]) for r in chat.threads(df, block).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    ranks, ranked = [], common.ranked
+    monkeypatch.setattr(common, "ranked", lambda *a, **b: ranks.append(a[1]) or ranked(*a, **b))
+    docs = spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(["a", "b", "c", "> a", "d", "> d", "> b", "e"])], "conv_id long, turn long, role string, text string")
+    found = sorted((r["pos"], r["thread"], r["reply_pos"]) for r in chat.format_chats(docs).collect())
+    assert found == [(p, t, p) for p, t in enumerate([0, 0, 0, 3, 3, 3, 6, 6])] and ranks == ["conv"]
+
+
 def test_chats_against_sql_with_quotes(spark, tmp_path):
     """Generated conversations whose messages quote whole messages, paragraphs and lines of earlier ones, at one level and two."""
     rnd, rows = random.Random(9), []
