@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from helpers import BASE, DATA, DAY, HOUR, rows, same
@@ -37,6 +38,12 @@ def test_many_users_against_sql(spark, many_users, name):
     same(catalog.QUERIES[name](spark, many_users), catalog.SQL[name], many_users)
 
 
+def test_many_events_against_sql(spark, tmp_path):
+    """Events round the 2^16th, 2^32nd and 2^48th, whose numbers take one hexadecimal group more."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id + [65000, 4294967000, 281474976710000][event_id % 3 + 1] AS event_id) FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet'")
+    assert same(catalog.QUERIES["geo_v6"](spark, str(tmp_path)), catalog.SQL["geo_v6"], str(tmp_path)) == 1000
+
+
 def test_random_filters(spark):
     rnd, base = random.Random(5), sample.requests(spark, DATA).cache()
     values = {"host": ["www.example.com", "api.example.com"], "status": ["200", "404", "zz"], "is_bot": ["true", "0"], "method": ["GET", "HEAD"], "uri": ["/", "/ip"]}
